@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from . import bpe
+from . import bpe, minhash
 
 QUERIES = {
+    "op3_minhash": minhash.query,
     "op10_byte_bpe": bpe.query,
 }
 
