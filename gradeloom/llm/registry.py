@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from . import bpe, minhash
+from . import bpe, minhash, secrets
 
 QUERIES = {
+    "op2_secrets": secrets.query,
     "op3_minhash": minhash.query,
     "op10_byte_bpe": bpe.query,
 }
