@@ -22,9 +22,9 @@ from itertools import chain
 import regex
 
 #: States that a transducer keeps before it starts over.
-MAX_STATES = 250_000
+MAX_STATES = 400_000
 #: Word chunks whose tokens a worker keeps before it starts over.
-MAX_CHUNKS = 300_000
+MAX_CHUNKS = 500_000
 
 
 def read_ranks(path: str) -> dict[bytes, int]:
@@ -59,7 +59,7 @@ class MergeTransducer:
         self.numbers: dict[tuple, int] = {}
         #: For each state its cuts: nodes and last tokens, those from the earliest cut first.
         self.states: list[tuple] = []
-        #: By state * 256 + byte: the next state * 2**22 + the last token of what is read.
+        #: By state * 256 + byte: the next state * 2**30 + the last token of what is read.
         self.arcs: dict[int, int] = {}
         self._number(((0, -1),))
 
@@ -131,21 +131,20 @@ class MergeTransducer:
         if ending < 0:
             raise ValueError("the vocabulary lacks a byte")
         cuts.append((0, ending))
-        arc = self.arcs[state << 8 | byte] = self._number(tuple(cuts)) << 22 | ending
+        arc = self.arcs[state << 8 | byte] = self._number(tuple(cuts)) << 30 | ending
         return arc
 
     def encode(self, data: bytes) -> tuple[int, ...]:
         """The tokens of data: the last token of each prefix, followed back from the end."""
         if len(self.states) > MAX_STATES:
             self._restart()
-        find, state, lasts = self.arcs.get, 0, []
+        find, arc, path = self.arcs.get, 0, []
         for byte in data:
-            arc = find(state << 8 | byte) or self._arc(state, byte)
-            state = arc >> 22
-            lasts.append(arc & 0x3FFFFF)
-        out, at, length = [], len(lasts), self.length
+            arc = find(arc >> 22 | byte) or self._arc(arc >> 30, byte)
+            path.append(arc)
+        out, at, length = [], len(path), self.length
         while at:
-            token = lasts[at - 1]
+            token = path[at - 1] & 0x3FFFFF
             out.append(token)
             at -= length[token]
         out.reverse()
@@ -158,7 +157,7 @@ class MergeTransducer:
         for byte in data:
             cuts, after = self.states[state], []
             arc = self.arcs.get(state << 8 | byte) or self._arc(state, byte)
-            state, last = arc >> 22, arc & 0x3FFFFF
+            state, last = arc >> 30, arc & 0x3FFFFF
             ending = None
             for (node, before), tokens in zip(cuts, held, strict=True):
                 down = self.children[node].get(byte)
