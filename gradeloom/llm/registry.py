@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from . import bpe, decontaminate, minhash, secrets
+from . import bpe, decontaminate, langid, minhash, secrets
 
 QUERIES = {
     "op2_secrets": secrets.query,
     "op3_minhash": minhash.query,
+    "op6_language_id": langid.query,
     "op9_decontamination": decontaminate.query,
     "op10_byte_bpe": bpe.query,
 }
