@@ -6,7 +6,7 @@ but the last return the columns of documents, so a stage can be left out or repe
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from gradeloom.llm import bpe, common, decontaminate, langid, minhash, secrets
@@ -30,7 +30,10 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near-duplicates, that of the smallest doc_id; of its rows the first by text."""
     expose_package(spark)
     found = minhash.near_duplicates(docs).where(~F.col("kept")).select("doc_id").distinct()
-    return docs.select(COLUMNS).join(found, "doc_id", "left_anti").select(COLUMNS)
+    left = docs.select(COLUMNS).join(found, "doc_id", "left_anti")
+    # rows of one id follow each other here already; those without an id are told apart by text
+    same = Window.partitionBy("doc_id", F.when(F.col("doc_id").isNull(), F.xxhash64("text"))).orderBy("text", "lang", "source", "n_chars")
+    return left.withColumn("place", F.row_number().over(same)).where("place = 1").select(COLUMNS)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
