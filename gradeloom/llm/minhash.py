@@ -8,17 +8,21 @@
    many classes retain a value, rarest first, they share one of the first k - c + 1. Only
    these are in lists; a passage that a third of all documents hold is in none but those of
    documents that hold little else.
-3. In each list, members are compared with a hub and with their neighbour by size; pairs
-   that pass the union-sketch estimate are verified on the full sets. A tight group is one
-   component after this, without all its pairs. Then, in each list, members outside its
-   largest component are compared with all members of other components, which leaves no
-   pair between components unexamined.
-4. Components of the verified links, by stars (``components``).
-
-c: of the k least values of the union of two sets with Jaccard similarity t, each is shared
-with probability t. For k = 32, t = 0.85 the number shared is below c = 16 with probability
-under 1e-6 at the very threshold and under 1e-8 from 0.9 on; with fewer than 32 shingles
-the bound is certain.
+3. In each list, members are compared with a hub (that with the fewest values of its own)
+   and with the next in that order; pairs that pass the union-sketch estimate are verified
+   on the full sets. A tight group is one component after this, without all its pairs.
+4. Classes in lists that still hold several components get larger sketches (LARGE values,
+   for most the full set) and new lists, in which c is close to the true bound. So copies
+   that differ from each other in too much are in no list together, however many they are.
+   In each list, members outside its largest component are compared with all members of
+   other components, which leaves no pair between components unexamined; a pair is made in
+   the first list that both are in.
+5. Components of the verified links, by stars (``components``).
+
+c: of the k least values of the union of two sets with Jaccard similarity 0.85, each is
+shared with probability 0.85, drawn without replacement. c is 5.2 standard deviations below
+the mean, so a pair at the very threshold is missed with probability under 1e-6, and any
+more similar one far less; for sets that the sketch holds whole the bound is certain.
 
 Null or empty texts, and those without words, have no shingles and are linked with nothing.
 Rows of one doc_id are one document. A null doc_id is linked with nothing: its component_id
@@ -39,8 +43,8 @@ from . import common
 from .components import components
 from .shingles import distinct, overlap
 
-#: Values in a sketch, and how many of them similar sets share at least.
-K, SHARED = 32, 16
+#: Values in a sketch, and in a larger one.
+K, LARGE = 32, 256
 #: Members of a list that are ordered in one task; a longer list is dealt into parts.
 PART = 4096
 
@@ -66,52 +70,61 @@ def scan(df: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     return df.select(F.col(key).cast("long").alias("doc_id"), F.col(text).alias("text")).mapInArrow(run, SCAN)
 
 
-def _least_shared(size: Column) -> Column:
-    """How many values two sketches share at least, for a sketch of this size."""
-    return F.when(size >= K, F.lit(SHARED)).otherwise(F.least(F.lit(SHARED), F.ceil(size * 85 / 100.0).cast("int")))
+def _least_shared(n: Column, k: int) -> Column:
+    """How many values the sketch of a set of this size shares at least with that of a similar set."""
+    union = n / 0.85
+    without = F.greatest(F.lit(0.0), (union - k) / F.greatest(F.lit(1.0), union - 1))
+    drawn = 0.85 * k - 5.2 * F.sqrt(k * 0.85 * 0.15 * without)
+    return F.when(union <= k, F.ceil(n * 85 / 100.0)).otherwise(F.floor(F.least(n * 0.85, drawn))).cast("int")
 
 
-def _alike(a: Column, b: Column) -> Column:
+def _alike(a: Column, b: Column, n_a: Column, n_b: Column) -> Column:
     """The union-sketch estimate: of the k least values of the union, how many are in both."""
     both = F.array_intersect(a, b)
     least = F.slice(F.array_sort(F.array_union(a, b)), 1, K)
-    return F.size(F.array_intersect(least, both)) >= F.least(_least_shared(F.size(a)), _least_shared(F.size(b)))
+    return F.size(F.array_intersect(least, both)) >= F.least(_least_shared(n_a, K), _least_shared(n_b, K))
 
 
 def _sizes_fit(a: Column, b: Column) -> Column:
-    return (F.least(a, b) * 100 >= F.greatest(a, b) * 85)
+    return F.least(a, b) * 100 >= F.greatest(a, b) * 85
 
 
-def inverted_lists(nodes: DataFrame) -> DataFrame:
-    """v, members, node, n: for each retained value the classes that may be similar by it."""
-    held = nodes.select("node", "n", F.explode("sketch").alias("v"))
+def inverted_lists(sketches: DataFrame, k: int) -> DataFrame:
+    """v, members, node, n, alone, first: for each retained value the classes that may be similar by it.
+
+    sketches: node, n, sketch (k values at most). alone: how many of its values the class has by itself.
+    first: all values by which the class is in lists, in the order of all classes.
+    """
+    held = sketches.select("node", "n", F.explode("sketch").alias("v"))
     counts = held.groupBy("v").agg(F.count("*").alias("members")).where("members > 1")
     shared = held.join(counts, "v").groupBy("node", "n").agg(F.sort_array(F.collect_list(F.struct("members", "v"))).alias("values"))
-    kept = F.least(F.col("n"), F.lit(K)).cast("int")
+    kept = F.least(F.col("n"), F.lit(k)).cast("int")
     alone = kept - F.size("values")
-    first = F.greatest(F.lit(0), kept - _least_shared(kept) + 1 - alone)
-    return shared.select("node", "n", F.explode(F.slice("values", F.lit(1), first)).alias("x")).select("x.v", "x.members", "node", "n")
+    number = F.greatest(F.lit(0), kept - _least_shared(F.col("n"), k) + 1 - alone)
+    listed = shared.select("node", "n", alone.alias("alone"), F.slice("values", F.lit(1), number).alias("x"))
+    return listed.select("node", "n", "alone", F.col("x.v").alias("first"), F.explode("x").alias("x")).select("x.v", "x.members", "node", "n", "alone", "first")
 
 
 def _near_pairs(lists: DataFrame) -> DataFrame:
-    """a, b: each member with its part's hub and with the neighbour by size; hubs with their list's first."""
+    """a, b: each member with its part's hub and with the next in order; hubs with their list's first."""
     part = F.pmod(F.xxhash64("node"), F.ceil(F.col("members") / PART))
-    dealt = lists.withColumn("part", part)
-    order = Window.partitionBy("v", "part").orderBy("n", "node")
-    hub = F.first("node").over(order.rowsBetween(Window.unboundedPreceding, 0))
-    seen = dealt.select("v", "members", "node", hub.alias("hub"), F.lag("node").over(order).alias("beside"), "n", F.first("n").over(order.rowsBetween(Window.unboundedPreceding, 0)).alias("hub_n"), F.lag("n").over(order).alias("beside_n"))
-    within = seen.select(F.explode(F.array(F.struct("node", F.col("hub").alias("to"), "n", F.col("hub_n").alias("m")), F.struct("node", F.col("beside").alias("to"), "n", F.col("beside_n").alias("m")))).alias("p")).select("p.*")
-    hubs = dealt.where(F.col("members") > PART).groupBy("v", "part").agg(F.min(F.struct("n", "node")).alias("h"))
+    dealt = lists.select("v", "members", "node", "n", "alone", part.alias("part"))
+    order = Window.partitionBy("v", "part").orderBy("alone", "n", "node")
+    own = F.struct("node", "n")
+    hub, beside = F.first(own).over(order.rowsBetween(Window.unboundedPreceding, 0)), F.lag(own).over(order)
+    seen = dealt.select("node", "n", hub.alias("hub"), beside.alias("beside"))
+    within = seen.select("node", "n", F.explode(F.array("hub", "beside")).alias("to"))
+    hubs = dealt.where(F.col("members") > PART).groupBy("v", "part").agg(F.min(F.struct("alone", "n", "node")).alias("h"))
     top = hubs.groupBy("v").agg(F.min("h").alias("top"))
-    across = hubs.join(top, "v").select(F.col("h.node").alias("node"), F.col("top.node").alias("to"), F.col("h.n").alias("n"), F.col("top.n").alias("m"))
-    pairs = within.unionByName(across).where(F.col("to").isNotNull() & (F.col("to") != F.col("node")) & _sizes_fit(F.col("n"), F.col("m")))
-    return pairs.select(F.least("node", "to").alias("a"), F.greatest("node", "to").alias("b")).distinct()
+    across = hubs.join(top, "v").select(F.col("h.node").alias("node"), F.col("h.n").alias("n"), F.struct(F.col("top.node").alias("node"), F.col("top.n").alias("n")).alias("to"))
+    pairs = within.unionByName(across).where(F.col("to").isNotNull() & (F.col("to.node") != F.col("node")) & _sizes_fit(F.col("n"), F.col("to.n")))
+    return pairs.select(F.least("node", "to.node").alias("a"), F.greatest("node", "to.node").alias("b")).distinct()
 
 
 def _estimated(pairs: DataFrame, nodes: DataFrame) -> DataFrame:
-    own = nodes.select("node", "sketch")
-    a, b = own.toDF("a", "sketch_a"), own.toDF("b", "sketch_b")
-    return pairs.join(a, "a").join(b, "b").where(_alike(F.col("sketch_a"), F.col("sketch_b"))).select("a", "b")
+    own = nodes.select("node", "n", "sketch")
+    a, b = own.toDF("a", "n_a", "sketch_a"), own.toDF("b", "n_b", "sketch_b")
+    return pairs.join(a, "a").join(b, "b").where(_alike(F.col("sketch_a"), F.col("sketch_b"), F.col("n_a"), F.col("n_b"))).select("a", "b")
 
 
 @lru_cache(maxsize=64)
@@ -140,16 +153,35 @@ def verified(pairs: DataFrame, texts: DataFrame, percent: int = 85) -> DataFrame
     return both.mapInArrow(run, "a long, b long")
 
 
-def _rest_pairs(lists: DataFrame, nodes: DataFrame, component: DataFrame) -> DataFrame:
-    """a, b: pairs of a list between components, by the estimate; one end is outside the list's largest."""
+def _several(lists: DataFrame, component: DataFrame) -> DataFrame:
+    """The lists' rows, with each one's component and its list's largest, of lists with several components."""
     named = lists.join(component, "node", "left").withColumn("component", F.coalesce("component", "node"))
     per = named.groupBy("v", "component").agg(F.count("*").alias("size"))
-    largest = per.groupBy("v").agg(F.max(F.struct("size", "component")).alias("top"), F.count("*").alias("parts")).where("parts > 1").select("v", F.col("top.component").alias("top"))
-    mixed = named.join(largest, "v").join(nodes.select("node", "sketch"), "node")
-    x = mixed.where("component <> top").select("v", F.col("node").alias("x"), F.col("n").alias("n_x"), F.col("component").alias("c_x"), F.col("sketch").alias("s_x"))
-    y = mixed.select("v", F.col("node").alias("y"), F.col("n").alias("n_y"), F.col("component").alias("c_y"), F.col("sketch").alias("s_y"), (F.col("component") == F.col("top")).alias("in_top"))
+    largest = per.groupBy("v").agg(F.max(F.struct("size", "component")).alias("top"), F.count("*").alias("parts")).where("parts > 1")
+    return named.join(largest.select("v", F.col("top.component").alias("top")), "v")
+
+
+def _larger(texts: DataFrame, wanted: DataFrame) -> DataFrame:
+    """node, n, sketch: sketches of LARGE values of the wanted nodes."""
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for rows in batches:
+            found = [distinct(common.words(t)) for t in rows.column(1).to_pylist()]
+            sketches = [(x[:LARGE] >> 1).astype("int64") for x in found]
+            yield pa.RecordBatch.from_arrays([rows.column(0), pa.array([len(x) for x in found], pa.int64()), pa.array(sketches, pa.list_(pa.int64()))], names=["node", "n", "sketch"])
+
+    return texts.join(wanted.select(F.col("node").alias("doc_id")), "doc_id", "left_semi").select("doc_id", "text").mapInArrow(run, "node long, n long, sketch array<long>")
+
+
+def _rest_pairs(lists: DataFrame, nodes: DataFrame, component: DataFrame) -> DataFrame:
+    """a, b: pairs of a list between components, by the estimate; one end is outside the list's largest."""
+    mixed = _several(lists, component).join(nodes.select("node", "sketch"), "node")
+    x = mixed.where("component <> top").select("v", F.col("node").alias("x"), F.col("n").alias("n_x"), F.col("component").alias("c_x"), F.col("sketch").alias("s_x"), F.col("first").alias("f_x"))
+    y = mixed.select("v", F.col("node").alias("y"), F.col("n").alias("n_y"), F.col("component").alias("c_y"), F.col("sketch").alias("s_y"), F.col("first").alias("f_y"), (F.col("component") == F.col("top")).alias("in_top"))
     fits = (F.col("c_x") != F.col("c_y")) & (F.col("in_top") | (F.col("x") < F.col("y"))) & _sizes_fit(F.col("n_x"), F.col("n_y"))
-    found = x.join(y, (x.v == y.v) & fits & _alike(F.col("s_x"), F.col("s_y")))
+    # lists are in one order for all classes, so a pair is made in the first that both are in
+    once = F.get(F.array_intersect("f_x", "f_y"), F.lit(0)) == x.v
+    found = x.join(y, (x.v == y.v) & fits & once & _alike(F.col("s_x"), F.col("s_y"), F.col("n_x"), F.col("n_y")))
     return found.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
 
 
@@ -159,12 +191,14 @@ def near_duplicates(df: DataFrame, key: str = "doc_id", text: str = "text") -> D
     able = scanned.where("n_shingles > 0 AND doc_id IS NOT NULL")
     classes = able.groupBy("fp").agg(F.min("doc_id").alias("node"), F.first("n_shingles").alias("n"), F.first("sketch").alias("sketch"))
     nodes = common.shared_table(classes, "classes")
-    lists = common.shared_table(inverted_lists(nodes), "lists")
+    lists = common.shared_table(inverted_lists(nodes, K), "lists")
     texts = df.select(F.col(key).cast("long").alias("doc_id"), F.col(text).alias("text"))
 
     near = common.shared_table(verified(_estimated(_near_pairs(lists), nodes), texts), "links")
     grouped = components(near)
-    rest = common.shared_table(verified(_rest_pairs(lists, nodes, grouped), texts), "links")
+    open_lists = _several(lists, grouped).select("node").distinct()
+    larger = common.shared_table(inverted_lists(_larger(texts, open_lists), LARGE), "lists")
+    rest = common.shared_table(verified(_rest_pairs(larger, nodes, grouped), texts), "links")
     # a document of several texts ties their classes together by its id
     ties = scanned.where("doc_id IS NOT NULL AND n_shingles > 0").join(nodes.select("fp", "node"), "fp").where("doc_id <> node").select(F.col("doc_id").alias("a"), F.col("node").alias("b"))
     ends = grouped.select(F.col("node").alias("a"), F.col("component").alias("b")).unionByName(rest).unionByName(ties)
