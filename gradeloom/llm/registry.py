@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from . import bpe, decontaminate, langid, minhash, secrets, token_files
+from . import bpe, decontaminate, langid, minhash, pii, secrets, token_files
 
 QUERIES = {
     "op2_secrets": secrets.query,
     "op3_minhash": minhash.query,
     "op6_language_id": langid.query,
     "op7_token_files": token_files.query,
+    "op8_pii": pii.query,
     "op9_decontamination": decontaminate.query,
     "op10_byte_bpe": bpe.query,
 }
