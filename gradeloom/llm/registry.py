@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from . import bpe, decontaminate, langid, minhash, pii, secrets, token_files
+from . import bpe, decontaminate, langid, minhash, pii, quality, secrets, token_files
 
 QUERIES = {
+    "op1_quality": quality.query,
     "op2_secrets": secrets.query,
     "op3_minhash": minhash.query,
     "op6_language_id": langid.query,
