@@ -33,7 +33,7 @@ from .packed import Reader, Writer, width
 TOKENIZER = public_tokenizers.path("word_bpe_49k.json")
 END = 1
 #: Ids in a file, and chunks whose ids a worker keeps before it starts over.
-FILE_IDS, MAX_CHUNKS = 1 << 24, 500_000
+FILE_IDS, MAX_CHUNKS = 1 << 22, 300_000
 
 
 class WordEncoder:
@@ -84,7 +84,10 @@ class WordEncoder:
         if any(s in " ".join(new) for s in self.special):
             plain = [c for c in new if not any(s in c for s in self.special)]
             self.chunks |= {c: self._direct(c) for c in set(new).difference(plain)}
-        normal = self.library.normalizer.normalize_str(" ".join(plain)).split(" ") if plain else []
+        ascii = [c for c in plain if c.isascii()]
+        other = [c for c in plain if not c.isascii()]
+        normal = self.library.normalizer.normalize_str(" ".join(other)).split(" ") if other else []
+        normal, plain = [*map(str.lower, ascii), *normal], ascii + other
         if len(normal) != len(plain):
             for chunk in plain:
                 self.chunks[chunk] = self._direct(chunk)
@@ -97,6 +100,8 @@ class WordEncoder:
             self.chunks[chunk] = self.known[parts[0]] if len(parts) == 1 else b"".join(map(self.known.__getitem__, parts))
 
     def split(self, text: str) -> list[str]:
+        # the tokenizer's lower case is Python's, but for the sigma at the end of a word
+        text = text if "\u03a3" in text or any(s in text for s in self.special) else text.lower()
         if self.controls.search(text):
             return [x for x in self.space.split(text) if x]
         return text.split()
@@ -154,8 +159,8 @@ def write(df: DataFrame, folder: str, key: str = "doc_id", text: str = "text", t
                 out, place = Writer(bits), place + 1
 
         for rows in batches:
-            for at in range(0, rows.num_rows, 500):
-                some = rows.slice(at, 500)
+            for at in range(0, rows.num_rows, 250):
+                some = rows.slice(at, 250)
                 for doc, ids in zip(some.column(0).to_pylist(), words.encode([t or "" for t in some.column(1).to_pylist()], end), strict=True):
                     out.add(doc, ids)
                     if out.starts[-1] >= FILE_IDS:
