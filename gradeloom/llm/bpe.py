@@ -48,7 +48,7 @@ def encode(
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder, decoder = codec(ranks_path, pattern)
-        for rows in batches:
+        for rows in common.smaller(batches):
             made: dict[str, list] = {o: [] for o in outputs}
             for value in rows.column(1).to_pylist():
                 ids = encoder.encode(value or "")
@@ -74,7 +74,7 @@ def decode(df: DataFrame, key: str = "doc_id", ids: str = "ids", ranks_path: str
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         _, decoder = codec(ranks_path, pattern)
-        for rows in batches:
+        for rows in common.smaller(batches):
             texts = ["".join(decoder.stream(x or ())) for x in rows.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([rows.column(0), pa.array(texts, type=pa.string())], names=[key, "decoded"])
 

@@ -22,9 +22,9 @@ from itertools import chain
 import regex
 
 #: States that a transducer keeps before it starts over.
-MAX_STATES = 400_000
+MAX_STATES = 300_000
 #: Word chunks whose tokens a worker keeps before it starts over.
-MAX_CHUNKS = 500_000
+MAX_CHUNKS = 300_000
 
 
 def read_ranks(path: str) -> dict[bytes, int]:

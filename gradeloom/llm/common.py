@@ -3,13 +3,14 @@
 from __future__ import annotations
 
 import uuid
+from collections.abc import Iterable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Rows in one Arrow batch to Python; Spark bounds a batch's bytes besides (64 MB by default).
-BATCH_ROWS = 2000
+#: Rows that Python handles at once; Spark bounds an Arrow batch's bytes besides (64 MB by default).
+BATCH_ROWS = 256
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -49,14 +50,13 @@ def arrow_rows(df: DataFrame, columns: list[str]) -> DataFrame:
     return df.select(*[F.col(c) for c in columns])
 
 
-def strings(column: pa.ChunkedArray | pa.Array) -> list[str | None]:
-    return column.to_pylist()
+def smaller(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The same rows in batches of BATCH_ROWS, for what makes much of each row."""
+    for rows in batches:
+        for at in range(0, rows.num_rows, BATCH_ROWS):
+            yield rows.slice(at, BATCH_ROWS)
 
 
 def words(text: str | None) -> list[bytes]:
     """A-Z lower-cased, then runs of other than space and \\x09-\\x0D: what bytes.split() does."""
     return text.encode("utf-8", "surrogatepass").lower().split() if text else []
-
-
-def batch(schema: pa.Schema, columns: dict) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array(columns[f.name], type=f.type) for f in schema], schema=schema)
