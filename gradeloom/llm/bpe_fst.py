@@ -22,7 +22,7 @@ from itertools import chain
 import regex
 
 #: States that a transducer keeps before it starts over.
-MAX_STATES = 300_000
+MAX_STATES = 250_000
 #: Word chunks whose tokens a worker keeps before it starts over.
 MAX_CHUNKS = 300_000
 
@@ -39,6 +39,8 @@ class MergeTransducer:
         self.ranks = ranks
         self.spelled = {rank: token for token, rank in ranks.items()}
         self.length = {rank: len(token) for token, rank in ranks.items()}
+        #: One object for each id.
+        self.canon = {rank: rank for rank in ranks.values()}
         self.children: list[dict[int, int]] = [{}]
         self.token_at: list[int] = [-1]
         for token, rank in ranks.items():
@@ -57,11 +59,11 @@ class MergeTransducer:
 
     def _restart(self) -> None:
         self.numbers: dict[tuple, int] = {}
-        #: For each state its cuts: nodes and last tokens, those from the earliest cut first.
-        self.states: list[tuple] = []
+        #: For each state its cuts, those from the earliest first: node * 2**22 + last token + 1.
+        self.states: list[tuple[int, ...]] = []
         #: By state * 256 + byte: the next state * 2**30 + the last token of what is read.
         self.arcs: dict[int, int] = {}
-        self._number(((0, -1),))
+        self._number((0,))
 
     def _number(self, state: tuple) -> int:
         number = self.numbers.get(state)
@@ -119,18 +121,19 @@ class MergeTransducer:
 
     def _arc(self, state: int, byte: int) -> int:
         cuts, ending = [], -1
-        for node, last in self.states[state]:
-            down = self.children[node].get(byte)
+        for cut in self.states[state]:
+            down = self.children[cut >> 22].get(byte)
             if down is None:
                 continue
+            last = (cut & 0x3FFFFF) - 1
             token = self.token_at[down]
             if token >= 0 and ending < 0 and self._stay_apart(last, token):
                 ending = token
             if self.children[down]:
-                cuts.append((down, last))
+                cuts.append(down << 22 | (last + 1))
         if ending < 0:
             raise ValueError("the vocabulary lacks a byte")
-        cuts.append((0, ending))
+        cuts.append(ending + 1)
         arc = self.arcs[state << 8 | byte] = self._number(tuple(cuts)) << 30 | ending
         return arc
 
@@ -142,9 +145,9 @@ class MergeTransducer:
         for byte in data:
             arc = find(arc >> 22 | byte) or self._arc(arc >> 30, byte)
             path.append(arc)
-        out, at, length = [], len(path), self.length
+        out, at, length, canon = [], len(path), self.length, self.canon
         while at:
-            token = path[at - 1] & 0x3FFFFF
+            token = canon[path[at - 1] & 0x3FFFFF]
             out.append(token)
             at -= length[token]
         out.reverse()
@@ -159,8 +162,8 @@ class MergeTransducer:
             arc = self.arcs.get(state << 8 | byte) or self._arc(state, byte)
             state, last = arc >> 30, arc & 0x3FFFFF
             ending = None
-            for (node, before), tokens in zip(cuts, held, strict=True):
-                down = self.children[node].get(byte)
+            for cut, tokens in zip(cuts, held, strict=True):
+                down, before = self.children[cut >> 22].get(byte), (cut & 0x3FFFFF) - 1
                 if down is None:
                     continue
                 if ending is None and self.token_at[down] == last and self._stay_apart(before, last):

@@ -8,7 +8,7 @@ import xxhash
 #: Words in a shingle.
 WIDTH = 5
 #: Words whose hash a worker keeps before it starts over.
-MAX_WORDS = 500_000
+MAX_WORDS = 200_000
 #: Odd multipliers, one for each place of a shingle, drawn by rule.
 PLACES = np.array([xxhash.xxh3_64_intdigest(b"place%d" % i) | 1 for i in range(WIDTH)], dtype=np.uint64)
 
