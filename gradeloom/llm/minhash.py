@@ -16,7 +16,8 @@
    that differ from each other in too much are in no list together, however many they are.
    In each list, members outside its largest component are compared with all members of
    other components, which leaves no pair between components unexamined; a pair is made in
-   the first list that both are in.
+   the first list that both are in, and only if enough of either's values come there or
+   later.
 5. Components of the verified links, by stars (``components``).
 
 c: of the k least values of the union of two sets with Jaccard similarity 0.85, each is
@@ -89,20 +90,32 @@ def _sizes_fit(a: Column, b: Column) -> Column:
     return F.least(a, b) * 100 >= F.greatest(a, b) * 85
 
 
+def kept_size(n: Column, k: int) -> Column:
+    return F.least(n, F.lit(k)).cast("int")
+
+
+def _needed(n_a: Column, n_b: Column, k: int) -> Column:
+    """How many values the sketches of two similar sets share at least, by both sizes."""
+    whole = F.greatest(n_a, n_b) <= k
+    return F.when(whole, F.ceil((n_a + n_b) * 85 / 185.0)).otherwise(F.least(_least_shared(n_a, k), _least_shared(n_b, k)))
+
+
 def inverted_lists(sketches: DataFrame, k: int) -> DataFrame:
-    """v, members, node, n, alone, first: for each retained value the classes that may be similar by it.
+    """v, members, node, n, alone, first, left: for each retained value the classes that may be similar by it.
 
     sketches: node, n, sketch (k values at most). alone: how many of its values the class has by itself.
-    first: all values by which the class is in lists, in the order of all classes.
+    first: all values by which the class is in lists, in the order of all classes. left: how many of its
+    values come at v or later in that order.
     """
     held = sketches.select("node", "n", F.explode("sketch").alias("v"))
     counts = held.groupBy("v").agg(F.count("*").alias("members")).where("members > 1")
     shared = held.join(counts, "v").groupBy("node", "n").agg(F.sort_array(F.collect_list(F.struct("members", "v"))).alias("values"))
-    kept = F.least(F.col("n"), F.lit(k)).cast("int")
+    kept = kept_size(F.col("n"), k)
     alone = kept - F.size("values")
     number = F.greatest(F.lit(0), kept - _least_shared(F.col("n"), k) + 1 - alone)
     listed = shared.select("node", "n", alone.alias("alone"), F.slice("values", F.lit(1), number).alias("x"))
-    return listed.select("node", "n", "alone", F.col("x.v").alias("first"), F.explode("x").alias("x")).select("x.v", "x.members", "node", "n", "alone", "first")
+    spread = listed.select("node", "n", "alone", F.col("x.v").alias("first"), (kept_size(F.col("n"), k) - F.col("alone")).alias("shared"), F.posexplode("x").alias("at", "x"))
+    return spread.select("x.v", "x.members", "node", "n", "alone", "first", (F.col("shared") - F.col("at")).alias("left"))
 
 
 def _near_pairs(lists: DataFrame) -> DataFrame:
@@ -176,12 +189,14 @@ def _larger(texts: DataFrame, wanted: DataFrame) -> DataFrame:
 def _rest_pairs(lists: DataFrame, nodes: DataFrame, component: DataFrame) -> DataFrame:
     """a, b: pairs of a list between components, by the estimate; one end is outside the list's largest."""
     mixed = _several(lists, component).join(nodes.select("node", "sketch"), "node")
-    x = mixed.where("component <> top").select("v", F.col("node").alias("x"), F.col("n").alias("n_x"), F.col("component").alias("c_x"), F.col("sketch").alias("s_x"), F.col("first").alias("f_x"))
-    y = mixed.select("v", F.col("node").alias("y"), F.col("n").alias("n_y"), F.col("component").alias("c_y"), F.col("sketch").alias("s_y"), F.col("first").alias("f_y"), (F.col("component") == F.col("top")).alias("in_top"))
+    x = mixed.where("component <> top").select("v", F.col("node").alias("x"), F.col("n").alias("n_x"), F.col("component").alias("c_x"), F.col("sketch").alias("s_x"), F.col("first").alias("f_x"), F.col("left").alias("l_x"))
+    y = mixed.select("v", F.col("node").alias("y"), F.col("n").alias("n_y"), F.col("component").alias("c_y"), F.col("sketch").alias("s_y"), F.col("first").alias("f_y"), F.col("left").alias("l_y"), (F.col("component") == F.col("top")).alias("in_top"))
     fits = (F.col("c_x") != F.col("c_y")) & (F.col("in_top") | (F.col("x") < F.col("y"))) & _sizes_fit(F.col("n_x"), F.col("n_y"))
     # lists are in one order for all classes, so a pair is made in the first that both are in
     once = F.get(F.array_intersect("f_x", "f_y"), F.lit(0)) == x.v
-    found = x.join(y, (x.v == y.v) & fits & once & _alike(F.col("s_x"), F.col("s_y"), F.col("n_x"), F.col("n_y")))
+    # what two sets share comes at their first common value or later
+    enough = F.least("l_x", "l_y") >= _needed(F.col("n_x"), F.col("n_y"), LARGE)
+    found = x.join(y, (x.v == y.v) & fits & enough & once & _alike(F.col("s_x"), F.col("s_y"), F.col("n_x"), F.col("n_y")))
     return found.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
 
 
