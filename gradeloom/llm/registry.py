@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from . import bpe, decontaminate, langid, minhash, neighbours, pii, quality, secrets, token_files
+from . import bpe, decontaminate, langid, lm, minhash, neighbours, pii, quality, secrets, token_files
 
 QUERIES = {
     "op1_quality": quality.query,
     "op2_secrets": secrets.query,
     "op3_minhash": minhash.query,
+    "op4_lm_scores": lm.query,
     "op5_neighbours": neighbours.query,
     "op6_language_id": langid.query,
     "op7_token_files": token_files.query,
