@@ -2,5 +2,8 @@
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLE_SQL: dict = {}
+from gradeloom.plans import q_grading
+
+PARTS = (q_grading,)
+QUERIES: dict = {name: f for part in PARTS for name, f in part.Q.items()}
+ORACLE_SQL: dict = {name: text for part in PARTS for name, text in part.S.items()}
