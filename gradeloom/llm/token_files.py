@@ -14,6 +14,7 @@ end. Repeated rows are written each.
 from __future__ import annotations
 
 import os
+import re
 import uuid
 import zlib
 from collections.abc import Iterable, Iterator
@@ -33,7 +34,7 @@ from .packed import Reader, Writer, width
 TOKENIZER = public_tokenizers.path("word_bpe_49k.json")
 END = 1
 #: Ids in a file, and chunks whose ids a worker keeps before it starts over.
-FILE_IDS, MAX_CHUNKS = 1 << 22, 300_000
+FILE_IDS, MAX_CHUNKS = 1 << 22, 250_000
 
 
 class WordEncoder:
@@ -47,6 +48,7 @@ class WordEncoder:
     #: White space of Unicode; others that Python splits at are control characters here.
     space = regex.compile(r"\p{White_Space}+")
     controls = regex.compile(r"[\x1c-\x1f]")
+    marks = re.compile(r"(?:[^\w\s]|_){2}")
     pieces = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|\p{L}+|\p{N}|[^\s\p{L}\p{N}]+")
 
     def __init__(self, path: str):
@@ -60,24 +62,20 @@ class WordEncoder:
         for token, i in vocabulary.items():
             self.ends[i] = token.endswith("</w>")
         self.special = [t.content for t in self.library.get_added_tokens_decoder().values()]
-        #: Ids of chunks and of pieces as bytes, four for each.
+        #: Ids of chunks as bytes, four for each: those met lately, and an older generation.
         self.chunks: dict[str, bytes] = {}
-        self.known: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}
 
     def _direct(self, text: str) -> bytes:
         return np.array(self.library.encode(text, add_special_tokens=False).ids, dtype="<u4").tobytes()
 
-    def _learn_pieces(self, new: list[str]) -> None:
+    def _of_pieces(self, new: list[str]) -> dict[str, bytes]:
         ids = np.array(self.library.encode(" ".join(new), add_special_tokens=False).ids, dtype=np.int64)
         cuts = np.flatnonzero(self.ends[ids]) + 1 if len(ids) else ids
-        if len(cuts) == len(new) and (not len(cuts) or cuts[-1] == len(ids)):
-            flat, at = ids.astype("<u4").tobytes(), 0
-            for piece, cut in zip(new, (cuts * 4).tolist(), strict=True):
-                self.known[piece] = flat[at:cut]
-                at = cut
-        else:
-            for piece in new:
-                self.known[piece] = self._direct(piece)
+        if len(cuts) != len(new) or (len(cuts) and cuts[-1] != len(ids)):
+            return {piece: self._direct(piece) for piece in new}
+        flat, to = ids.astype("<u4").tobytes(), (cuts * 4).tolist()
+        return {piece: flat[i:j] for piece, i, j in zip(new, [0, *to], to)}
 
     def _learn(self, new: list[str]) -> None:
         plain = new
@@ -93,29 +91,30 @@ class WordEncoder:
                 self.chunks[chunk] = self._direct(chunk)
             return
         cut = [self.pieces.findall(x) for x in normal]
-        fresh = list(set().union(*cut).difference(self.known))
-        if fresh:
-            self._learn_pieces(fresh)
+        known = self._of_pieces(list(set().union(*cut)))
         for chunk, parts in zip(plain, cut, strict=True):
-            self.chunks[chunk] = self.known[parts[0]] if len(parts) == 1 else b"".join(map(self.known.__getitem__, parts))
+            self.chunks[chunk] = known[parts[0]] if len(parts) == 1 else b"".join(map(known.__getitem__, parts))
 
     def split(self, text: str) -> list[str]:
         # the tokenizer's lower case is Python's, but for the sigma at the end of a word
         text = text if "\u03a3" in text or any(s in text for s in self.special) else text.lower()
         if self.controls.search(text):
             return [x for x in self.space.split(text) if x]
+        if not self.marks.search(text):
+            # a mark that has no other beside it is a piece by itself
+            text = text.replace(".", " . ").replace(",", " , ")
         return text.split()
 
     def encode(self, texts: list[str], end: int | None = None) -> list[np.ndarray]:
         """The ids of each text, and the end id if there is one."""
         split = [self.split(t) for t in texts]
         if len(self.chunks) > MAX_CHUNKS:
-            self.chunks.clear()
-        if len(self.known) > MAX_CHUNKS:
-            self.known.clear()
-        new = list(set().union(*split).difference(self.chunks))
-        if new:
-            self._learn(new)
+            self.chunks, self.older = {}, self.chunks
+        new = set().union(*split).difference(self.chunks)
+        again = new.intersection(self.older)
+        self.chunks.update((c, self.older[c]) for c in again)
+        if len(new) > len(again):
+            self._learn(list(new - again))
         last = b"" if end is None else np.array([end], dtype="<u4").tobytes()
         return [np.frombuffer(b"".join(map(self.chunks.__getitem__, x)) + last, dtype="<u4") for x in split]
 
