@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from gradeloom.plans import q_grading
+from gradeloom.plans import q_evaluation, q_grading, q_ownership
 
-PARTS = (q_grading,)
+PARTS = (q_grading, q_ownership, q_evaluation)
 QUERIES: dict = {name: f for part in PARTS for name, f in part.Q.items()}
 ORACLE_SQL: dict = {name: text for part in PARTS for name, text in part.S.items()}
