@@ -34,6 +34,8 @@ from . import common
 RARE, PLACES, HASHES = 1e-5, 1 << 21, 2
 MAX_LANGUAGES = 64
 UNKNOWN = "und"
+#: N-grams that a task gathers before it counts them.
+WAITING = 6_000_000
 
 LETTER = re.compile(r"[^\W\d_]")
 #: ASCII other than letters becomes a space.
@@ -109,17 +111,27 @@ def count_grams(df: DataFrame, text: str = "text", label: str = "lang") -> DataF
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total: dict[str, tuple[np.ndarray, np.ndarray]] = {}
-        for rows in batches:
-            by: dict[str, list[np.ndarray]] = {}
-            for name, value in zip(rows.column(1).to_pylist(), rows.column(0).to_pylist(), strict=True):
-                by.setdefault(name, []).append(grams(value))
-            for name, parts in by.items():
+        waiting: dict[str, list[np.ndarray]] = {}
+        size = 0
+
+        def settle() -> None:
+            for name, parts in waiting.items():
                 found, n = np.unique(np.concatenate(parts), return_counts=True)
                 if name in total:
-                    both = np.concatenate([total[name][0], found])
-                    found, inverse = np.unique(both, return_inverse=True)
+                    found, inverse = np.unique(np.concatenate([total[name][0], found]), return_inverse=True)
                     n = np.bincount(inverse, weights=np.concatenate([total[name][1], n])).astype(np.int64)
                 total[name] = found, n
+            waiting.clear()
+
+        for rows in common.smaller(batches):
+            for name, value in zip(rows.column(1).to_pylist(), rows.column(0).to_pylist(), strict=True):
+                found = grams(value)
+                waiting.setdefault(name, []).append(found)
+                size += len(found)
+            if size > WAITING:
+                settle()
+                size = 0
+        settle()
         for name, (found, n) in total.items():
             yield pa.RecordBatch.from_arrays([pa.array([name] * len(found), pa.string()), pa.array(found.astype(np.int64)), pa.array(n.astype(np.int64))], names=["lang", "gram", "n"])
 
@@ -147,7 +159,7 @@ def identify(df: DataFrame, model: Filter, key: str = "doc_id", text: str = "tex
     held = df.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for rows in batches:
+        for rows in common.smaller(batches):
             told = [held.value.decide(t) for t in rows.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([rows.column(0), pa.array([n for n, _ in told], pa.string()), pa.array([s for _, s in told], pa.float64())], names=[key, "lang_pred", "score"])
 
@@ -160,7 +172,7 @@ def keep_known(df: DataFrame, model: Filter, least: float = 0.1, text: str = "te
     at = df.columns.index(text)
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for rows in batches:
+        for rows in common.smaller(batches):
             told = [held.value.decide(t) for t in rows.column(at).to_pylist()]
             yield rows.filter(pa.array([n != UNKNOWN and s >= least for n, s in told], pa.bool_()))
 
