@@ -79,11 +79,15 @@ def _least_shared(n: Column, k: int) -> Column:
     return F.when(union <= k, F.ceil(n * 85 / 100.0)).otherwise(F.floor(F.least(n * 0.85, drawn))).cast("int")
 
 
-def _alike(a: Column, b: Column, n_a: Column, n_b: Column) -> Column:
-    """The union-sketch estimate: of the k least values of the union, how many are in both."""
+def _alike(a: Column, b: Column, n_a: Column, n_b: Column, k: int) -> Column:
+    """The union-sketch estimate: of the k least values of the union, how many are in both.
+
+    Of sets that the sketches hold whole this is how many values they share.
+    """
     both = F.array_intersect(a, b)
-    least = F.slice(F.array_sort(F.array_union(a, b)), 1, K)
-    return F.size(F.array_intersect(least, both)) >= F.least(_least_shared(n_a, K), _least_shared(n_b, K))
+    least = F.slice(F.array_sort(F.array_union(a, b)), 1, k)
+    shared = F.when(F.greatest(n_a, n_b) <= k, F.size(both)).otherwise(F.size(F.array_intersect(least, both)))
+    return shared >= _needed(n_a, n_b, k)
 
 
 def _sizes_fit(a: Column, b: Column) -> Column:
@@ -137,7 +141,7 @@ def _near_pairs(lists: DataFrame) -> DataFrame:
 def _estimated(pairs: DataFrame, nodes: DataFrame) -> DataFrame:
     own = nodes.select("node", "n", "sketch")
     a, b = own.toDF("a", "n_a", "sketch_a"), own.toDF("b", "n_b", "sketch_b")
-    return pairs.join(a, "a").join(b, "b").where(_alike(F.col("sketch_a"), F.col("sketch_b"), F.col("n_a"), F.col("n_b"))).select("a", "b")
+    return pairs.join(a, "a").join(b, "b").where(_alike(F.col("sketch_a"), F.col("sketch_b"), F.col("n_a"), F.col("n_b"), K)).select("a", "b")
 
 
 @lru_cache(maxsize=64)
@@ -186,9 +190,10 @@ def _larger(texts: DataFrame, wanted: DataFrame) -> DataFrame:
     return texts.join(wanted.select(F.col("node").alias("doc_id")), "doc_id", "left_semi").select("doc_id", "text").mapInArrow(run, "node long, n long, sketch array<long>")
 
 
-def _rest_pairs(lists: DataFrame, nodes: DataFrame, component: DataFrame) -> DataFrame:
-    """a, b: pairs of a list between components, by the estimate; one end is outside the list's largest."""
-    mixed = _several(lists, component).join(nodes.select("node", "sketch"), "node")
+def _rest_pairs(lists: DataFrame, larger: DataFrame, component: DataFrame) -> DataFrame:
+    """a, b: pairs of a list between components, by the estimate from larger sketches, which is made
+    within the join, so only pairs that pass become rows; one end is outside the list's largest component."""
+    mixed = _several(lists, component).join(larger.select("node", "sketch"), "node")
     x = mixed.where("component <> top").select("v", F.col("node").alias("x"), F.col("n").alias("n_x"), F.col("component").alias("c_x"), F.col("sketch").alias("s_x"), F.col("first").alias("f_x"), F.col("left").alias("l_x"))
     y = mixed.select("v", F.col("node").alias("y"), F.col("n").alias("n_y"), F.col("component").alias("c_y"), F.col("sketch").alias("s_y"), F.col("first").alias("f_y"), F.col("left").alias("l_y"), (F.col("component") == F.col("top")).alias("in_top"))
     fits = (F.col("c_x") != F.col("c_y")) & (F.col("in_top") | (F.col("x") < F.col("y"))) & _sizes_fit(F.col("n_x"), F.col("n_y"))
@@ -196,7 +201,7 @@ def _rest_pairs(lists: DataFrame, nodes: DataFrame, component: DataFrame) -> Dat
     once = F.get(F.array_intersect("f_x", "f_y"), F.lit(0)) == x.v
     # what two sets share comes at their first common value or later
     enough = F.least("l_x", "l_y") >= _needed(F.col("n_x"), F.col("n_y"), LARGE)
-    found = x.join(y, (x.v == y.v) & fits & enough & once & _alike(F.col("s_x"), F.col("s_y"), F.col("n_x"), F.col("n_y")))
+    found = x.join(y, (x.v == y.v) & fits & enough & once & _alike(F.col("s_x"), F.col("s_y"), F.col("n_x"), F.col("n_y"), LARGE))
     return found.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
 
 
@@ -212,8 +217,9 @@ def near_duplicates(df: DataFrame, key: str = "doc_id", text: str = "text") -> D
     near = common.shared_table(verified(_estimated(_near_pairs(lists), nodes), texts), "links")
     grouped = components(near)
     open_lists = _several(lists, grouped).select("node").distinct()
-    larger = common.shared_table(inverted_lists(_larger(texts, open_lists), LARGE), "lists")
-    rest = common.shared_table(verified(_rest_pairs(larger, nodes, grouped), texts), "links")
+    larger = common.shared_table(_larger(texts, open_lists).dropDuplicates(["node"]), "sketches")
+    relisted = common.shared_table(inverted_lists(larger, LARGE), "lists")
+    rest = common.shared_table(verified(_rest_pairs(relisted, larger, grouped), texts), "links")
     # a document of several texts ties their classes together by its id
     ties = scanned.where("doc_id IS NOT NULL AND n_shingles > 0").join(nodes.select("fp", "node"), "fp").where("doc_id <> node").select(F.col("doc_id").alias("a"), F.col("node").alias("b"))
     ends = grouped.select(F.col("node").alias("a"), F.col("component").alias("b")).unionByName(rest).unionByName(ties)
