@@ -1,0 +1,123 @@
+"""Pixel measurements in Arrow batches (I1, I2, I6, I7), and what needs libraries that are not installed."""
+
+from __future__ import annotations
+
+import numpy as np
+import pandas as pd
+from pyspark.sql import Column
+from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+from gradeloom.session import need
+
+DARK = 150
+
+
+def disc(gray: np.ndarray, cx: int, cy: int, r: int) -> np.ndarray | None:
+    """Pixels of a disc; null if it leaves the page."""
+    h, w = gray.shape
+    if r < 1 or cx - r < 0 or cy - r < 0 or cx + r >= w or cy + r >= h:
+        return None
+    y, x = np.ogrid[-r : r + 1, -r : r + 1]
+    return gray[cy - r : cy + r + 1, cx - r : cx + r + 1][x * x + y * y <= r * r]
+
+
+def fill_and_ink(gray: np.ndarray, cx: int, cy: int, r: int) -> tuple[float | None, float | None]:
+    """The lesser dark share of the whole disc and of its core; mean ink of the inner disc."""
+    whole, core, inner = disc(gray, cx, cy, r), disc(gray, cx, cy, max(1, round(r * 0.45))), disc(gray, cx, cy, max(1, round(r * 0.70)))
+    if whole is None:
+        return None, None
+    return float(min((whole < DARK).mean(), (core < DARK).mean())), float((255.0 - inner).mean() / 255.0)
+
+
+def enhanced_fill(gray: np.ndarray, cx: int, cy: int, r: int) -> float | None:
+    """The dark share against the paper around: its 80th percentile less a gap of 8 to 18 by its spread."""
+    whole, wide = disc(gray, cx, cy, r), disc(gray, cx, cy, 2 * r)
+    if whole is None or wide is None:
+        return None
+    paper = np.percentile(wide, 80)
+    gap = np.clip(2 * np.median(np.abs(wide - np.median(wide))), 8, 18)
+    return float((whole < paper - gap).mean())
+
+
+def cell_ink(gray: np.ndarray) -> float:
+    """The share of a cell's interior darker than its paper (90th percentile less 25)."""
+    h, w = gray.shape
+    inner = gray[h // 8 : h - h // 8, w // 8 : w - w // 8]
+    return float((inner < np.percentile(inner, 90) - 25).mean()) if inner.size else 0.0
+
+
+def shapes(gray: np.ndarray) -> dict[str, float]:
+    """Ink shares of a patch by region, and its aspect."""
+    ink = gray < DARK
+    h, w = ink.shape
+    y, x = np.mgrid[0:h, 0:w]
+    far = np.hypot((y - (h - 1) / 2) / max(1, h / 2), (x - (w - 1) / 2) / max(1, w / 2))
+    share = lambda m: float(ink[m].mean()) if m.any() else 0.0
+    rows, cols = np.flatnonzero(ink.any(axis=1)), np.flatnonzero(ink.any(axis=0))
+    return {
+        "total": float(ink.mean()), "inner": share(far < 0.5), "ring": share((far >= 0.5) & (far < 0.9)), "outer": share(far >= 0.9),
+        "diag1": share(np.abs(y * w - x * h) < h), "diag2": share(np.abs(y * w - (w - 1 - x) * h) < h), "top": share(y < h / 2), "left": share(x < w / 2),
+        "aspect": float((cols[-1] - cols[0] + 1) / (rows[-1] - rows[0] + 1)) if len(rows) else 0.0,
+    }
+
+
+def _image(data: bytes, height: int, width: int) -> np.ndarray:
+    return np.frombuffer(data, dtype=np.uint8)[: height * width].reshape(height, width).astype(float)
+
+
+@F.pandas_udf(T.StructType([T.StructField(n, T.DoubleType()) for n in ("fill", "ink", "enhanced")]))
+def measure_disc(data: pd.Series, height: pd.Series, width: pd.Series, cx: pd.Series, cy: pd.Series, r: pd.Series) -> pd.DataFrame:
+    out = []
+    for d, h, w, x, y, k in zip(data, height, width, cx, cy, r, strict=True):
+        g = _image(d, int(h), int(w))
+        out.append((*fill_and_ink(g, int(x), int(y), int(k)), enhanced_fill(g, int(x), int(y), int(k))))
+    return pd.DataFrame(out, columns=["fill", "ink", "enhanced"]).astype(float)
+
+
+@F.pandas_udf(T.MapType(T.StringType(), T.DoubleType()))
+def measure_shapes(data: pd.Series, height: pd.Series, width: pd.Series) -> pd.Series:
+    return pd.Series([shapes(_image(d, int(h), int(w))) for d, h, w in zip(data, height, width, strict=True)])
+
+
+@F.pandas_udf(T.DoubleType())
+def measure_cell(data: pd.Series, height: pd.Series, width: pd.Series) -> pd.Series:
+    return pd.Series([cell_ink(_image(d, int(h), int(w))) for d, h, w in zip(data, height, width, strict=True)])
+
+
+@F.pandas_udf(T.BinaryType())
+def draw_bubble(size: pd.Series, radius: pd.Series, coverage: pd.Series, shade: pd.Series) -> pd.Series:
+    """A white page with one shaded disc in its middle, for round trips."""
+    out = []
+    for n, r, c, s in zip(size, radius, coverage, shade, strict=True):
+        page = np.full((int(n), int(n)), 255, dtype=np.uint8)
+        y, x = np.ogrid[: int(n), : int(n)]
+        page[(y - n // 2) ** 2 + (x - n // 2) ** 2 <= (r * np.sqrt(c)) ** 2] = int(s)
+        out.append(page.tobytes())
+    return pd.Series(out)
+
+
+def band_of_line(top: Column, height: Column, lines: Column, line: Column) -> tuple[Column, Column]:
+    """A line's band of an answer, 12 per cent wider on both sides."""
+    step = height / lines
+    return F.greatest(top, top + step * line - step * 0.12), F.least(top + height, top + step * (line + 1) + step * 0.12)
+
+
+def align_page(*_, **__):
+    """Registration by contours and warps; only with an image library."""
+    return need("cv2", "page alignment")
+
+
+def isolate_ink(*_, **__):
+    """Background flattening and component filters; only with an image library."""
+    return need("cv2", "ink isolation")
+
+
+def train_network(*_, **__):
+    """Training of digit networks; only with a network library."""
+    return need("torch", "training digit networks")
+
+
+def recognise_text(*_, **__):
+    """M2, M6: text recognition back ends; only with a network library."""
+    return need("torch", "text recognition")

@@ -34,3 +34,27 @@ def expose_package(spark: SparkSession) -> None:
     parts = [p for p in env.get("PYTHONPATH", "").split(os.pathsep) if p]
     if ROOT not in parts:
         env["PYTHONPATH"] = os.pathsep.join([*parts, ROOT])
+
+
+def shared_dir(spark: SparkSession) -> str:
+    """The folder all executors share, from spark.checkpoint.dir; a default only on a local master."""
+    found = spark.conf.get("spark.checkpoint.dir", None)
+    if not found:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        found = "/tmp/gradeloom-checkpoints"
+    return found.rstrip("/")
+
+
+class NotAvailable(RuntimeError):
+    """An operator needs a library that is not installed."""
+
+
+def need(module: str, what: str):
+    """The module, or a clear refusal; results are never faked."""
+    import importlib
+
+    try:
+        return importlib.import_module(module)
+    except ImportError as e:
+        raise NotAvailable(f"{what} needs {module}, which is not installed") from e
