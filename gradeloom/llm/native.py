@@ -80,3 +80,12 @@ def redacted(text: Column, found: Column, mark: str) -> Column:
     )
     rest = F.concat(done["out"], F.substring(text, done["at"] + 1, F.length(text)))
     return F.when(F.size(found) > 0, rest).otherwise(text)
+
+
+def packed(columns: list[str]) -> Column:
+    """Columns in one struct named row, out of the way of names that an operator uses itself."""
+    return F.struct(F.lit(0).alias("_"), *[F.col(f"`{c}`") for c in columns]).alias("row")
+
+
+def unpacked(columns: list[str]) -> list[Column]:
+    return [F.col(f"row.`{c}`").alias(c) for c in columns]

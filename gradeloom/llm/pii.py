@@ -86,7 +86,7 @@ def base_spans(t: Column) -> Column:
 
 
 def extract(df: DataFrame, text: str, keep: list[str]) -> DataFrame:
-    """rid, the kept columns, base, and loose: candidates as struct(span, text, before, after)."""
+    """rid, row (the kept columns), base, and loose: candidates as struct(span, text, before, after)."""
     t = F.coalesce(F.col(text), F.lit(""))
 
     def loose(kind: str, pattern: str, order: int) -> Column:
@@ -100,8 +100,8 @@ def extract(df: DataFrame, text: str, keep: list[str]) -> DataFrame:
             ),
         )
 
-    rows = df.select(F.monotonically_increasing_id().alias("rid"), *[F.col(c) for c in keep], base_spans(t).alias("base"), F.concat(*(loose(k, p, len(BASE_KINDS) + i) for i, (k, p, *_) in enumerate(LOOSE))).alias("all_loose"))
-    return rows.select("rid", *keep, "base", F.filter("all_loose", lambda c: ~F.exists("base", lambda b: native.overlaps(c["span"], b))).alias("loose"))
+    rows = df.select(F.monotonically_increasing_id().alias("rid"), native.packed(keep), base_spans(t).alias("base"), F.concat(*(loose(k, p, len(BASE_KINDS) + i) for i, (k, p, *_) in enumerate(LOOSE))).alias("all_loose"))
+    return rows.select("rid", "row", "base", F.filter("all_loose", lambda c: ~F.exists("base", lambda b: native.overlaps(c["span"], b))).alias("loose"))
 
 
 def _sign(yes: Column, no: Column) -> Column:
@@ -205,14 +205,14 @@ def classified(votes: DataFrame) -> DataFrame:
 
 
 def find(df: DataFrame, text: str = "text", keep: list[str] | None = None) -> DataFrame:
-    """The kept columns (all if none are named), base and spans (base and classified ones, in order)."""
-    keep = df.columns if keep is None else keep
+    """The kept columns (all if none are named; those named base or spans give way), base and spans (base and classified ones, in order)."""
+    keep = [c for c in (df.columns if keep is None else keep) if c not in ("base", "spans")]
     rows = common.shared_table(extract(df, text, keep), "candidates")
     some = rows.where(F.size("loose") > 0)
     votes = common.shared_table(voted(some), "votes")
     added = classified(votes).groupBy("rid").agg(F.collect_list("span").alias("added"))
-    found = some.join(added, "rid", "left").select(*keep, "base", native.in_order(F.concat("base", F.coalesce("added", native.no(native.SPAN)))).alias("spans"))
-    return found.unionByName(rows.where(F.size("loose") == 0).select(*keep, "base", F.col("base").alias("spans")))
+    found = some.join(added, "rid", "left").select(*native.unpacked(keep), "base", native.in_order(F.concat("base", F.coalesce("added", native.no(native.SPAN)))).alias("spans"))
+    return found.unionByName(rows.where(F.size("loose") == 0).select(*native.unpacked(keep), "base", F.col("base").alias("spans")))
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -45,14 +45,14 @@ ROLE = {"assign": "secret", "access": "identifier", "hex": "secret"} | {k: r for
 
 
 def extract(df: DataFrame, text: str, keep: list[str]) -> DataFrame:
-    """rid, the kept columns, base (spans by pattern, in order) and weak (weak parts outside of them)."""
+    """rid, row (the kept columns), base (spans by pattern, in order) and weak (weak parts outside of them)."""
     t = F.coalesce(F.col(text), F.lit(""))
     assign = F.when(t.rlike(ASSIGN_LIKELY), F.filter(native.matches(t, ASSIGN, 2), lambda m: F.length(m["part"]) >= 6)).otherwise(native.no(native.MATCH))
     base = native.in_order(F.concat(native.spans(assign, "assign", 0), native.spans(native.matches(t, ACCESS), "access", 1), native.spans(native.matches(t, HEX), "hex", 2)))
     weak = native.in_order(F.concat(*(native.spans(native.matches(t, p), k, len(BASE_KINDS) + i) for i, (k, _, p) in enumerate(WEAK))))
-    rows = df.select(F.monotonically_increasing_id().alias("rid"), *[F.col(c) for c in keep], base.alias("base"), weak.alias("all_weak"))
+    rows = df.select(F.monotonically_increasing_id().alias("rid"), native.packed(keep), base.alias("base"), weak.alias("all_weak"))
     own = F.filter("all_weak", lambda w: ~F.exists("base", lambda b: native.overlaps(w, b)))
-    return rows.select("rid", *keep, "base", own.alias("weak"))
+    return rows.select("rid", "row", "base", own.alias("weak"))
 
 
 def _role(kind):
@@ -79,20 +79,21 @@ def linked(rows: DataFrame) -> DataFrame:
 
 
 def find(df: DataFrame, text: str = "text", keep: list[str] | None = None) -> DataFrame:
-    """The kept columns (all if none are named), base and spans (base and linked weak parts, in order)."""
-    keep = df.columns if keep is None else keep
+    """The kept columns (all if none are named; those named base or spans give way), base and spans (base and linked weak parts, in order)."""
+    keep = [c for c in (df.columns if keep is None else keep) if c not in ("base", "spans")]
     rows = common.shared_table(extract(df, text, keep), "parts")
     both = (F.size("weak") > 0) & (F.size("base") + F.size("weak") > 1)
     some = rows.where(both)
     joined = some.join(linked(some), "rid", "left")
-    found = joined.select(*keep, "base", native.in_order(F.concat("base", F.coalesce("added", native.no(native.SPAN)))).alias("spans"))
-    return found.unionByName(rows.where(~both).select(*keep, "base", F.col("base").alias("spans")))
+    found = joined.select(*native.unpacked(keep), "base", native.in_order(F.concat("base", F.coalesce("added", native.no(native.SPAN)))).alias("spans"))
+    return found.unionByName(rows.where(~both).select(*native.unpacked(keep), "base", F.col("base").alias("spans")))
 
 
 def redact(df: DataFrame, text: str = "text", mark: str = "<SECRET>") -> DataFrame:
     """df with the spans of its texts replaced by a mark; a null text stays null."""
-    found = find(df, text)
-    return found.withColumn(text, native.redacted(F.col(text), F.col("spans"), mark)).select(*df.columns)
+    found = find(df.select(F.struct(*[F.col(f"`{c}`") for c in df.columns]).alias("whole"), F.col(text).alias("own_text")), "own_text")
+    kept = [F.col(f"whole.`{c}`").alias(c) for c in df.columns if c != text]
+    return found.select(*kept, native.redacted(F.col("own_text"), F.col("spans"), mark).alias(text)).select(*[f"`{c}`" for c in df.columns])
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
