@@ -50,11 +50,11 @@ def arrow_rows(df: DataFrame, columns: list[str]) -> DataFrame:
     return df.select(*[F.col(c) for c in columns])
 
 
-def smaller(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The same rows in batches of BATCH_ROWS, for what makes much of each row."""
+def smaller(batches: Iterable[pa.RecordBatch], size: int = BATCH_ROWS) -> Iterator[pa.RecordBatch]:
+    """The same rows in batches of so many, for what makes much of each row."""
     for rows in batches:
-        for at in range(0, rows.num_rows, BATCH_ROWS):
-            yield rows.slice(at, BATCH_ROWS)
+        for at in range(0, rows.num_rows, size):
+            yield rows.slice(at, size)
 
 
 def words(text: str | None) -> list[bytes]:
