@@ -35,6 +35,8 @@ TOKENIZER = public_tokenizers.path("word_bpe_49k.json")
 END = 1
 #: Ids in a file, and chunks whose ids a worker keeps before it starts over.
 FILE_IDS, MAX_CHUNKS = 1 << 22, 250_000
+#: Texts that are encoded together.
+TOGETHER = 1000
 
 
 class WordEncoder:
@@ -48,7 +50,9 @@ class WordEncoder:
     #: White space of Unicode; others that Python splits at are control characters here.
     space = regex.compile(r"\p{White_Space}+")
     controls = regex.compile(r"[\x1c-\x1f]")
-    marks = re.compile(r"(?:[^\w\s]|_){2}")
+    #: A full stop or comma with another mark beside it.
+    marks = re.compile(r"[.,](?:[^\w\s]|_)|(?:[^\w\s]|_)[.,]")
+    kinds = bytes(ord("a") if chr(b).isalnum() else ord(" ") if chr(b).isspace() else ord("!") for b in range(128)) + bytes(128)
     pieces = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|\p{L}+|\p{N}|[^\s\p{L}\p{N}]+")
 
     def __init__(self, path: str):
@@ -70,7 +74,7 @@ class WordEncoder:
         return np.array(self.library.encode(text, add_special_tokens=False).ids, dtype="<u4").tobytes()
 
     def _of_pieces(self, new: list[str]) -> dict[str, bytes]:
-        ids = np.array(self.library.encode(" ".join(new), add_special_tokens=False).ids, dtype=np.int64)
+        ids = np.array(self.library.encode_batch_fast([" ".join(new)], add_special_tokens=False)[0].ids, dtype=np.int64)
         cuts = np.flatnonzero(self.ends[ids]) + 1 if len(ids) else ids
         if len(cuts) != len(new) or (len(cuts) and cuts[-1] != len(ids)):
             return {piece: self._direct(piece) for piece in new}
@@ -90,17 +94,26 @@ class WordEncoder:
             for chunk in plain:
                 self.chunks[chunk] = self._direct(chunk)
             return
-        cut = [self.pieces.findall(x) for x in normal]
-        known = self._of_pieces(list(set().union(*cut)))
-        for chunk, parts in zip(plain, cut, strict=True):
-            self.chunks[chunk] = known[parts[0]] if len(parts) == 1 else b"".join(map(known.__getitem__, parts))
+        # letters alone are one piece
+        whole = [(c, x) for c, x in zip(plain, normal, strict=True) if x.isalpha()]
+        cut = [(c, self.pieces.findall(x)) for c, x in zip(plain, normal, strict=True) if not x.isalpha()]
+        known = self._of_pieces(list({x for _, x in whole}.union(*(parts for _, parts in cut))))
+        self.chunks.update((c, known[x]) for c, x in whole)
+        self.chunks.update((c, known[parts[0]] if len(parts) == 1 else b"".join(map(known.__getitem__, parts))) for c, parts in cut)
+
+    def alone(self, text: str) -> bool:
+        """No full stop or comma has another mark beside it (or the text is ASCII and no two marks touch)."""
+        if text.isascii():
+            return b"!!" not in text.encode().translate(self.kinds)
+        return not self.marks.search(text)
 
     def split(self, text: str) -> list[str]:
         # the tokenizer's lower case is Python's, but for the sigma at the end of a word
-        text = text if "\u03a3" in text or any(s in text for s in self.special) else text.lower()
+        lowered = not ("\u03a3" in text or any(s in text for s in self.special))
+        text = text.lower() if lowered else text
         if self.controls.search(text):
             return [x for x in self.space.split(text) if x]
-        if not self.marks.search(text):
+        if lowered and self.alone(text):
             # a mark that has no other beside it is a piece by itself
             text = text.replace(".", " . ").replace(",", " , ")
         return text.split()
@@ -158,8 +171,8 @@ def write(df: DataFrame, folder: str, key: str = "doc_id", text: str = "text", t
                 out, place = Writer(bits), place + 1
 
         for rows in batches:
-            for at in range(0, rows.num_rows, 250):
-                some = rows.slice(at, 250)
+            for at in range(0, rows.num_rows, TOGETHER):
+                some = rows.slice(at, TOGETHER)
                 for doc, ids in zip(some.column(0).to_pylist(), words.encode([t or "" for t in some.column(1).to_pylist()], end), strict=True):
                     out.add(doc, ids)
                     if out.starts[-1] >= FILE_IDS:
