@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import types as T
 
 from . import common
-from .bpe_fst import codec, digest
+from .bpe_fst import codec, digest, forget
 
 RANKS = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
 PATTERN = public_tokenizers.PATTERN
@@ -47,6 +47,7 @@ def encode(
     decodes = any(o.startswith("decoded") for o in outputs)
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        common.alone("bpe", forget)
         encoder, decoder = codec(ranks_path, pattern)
         for rows in common.smaller(batches):
             made: dict[str, list] = {o: [] for o in outputs}
@@ -73,6 +74,7 @@ def decode(df: DataFrame, key: str = "doc_id", ids: str = "ids", ranks_path: str
     """key and the text that the ids spell; bytes that aren't UTF-8 become U+FFFD. Null ids: an empty text."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        common.alone("bpe", forget)
         _, decoder = codec(ranks_path, pattern)
         for rows in common.smaller(batches):
             texts = ["".join(decoder.stream(x or ())) for x in rows.column(1).to_pylist()]

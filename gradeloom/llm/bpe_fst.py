@@ -22,9 +22,9 @@ from itertools import chain
 import regex
 
 #: States that a transducer keeps before it starts over.
-MAX_STATES = 250_000
+MAX_STATES = 150_000
 #: Word chunks whose tokens a worker keeps before it starts over.
-MAX_CHUNKS = 300_000
+MAX_CHUNKS = 200_000
 
 
 def read_ranks(path: str) -> dict[bytes, int]:
@@ -315,6 +315,12 @@ class StreamDecoder:
 _encoders: dict[tuple, tuple[Encoder, StreamDecoder]] = {}
 
 
+def forget() -> None:
+    _encoders.clear()
+    _decimals.clear()
+
+
+
 def codec(path: str, pattern: str) -> tuple[Encoder, StreamDecoder]:
     """An encoder and a decoder, kept for the life of the worker."""
     key = (os.path.realpath(path), pattern)

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import uuid
-from collections.abc import Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -50,6 +50,21 @@ def arrow_rows(df: DataFrame, columns: list[str]) -> DataFrame:
     return df.select(*[F.col(c) for c in columns])
 
 
+_held: dict[str, Callable[[], object]] = {}
+
+
+def alone(name: str, clear: Callable[[], object]) -> None:
+    """Called when a task begins in a worker: what other operators have kept there is dropped."""
+    for other in [k for k in _held if k != name]:
+        _held.pop(other)()
+    _held[name] = clear
+
+
+def release(spark: SparkSession) -> None:
+    """Has the driver collect its garbage: Spark deletes the shuffle files of plans that are done only then."""
+    spark.sparkContext._jvm.System.gc()
+
+
 def smaller(batches: Iterable[pa.RecordBatch], size: int = BATCH_ROWS) -> Iterator[pa.RecordBatch]:
     """The same rows in batches of so many, for what makes much of each row."""
     for rows in batches:

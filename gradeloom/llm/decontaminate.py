@@ -35,7 +35,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from . import common
-from .shingles import PLACES, WIDTH, mixed, shingles, word_hashes
+from .shingles import PLACES, WIDTH, forget, mixed, shingles, word_hashes
 
 BITS, BLOCKS, RADIUS = 128, 8, 36
 #: Items in an index.
@@ -164,6 +164,11 @@ def _index(items: list[tuple]) -> ItemIndex:
     return _indexes[key]
 
 
+def forget_index() -> None:
+    _indexes.clear()
+    forget()
+
+
 def item_blocks(benchmark: DataFrame, key: str = "item_id", text: str = "text") -> Iterator[list[tuple]]:
     """The items in blocks of about BLOCK, each read when its turn comes."""
     items = benchmark.select(F.col(key).alias("i"), F.col(text).alias("t")).where("t IS NOT NULL")
@@ -181,6 +186,7 @@ def contaminated(df: DataFrame, benchmark: DataFrame, key: str = "doc_id", text:
     for items in item_blocks(benchmark):
 
         def run(batches: Iterable[pa.RecordBatch], items: list[tuple] = items) -> Iterator[pa.RecordBatch]:
+            common.alone("decontaminate", forget_index)
             index = _index(items)
             for rows in common.smaller(batches):
                 at, made = [], []
@@ -206,6 +212,7 @@ def clean(df: DataFrame, benchmark: DataFrame, text: str = "text") -> DataFrame:
     for items in item_blocks(benchmark):
 
         def run(batches: Iterable[pa.RecordBatch], items: list[tuple] = items) -> Iterator[pa.RecordBatch]:
+            common.alone("decontaminate", forget_index)
             index = _index(items)
             for rows in common.smaller(batches):
                 keep = [not index.match(common.words(value)) for value in rows.column(at).to_pylist()]

@@ -110,6 +110,7 @@ def count_grams(df: DataFrame, text: str = "text", label: str = "lang") -> DataF
     """lang, gram, n over all rows with a text and a label."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        common.alone("langid", lambda: None)
         total: dict[str, tuple[np.ndarray, np.ndarray]] = {}
         waiting: dict[str, list[np.ndarray]] = {}
         size = 0
@@ -159,6 +160,7 @@ def identify(df: DataFrame, model: Filter, key: str = "doc_id", text: str = "tex
     held = df.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        common.alone("langid", lambda: None)
         for rows in common.smaller(batches):
             told = [held.value.decide(t) for t in rows.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([rows.column(0), pa.array([n for n, _ in told], pa.string()), pa.array([s for _, s in told], pa.float64())], names=[key, "lang_pred", "score"])
@@ -172,6 +174,7 @@ def keep_known(df: DataFrame, model: Filter, least: float = 0.1, text: str = "te
     at = df.columns.index(text)
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        common.alone("langid", lambda: None)
         for rows in common.smaller(batches):
             told = [held.value.decide(t) for t in rows.column(at).to_pylist()]
             yield rows.filter(pa.array([n != UNKNOWN and s >= least for n, s in told], pa.bool_()))

@@ -42,7 +42,7 @@ from pyspark.sql import functions as F
 
 from . import common
 from .components import components
-from .shingles import distinct, overlap
+from .shingles import distinct, forget, overlap
 
 #: Values in a sketch, and in a larger one.
 K, LARGE = 32, 256
@@ -56,6 +56,7 @@ def scan(df: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """doc_id, n_shingles, fp (fingerprint of the set) and sketch (its k least values, ascending)."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        common.alone("shingles", forget_sets)
         for rows in common.smaller(batches):
             sizes, prints, sketches = [], [], []
             for value in rows.column(1).to_pylist():
@@ -149,6 +150,11 @@ def _set_of(text: str):
     return distinct(common.words(text))
 
 
+def forget_sets() -> None:
+    _set_of.cache_clear()
+    forget()
+
+
 def verified(pairs: DataFrame, texts: DataFrame, percent: int = 85) -> DataFrame:
     """Those pairs (a, b) whose full sets have 100 * intersection >= percent * union.
 
@@ -156,6 +162,7 @@ def verified(pairs: DataFrame, texts: DataFrame, percent: int = 85) -> DataFrame
     """
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        common.alone("shingles", forget_sets)
         for rows in common.smaller(batches):
             ends = zip(rows.column(2).to_pylist(), rows.column(3).to_pylist(), strict=True)
             keep = []
@@ -182,6 +189,7 @@ def _larger(texts: DataFrame, wanted: DataFrame) -> DataFrame:
     """node, n, sketch: sketches of LARGE values of the wanted nodes."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        common.alone("shingles", forget_sets)
         for rows in common.smaller(batches):
             found = [distinct(common.words(t)) for t in rows.column(1).to_pylist()]
             sketches = [(x[:LARGE] >> 1).astype("int64") for x in found]
@@ -215,11 +223,14 @@ def near_duplicates(df: DataFrame, key: str = "doc_id", text: str = "text") -> D
     texts = df.select(F.col(key).cast("long").alias("doc_id"), F.col(text).alias("text"))
 
     near = common.shared_table(verified(_estimated(_near_pairs(lists), nodes), texts), "links")
+    common.release(df.sparkSession)
     grouped = components(near)
     open_lists = _several(lists, grouped).select("node").distinct()
     larger = common.shared_table(_larger(texts, open_lists).dropDuplicates(["node"]), "sketches")
+    common.release(df.sparkSession)
     relisted = common.shared_table(inverted_lists(larger, LARGE), "lists")
     rest = common.shared_table(verified(_rest_pairs(relisted, larger, grouped), texts), "links")
+    common.release(df.sparkSession)
     # a document of several texts ties their classes together by its id
     ties = scanned.where("doc_id IS NOT NULL AND n_shingles > 0").join(nodes.select("fp", "node"), "fp").where("doc_id <> node").select(F.col("doc_id").alias("a"), F.col("node").alias("b"))
     ends = grouped.select(F.col("node").alias("a"), F.col("component").alias("b")).unionByName(rest).unionByName(ties)

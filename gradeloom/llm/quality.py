@@ -129,6 +129,7 @@ def _scored(df: DataFrame, model: Classifier, key: str, text: str, host: str, pa
     held = df.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        common.alone("quality", _places.clear)
         for rows in common.smaller(batches):
             logits = [held.value.logit(t) if t else None for t in rows.column(3).to_pylist()]
             yield pa.RecordBatch.from_arrays([*rows.columns[:3], pa.array(logits, pa.float64())], names=["doc_id", "host", "path", "logit"])

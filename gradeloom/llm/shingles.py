@@ -26,6 +26,11 @@ class WordHashes(dict):
 _words = WordHashes()
 
 
+def forget() -> None:
+    _words.clear()
+
+
+
 def word_hashes(words: list[bytes]) -> np.ndarray:
     return np.fromiter(map(_words.__getitem__, words), dtype=np.uint64, count=len(words))
 

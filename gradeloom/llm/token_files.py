@@ -158,6 +158,7 @@ def write(df: DataFrame, folder: str, key: str = "doc_id", text: str = "text", t
     """Writes the files; returns their list: name, n_ids, part, place and first (ids in files before)."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        common.alone("tokens", _encoders.clear)
         words = encoder(tokenizer)
         part, place, bits = TaskContext.get().partitionId(), 0, width(words.size)
         out, made = Writer(bits), []
