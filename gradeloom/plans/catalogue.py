@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from gradeloom.plans import q_evaluation, q_grading, q_more, q_ownership
+from gradeloom.plans import q_evaluation, q_grading, q_joins, q_more, q_ownership
 
-PARTS = (q_grading, q_ownership, q_evaluation, q_more)
+PARTS = (q_grading, q_ownership, q_evaluation, q_joins, q_more)
 QUERIES: dict = {name: f for part in PARTS for name, f in part.Q.items()}
 ORACLE_SQL: dict = {name: text for part in PARTS for name, text in part.S.items()}
