@@ -125,8 +125,8 @@ def text_quality(text: Column) -> Column:
     """.20 + .48 alphanumeric share + .22 length up to 14 - .35 symbol share - noise runs, in 0 to 1."""
     t = F.regexp_replace(text, r"\s+", "")
     n = F.greatest(F.length(t), F.lit(1))
-    alnum = count_of(t, "[A-Za-z0-9]") / n
-    symbol = count_of(t, "[^A-Za-z0-9]") / n
+    plain = F.length(F.regexp_replace(text, "[^A-Za-z0-9]+", ""))
+    alnum, symbol = plain / n, (F.length(t) - plain) / n
     runs = count_of(text, r"[_=\-]{3,}|[^\w\s]{4,}")
     score = 0.20 + 0.48 * alnum + 0.22 * F.least(F.lit(1.0), F.length(t) / 14.0) - 0.35 * symbol - F.least(F.lit(0.30), 0.12 * runs)
     return F.when(F.length(t) == 0, 0.0).otherwise(F.greatest(F.lit(0.0), F.least(F.lit(1.0), score)))
@@ -141,7 +141,7 @@ def dominant_count(text: Column) -> Column:
 def noise_line(text: Column) -> Column:
     """A character repeated 11 times, or one that dominates, or mostly symbols."""
     t = F.regexp_replace(text, r"\s+", "")
-    n, alnum = F.length(t), count_of(F.regexp_replace(text, r"\s+", ""), "[A-Za-z0-9]")
+    n, alnum = F.length(t), F.length(F.regexp_replace(text, "[^A-Za-z0-9]+", ""))
     top = F.coalesce(dominant_count(t), F.lit(0))
     share = top / F.greatest(alnum, F.lit(1))
     symbols = (n - alnum) / F.greatest(n, F.lit(1))

@@ -22,59 +22,70 @@ def top_two(bubbles: DataFrame, keys: list[str], value: str = "fill", option: st
     return ranked.groupBy(*keys).agg(first(option).alias("best"), first(value).alias("best_value"), (first(value) - second).alias("margin"))
 
 
-def _excess(x: Column) -> Column:
-    """Ink over the baseline: the median ink of options that are clearly empty."""
-    return x["ink"] - F.col("baseline")
+def _middle(values: Column) -> Column:
+    """The median of an array; null if it is empty."""
+    s = F.array_sort(values)
+    n = F.size(s)
+    at = lambda i: F.get(s, F.floor(i).cast("int"))
+    return F.when(n > 0, (at((n - 1) / 2) + at(n / 2)) / 2)
 
 
-def assess_mcq(bubbles: DataFrame, keys: list[str] = ("sheet", "q_no")) -> DataFrame:
-    """B1: outcome, selected, confidence and review of each question from fill and ink of its options.
+def questions(bubbles: DataFrame, keys: list[str]) -> DataFrame:
+    """A row for each question with its options, fullest first (ties: smaller option): the only shuffle of B1 to B3."""
+    option = F.struct((-F.col("fill")).alias("neg"), "option", "fill", "ink", "enhanced")
+    g = bubbles.groupBy(*keys).agg(F.sort_array(F.collect_list(option)).alias("options"))
+    empty = F.transform(F.filter("options", lambda x: x["fill"] < FLOOR), lambda x: x["ink"])
+    return g.withColumn("baseline", F.coalesce(_middle(empty), _middle(F.transform("options", lambda x: x["ink"]))))
 
-    More than one filled: multiple. One filled: answered, low if the margin is small, medium if another
-    option is marked. None filled: blank, low if some option is marked, high otherwise.
-    """
-    keys = list(keys)
-    base = bubbles.groupBy(*keys).agg(
-        F.median(F.when(F.col("fill") < FLOOR, F.col("ink"))).alias("low"), F.median("ink").alias("all_ink"),
-        F.sort_array(F.collect_list(F.struct((-F.col("fill")).alias("neg"), "option", "fill", "ink"))).alias("options"),
-    ).withColumn("baseline", F.coalesce("low", "all_ink"))
+
+def _assessed(g: DataFrame) -> dict[str, Column]:
     filled = F.size(F.filter("options", lambda x: x["fill"] >= FILL))
     top, second = F.get("options", F.lit(0)), F.get("options", F.lit(1))
     margin = top["fill"] - F.coalesce(second["fill"], F.lit(0.0))
-    marked = lambda x: (x["fill"] >= FLOOR) | ((x["ink"] >= INK) & (_excess(x) >= INK_EXCESS))
+    marked = lambda x: (x["fill"] >= FLOOR) | ((x["ink"] >= INK) & (x["ink"] - F.col("baseline") >= INK_EXCESS))
     others = F.exists(F.slice("options", F.lit(2), F.greatest(F.size("options") - 1, F.lit(0))), marked)
-    any_marked = F.exists("options", marked)
     outcome = F.when(filled > 1, "multiple").when(filled == 1, "answered").otherwise("blank")
     confidence = (
         F.when(filled > 1, "low")
         .when((filled == 1) & (margin < MARGIN), "low")
         .when((filled == 1) & others, "medium")
         .when(filled == 1, "high")
-        .when(any_marked, "low")
+        .when(F.exists("options", marked), "low")
         .otherwise("high")
     )
-    return base.select(*keys, outcome.alias("outcome"), F.when(filled == 1, top["option"]).alias("selected"), confidence.alias("confidence"), margin.alias("margin")).withColumn("needs_review", F.col("confidence") != "high")
+    return {"outcome": outcome, "selected": F.when(filled == 1, top["option"]), "confidence": confidence, "margin": margin, "needs_review": confidence != "high"}
+
+
+def _provisional(g: DataFrame) -> Column:
+    by = F.sort_array(F.transform("options", lambda x: F.struct((-x["enhanced"]).alias("neg"), x["option"].alias("option"), x["enhanced"].alias("enhanced"), x["ink"].alias("ink"))))
+    best, second = F.get(by, F.lit(0)), F.get(by, F.lit(1))
+    rest = _middle(F.transform(F.slice(by, F.lit(2), F.greatest(F.size("options") - 1, F.lit(0))), lambda x: x["ink"]))
+    sure = (best["enhanced"] >= FILL) & (best["enhanced"] - F.coalesce(second["enhanced"], F.lit(0.0)) >= MARGIN) & (best["ink"] - F.coalesce(rest, F.lit(0.0)) >= FAINT_EXCESS)
+    return F.when(sure, best["option"])
+
+
+def assess_mcq(bubbles: DataFrame, keys: list[str] = ("sheet", "q_no")) -> DataFrame:
+    """B1: outcome, selected, confidence, margin and review of each question from fill and ink of its options.
+
+    More than one filled: multiple. One filled: answered, low if the margin is small, medium if another
+    option is marked. None filled: blank, low if some option is marked, high otherwise.
+    """
+    g = questions(bubbles, list(keys))
+    return g.select(*keys, *[c.alias(n) for n, c in _assessed(g).items()])
 
 
 def faint_option(bubbles: DataFrame, keys: list[str] = ("sheet", "q_no")) -> DataFrame:
     """B2: the option that an enhanced reading shows, if it is clear and its raw ink stands out; else null."""
-    keys = list(keys)
-    best = top_two(bubbles.select(*keys, "option", "enhanced"), keys, "enhanced")
-    joined = bubbles.join(best, keys)
-    own = F.max(F.when(F.col("option") == F.col("best"), F.col("ink")))
-    rest = F.median(F.when(F.col("option") != F.col("best"), F.col("ink")))
-    told = joined.groupBy(*keys, "best", "best_value", "margin").agg((own - F.coalesce(rest, F.lit(0.0))).alias("excess"))
-    sure = (F.col("best_value") >= FILL) & (F.col("margin") >= MARGIN) & (F.col("excess") >= FAINT_EXCESS)
-    return told.select(*keys, F.when(sure, F.col("best")).alias("provisional"))
+    g = questions(bubbles, list(keys))
+    return g.select(*keys, _provisional(g).alias("provisional"))
 
 
 def read_mcq(bubbles: DataFrame, keys: list[str] = ("sheet", "q_no")) -> DataFrame:
     """B1, and where no option is filled what B2 finds, as an answer of low confidence."""
-    keys = list(keys)
-    pale = bubbles.join(bubbles.groupBy(*keys).agg(F.max("fill").alias("most")).where(F.col("most") < FILL).select(*keys), keys)
-    joined = assess_mcq(bubbles, keys).join(faint_option(pale, keys), keys, "left")
+    g = questions(bubbles, list(keys))
+    told = g.select(*keys, *[c.alias(n) for n, c in _assessed(g).items()], F.when(F.get("options", F.lit(0))["fill"] < FILL, _provisional(g)).alias("provisional"))
     up = (F.col("outcome") == "blank") & F.col("provisional").isNotNull()
-    return joined.select(
+    return told.select(
         *keys,
         F.when(up, "answered").otherwise(F.col("outcome")).alias("outcome"),
         F.when(up, F.col("provisional")).otherwise(F.col("selected")).alias("selected"),
