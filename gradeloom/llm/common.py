@@ -41,7 +41,7 @@ def shared_path(spark: SparkSession, name: str) -> str:
 def shared_table(df: DataFrame, name: str) -> DataFrame:
     """df written as Parquet to the shared folder and read again: cuts lineage, survives lost executors."""
     path = shared_path(df.sparkSession, name)
-    df.write.parquet(path)
+    df.write.option("compression", "zstd").parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 

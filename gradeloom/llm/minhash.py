@@ -220,7 +220,10 @@ def near_duplicates(df: DataFrame, key: str = "doc_id", text: str = "text") -> D
     classes = able.groupBy("fp").agg(F.min("doc_id").alias("node"), F.first("n_shingles").alias("n"), F.first("sketch").alias("sketch"))
     nodes = common.shared_table(classes, "classes")
     lists = common.shared_table(inverted_lists(nodes, K), "lists")
-    texts = df.select(F.col(key).cast("long").alias("doc_id"), F.col(text).alias("text"))
+    every = df.select(F.col(key).cast("long").alias("doc_id"), F.col(text).alias("text"))
+    # only texts of classes in lists are needed from here on: shuffled whole once, and kept
+    texts = common.shared_table(every.join(lists.select(F.col("node").alias("doc_id")).distinct(), "doc_id", "left_semi"), "texts")
+    common.release(df.sparkSession)
 
     near = common.shared_table(verified(_estimated(_near_pairs(lists), nodes), texts), "links")
     common.release(df.sparkSession)
