@@ -84,15 +84,19 @@ def ensemble(members: DataFrame, weights: DataFrame) -> DataFrame:
     return mean.withColumn("place", F.row_number().over(w)).where("place = 1").select("crop", F.col("digit").alias("predicted"))
 
 
-def knn_vote(queries: DataFrame, known: DataFrame, k: int = 3) -> DataFrame:
+def knn_vote(queries: DataFrame, known: DataFrame, k: int = 3, blocks: int = 64) -> DataFrame:
     """The label most of the k nearest have; ties go to the label of the nearest of them.
 
-    known is a reference set of a stated size; Spark broadcasts it by that size.
+    The reference set is dealt to blocks and each query meets every block, so work spreads over
+    (query, block) and only k of a block go on. queries: id, q. known: known_id, x, label.
     """
     far = F.aggregate(F.zip_with("q", "x", lambda a, b: (a.cast("double") - b.cast("double")) * (a.cast("double") - b.cast("double"))), F.lit(0.0), lambda s, v: s + v)
-    pairs = queries.join(known, on=[F.col("bucket") == F.col("known_bucket")]).select("id", "label", "known_id", far.alias("far"))
-    w = Window.partitionBy("id").orderBy("far", "known_id")
-    near = pairs.withColumn("place", F.row_number().over(w)).where(F.col("place") <= k)
+    dealt = known.withColumn("block", F.pmod(F.xxhash64("known_id"), F.lit(blocks)))
+    asked = queries.withColumn("block", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(blocks - 1).cast("long"))))
+    pairs = asked.join(dealt, "block").select("id", "block", "label", "known_id", far.alias("far"))
+    within = Window.partitionBy("id", "block").orderBy("far", "known_id")
+    few = pairs.withColumn("place", F.row_number().over(within)).where(F.col("place") <= k)
+    near = few.withColumn("place", F.row_number().over(Window.partitionBy("id").orderBy("far", "known_id"))).where(F.col("place") <= k)
     votes = near.groupBy("id", "label").agg(F.count("*").alias("votes"), F.min("place").alias("first"))
     best = Window.partitionBy("id").orderBy(F.desc("votes"), "first")
     return votes.withColumn("p", F.row_number().over(best)).where("p = 1").select("id", "label", "votes")
@@ -100,12 +104,12 @@ def knn_vote(queries: DataFrame, known: DataFrame, k: int = 3) -> DataFrame:
 
 def balanced(rows: DataFrame, label: str, seed: int, target: int | None = None) -> DataFrame:
     """As many of each label as the rarest has (or the target), by seeded hash; reproducible, not a fixed shuffle."""
-    least = rows.groupBy(label).count().agg(F.min("count").alias("least"))
     w = Window.partitionBy(label).orderBy(F.xxhash64(F.lit(seed), "id"), "id")
     ranked = rows.withColumn("place", F.row_number().over(w))
     if target is not None:
         return ranked.withColumn("kept", F.col("place") <= target)
-    return ranked.join(F.broadcast(least)).withColumn("kept", F.col("place") <= F.col("least")).drop("least")
+    least = rows.groupBy(label).count().agg(F.min("count")).first()[0] or 0
+    return ranked.withColumn("kept", F.col("place") <= least)
 
 
 def sheet_split(rows: DataFrame, sheet: str, last: int) -> DataFrame:

@@ -136,8 +136,8 @@ def _(spark, d):
 @query("knn_vote", "WITH e AS (SELECT vec_id, label, list_transform(embedding[1:8], lambda x: floor(CAST(x AS DOUBLE) * 1000)) AS v FROM embeddings WHERE embedding IS NOT NULL), p AS (SELECT a.vec_id AS id, b.label, b.vec_id AS known_id, list_sum(list_transform(list_zip(a.v, b.v), lambda z: (z[1] - z[2]) * (z[1] - z[2]))) AS far FROM e a JOIN e b ON a.vec_id % 10 = 3 AND b.vec_id % 10 = 1), n AS (SELECT *, row_number() OVER (PARTITION BY id ORDER BY far, known_id) AS place FROM p), v AS (SELECT id, label, count(*) AS votes, min(place) AS first FROM n WHERE place <= 3 GROUP BY 1, 2) SELECT id, label, votes FROM (SELECT *, row_number() OVER (PARTITION BY id ORDER BY votes DESC, first) AS p FROM v) WHERE p = 1")
 def _(spark, d):
     e = A.table(spark, d, "embeddings").where("embedding IS NOT NULL").select("vec_id", "label", F.transform(F.slice("embedding", 1, 8), lambda x: F.floor(x.cast("double") * 1000)).alias("v"))
-    queries = e.where("vec_id % 10 = 3").select(F.col("vec_id").alias("id"), F.col("v").alias("q"), F.lit(0).alias("bucket"))
-    known = e.where("vec_id % 10 = 1").select("label", F.col("vec_id").alias("known_id"), F.col("v").alias("x"), F.lit(0).alias("known_bucket"))
+    queries = e.where("vec_id % 10 = 3").select(F.col("vec_id").alias("id"), F.col("v").alias("q"))
+    known = e.where("vec_id % 10 = 1").select("label", F.col("vec_id").alias("known_id"), F.col("v").alias("x"))
     return E.knn_vote(queries, known)
 
 
