@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from gradeloom.operators import blocks as met
+
 PROBABILITIES = (0.60, 0.70, 0.80, 0.85, 0.90, 0.95, 0.98)
 MARGINS = (0.0, 0.05, 0.10, 0.20)
 
@@ -97,6 +99,15 @@ def knn_vote(queries: DataFrame, known: DataFrame, k: int = 3, blocks: int = 64)
     within = Window.partitionBy("id", "block").orderBy("far", "known_id")
     few = pairs.withColumn("place", F.row_number().over(within)).where(F.col("place") <= k)
     near = few.withColumn("place", F.row_number().over(Window.partitionBy("id").orderBy("far", "known_id"))).where(F.col("place") <= k)
+    return _voted(near)
+
+
+def knn_vote_all(vectors: DataFrame, k: int = 3) -> DataFrame:
+    """The vote of the k nearest others for each vector, all vectors being references. vectors: id, label, v (integers)."""
+    return _voted(met.nearest(vectors, k))
+
+
+def _voted(near: DataFrame) -> DataFrame:
     votes = near.groupBy("id", "label").agg(F.count("*").alias("votes"), F.min("place").alias("first"))
     best = Window.partitionBy("id").orderBy(F.desc("votes"), "first")
     return votes.withColumn("p", F.row_number().over(best)).where("p = 1").select("id", "label", "votes")

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from gradeloom.functions.evidence import blocked, codes, evidence, flag_when, merged
 from gradeloom.functions.scalars import candidate_id, valid_roll
+from gradeloom.operators.blocks import best_rolls
 
 # Fixed thresholds of the domain.
 CELL_MIN, NEIGHBOUR_MIN, PATH_B_MIN, PATH_C_MIN = 0.80, 0.85, 0.25, 0.30
@@ -141,17 +142,13 @@ def candidates(pages: DataFrame) -> DataFrame:
 def decode_against_roster(reads: DataFrame, roster: DataFrame) -> DataFrame:
     """The roster's best roll for a page's digit scores, its margin, and whether it is clear.
 
-    reads: id, probs (arrays by place of ten probabilities). Rolls are dealt by length; the score is a
-    geometric mean, summed place by place over (id, roll), so nothing but a roster is broadcast, by its size.
+    reads: id, probs (arrays by place of ten probabilities). Every read meets every roll of its length,
+    in blocks; the score is a geometric mean.
     """
-    places = reads.select("id", F.posexplode("probs").alias("place", "p"), F.size("probs").alias("size"))
-    digits = roster.select("roll_no", F.regexp_replace("roll_no", "^(PHD|MT)", "").alias("d")).select("roll_no", F.length("d").alias("size"), F.posexplode(F.split("d", "(?!^)(?!$)")).alias("place", "digit"))
-    scored = places.join(digits, ["size", "place"]).groupBy("id", "roll_no", "size").agg(F.sum(F.ln(F.greatest(F.get("p", F.col("digit").cast("int")), F.lit(1e-6)))).alias("logs"))
-    score = scored.withColumn("score", F.exp(F.col("logs") / F.col("size")))
-    w = Window.partitionBy("id").orderBy(F.desc("score"), "roll_no")
-    best = score.withColumn("second", F.lead("score").over(w)).withColumn("place", F.row_number().over(w)).where("place = 1")
-    margin = F.col("score") - F.coalesce("second", F.lit(0.0))
-    return best.select("id", "roll_no", "score", margin.alias("margin"), ((F.col("score") >= 0.62) & (margin >= 0.12)).alias("clear"))
+    best = best_rolls(reads, roster.select("roll_no", F.regexp_replace("roll_no", "^(PHD|MT)", "").alias("digits")))
+    score, second = F.exp(F.col("logs") / F.col("size")), F.exp(F.col("second") / F.col("size"))
+    margin = score - F.coalesce(second, F.lit(0.0))
+    return best.select("id", "roll_no", score.alias("score"), margin.alias("margin"), ((score >= 0.62) & (margin >= 0.12)).alias("clear"))
 
 
 def order_suggestions(pages: DataFrame, mode: str, expected: int, total: int) -> DataFrame:

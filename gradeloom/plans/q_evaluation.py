@@ -141,6 +141,12 @@ def _(spark, d):
     return E.knn_vote(queries, known)
 
 
+@query("knn_vote_all")
+def _(spark, d):
+    e = A.table(spark, d, "embeddings").where("embedding IS NOT NULL")
+    return E.knn_vote_all(e.select(F.col("vec_id").alias("id"), "label", F.transform("embedding", lambda x: F.floor(x.cast("double") * 1000).cast("int")).alias("v")))
+
+
 @query("hash_dedup", "SELECT doc_id, place = 1 AND labels = 1 AS kept FROM (SELECT doc_id, row_number() OVER (PARTITION BY sha256(text) ORDER BY doc_id) AS place, count(DISTINCT lang) OVER (PARTITION BY sha256(text)) AS labels FROM documents)")
 def _(spark, d):
     docs = A.table(spark, d, "documents").select("doc_id", F.sha2("text", 256).alias("digest"), F.col("lang").alias("label"))
