@@ -5,9 +5,15 @@ Derivations are integer and string expressions, so both engines agree to the bit
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from contextvars import ContextVar
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+#: Whether pages() gives a page for every order.
+_EVERY: ContextVar[bool] = ContextVar("every", default=False)
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
@@ -40,14 +46,17 @@ ROSTER_SQL = f"""roster AS (SELECT c_custkey AS student_key, {ROLL_SQL.format(k=
 
 
 def pages(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Claimed pages: the first three orders of a customer, and each order whose key is divisible by 7 as a duplicate."""
+    """Claimed pages: the first three orders of a customer, and each order whose key is divisible by 7 as a duplicate.
+
+    In a query of on_every_page all other orders are duplicates too.
+    """
     o = table(spark, sf_dir, "orders")
     rn = F.row_number().over(Window.partitionBy("o_custkey").orderBy("o_orderdate", "o_orderkey"))
     k = F.col("o_orderkey")
     slot = F.when(F.col("rn") <= 3, F.col("rn")).otherwise(k % 3 + 1)
     return (
         o.withColumn("rn", rn)
-        .where("rn <= 3 OR o_orderkey % 7 = 0")
+        .where("TRUE" if _EVERY.get() else "rn <= 3 OR o_orderkey % 7 = 0")
         .select(
             (k + 1).alias("source_index"),
             slot.cast("int").alias("sheet_page"),
@@ -72,6 +81,22 @@ PAGES_SQL = f"""pages AS (SELECT o_orderkey + 1 AS source_index, CAST(CASE WHEN
  CASE WHEN o_orderkey % 23 = 0 THEN 'needs_review' ELSE 'ready' END AS quality, o_orderstatus AS state
  FROM (SELECT *, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey) AS rn FROM orders) WHERE rn <= 3 OR o_orderkey % 7 = 0)"""
 
+#: The same for every order.
+ALL_PAGES_SQL = PAGES_SQL.removesuffix(" WHERE rn <= 3 OR o_orderkey % 7 = 0)") + ")"
+
+
+def on_every_page(query: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
+    """The query with a page for every order."""
+
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        token = _EVERY.set(True)
+        try:
+            return query(spark, sf_dir)
+        finally:
+            _EVERY.reset(token)
+
+    return run
+
 
 def responses(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One answer for each sheet and question: the first line item in full order."""

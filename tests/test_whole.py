@@ -49,3 +49,14 @@ def test_every_roll_is_decoded(spark, sf):
         want[i] = roll, round(math.exp(-a / len(probs)), 5), round(math.exp(-a / len(probs)) - math.exp(-b / len(probs)), 5)
     told = O.decode_against_roster(spark.createDataFrame(reads, "id int, probs array<array<double>>"), spark.createDataFrame([(r,) for r in rolls], "roll_no string"))
     assert {r.id: (r.roll_no, round(r.score, 5), round(r.margin, 5)) for r in told.where(F.col("id").isNotNull()).collect()} == want
+
+
+def test_every_order_is_a_page(spark, sf):
+    orders = A.table(spark, sf, "orders")
+    pages = A.on_every_page(A.pages)(spark, sf)
+    assert pages.count() == orders.count() > A.pages(spark, sf).count()
+    assert pages.select("source_index").exceptAll(orders.select(F.col("o_orderkey") + 1)).count() == 0
+    counts = catalogue.QUERIES["claim_counts_all"](spark, sf)
+    assert counts.count() == orders.count()
+    on_pages = [n for n, sql in catalogue.ORACLE_SQL.items() if A.PAGES_SQL in sql]
+    assert len(on_pages) == 40 and all(A.ALL_PAGES_SQL in catalogue.ORACLE_SQL[f"{n}_all"] for n in on_pages)
