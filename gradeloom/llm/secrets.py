@@ -34,10 +34,10 @@ BASE_KINDS = ("assign", "access", "hex")
 
 #: Weak parts: kind, role, pattern.
 WEAK = (
-    ("account", "identifier", r"""(?<![A-Za-z0-9_])(?i:client_?id|access_?key_?id|account_?id|user_?name|login)["']?\x20{0,4}[:=]\x20{0,4}["']?[A-Za-z0-9@._-]{3,128}"""),
+    ("account", "identifier", r"""(?<![A-Za-z0-9_])(?i:client_?id|access_?key_?id|account_?(?:id|name)|user_?name|login)["']?\x20{0,4}[:=]\x20{0,4}["']?[A-Za-z0-9@._-]{3,128}"""),
     ("shortkey", "identifier", r"(?<![A-Za-z0-9])(?:ASIA|AROA|AIDA)[A-Z0-9]{12,124}(?![A-Za-z0-9])"),
-    ("labelled", "secret", r"""(?<![A-Za-z0-9_])(?i:pwd|passphrase|credential|private_?key|auth_?key)["']?\x20{0,4}[:=]\x20{0,4}["']?[A-Za-z0-9+/_.=!@#$%^&*-]{6,256}"""),
-    ("random", "secret", r"(?<![A-Za-z0-9+/_=-])(?=[A-Za-z+/]{0,63}[0-9])(?=[a-z0-9+/]{0,63}[A-Z])(?=[A-Z0-9+/]{0,63}[a-z])[A-Za-z0-9+/]{32,64}={0,2}(?![A-Za-z0-9+/_=-])"),
+    ("labelled", "secret", r"""(?<![A-Za-z0-9_])(?i:pwd|passphrase|credential|private_?key|auth_?key|account_?key|(?:aws_?)?(?:secret_?)?access_?key)["']?\x20{0,4}[:=]\x20{0,4}["']?[A-Za-z0-9+/_.=!@#$%^&*-]{6,}+"""),
+    ("random", "secret", r"(?<![A-Za-z0-9+/_-])(?=[A-Za-z+/]*+[0-9])(?=[a-z0-9+/]*+[A-Z])(?=[A-Z0-9+/]*+[a-z])[A-Za-z0-9+/]{32,}+={0,2}+(?![A-Za-z0-9+/_=-])"),
     ("endpoint", "endpoint", r"(?<![A-Za-z0-9])(?:https?|ftps?|postgres|postgresql|mysql|mongodb|redis|amqp|s3)://[A-Za-z0-9.@:%_/?&=#~+-]{3,2048}"),
 )
 KINDS = (*BASE_KINDS, *(k for k, _, _ in WEAK))
@@ -69,13 +69,13 @@ def linked(rows: DataFrame) -> DataFrame:
     """
     weak = rows.select("rid", F.explode("weak").alias("w")).select("rid", "w", _role(F.col("w.kind")).alias("role"))
     every = rows.select("rid", F.explode(F.concat("base", "weak")).alias("p")).select("rid", "p", _role(F.col("p.kind")).alias("p_role"))
-    # a weak part is dealt to the stretch of its start; a part to all stretches from which it can be in scope
-    weak = weak.withColumn("stretch", F.floor(F.col("w.start") / SCOPE))
-    every = every.withColumn("stretch", F.explode(F.sequence(F.floor((F.col("p.start") - SCOPE) / SCOPE) - 12, F.floor((F.col("p.end") + SCOPE) / SCOPE)))).withColumnRenamed("rid", "p_rid").withColumnRenamed("stretch", "p_stretch")
+    # a weak part, which may be long, is dealt to all its stretches; a part to all in which it can be in scope
+    weak = weak.withColumn("stretch", F.explode(F.sequence(F.floor(F.col("w.start") / SCOPE), F.floor(F.col("w.end") / SCOPE))))
+    every = every.withColumn("stretch", F.explode(F.sequence(F.floor((F.col("p.start") - SCOPE) / SCOPE), F.floor((F.col("p.end") + SCOPE) / SCOPE)))).withColumnRenamed("rid", "p_rid").withColumnRenamed("stretch", "p_stretch")
     near = (F.col("p.start") <= F.col("w.end") + SCOPE) & (F.col("w.start") <= F.col("p.end") + SCOPE)
     completes = (F.col("role") == "secret") != (F.col("p_role") == "secret")
     kept = weak.join(every, (F.col("rid") == F.col("p_rid")) & (F.col("stretch") == F.col("p_stretch")) & near & completes, "left_semi")
-    return kept.groupBy("rid").agg(native.in_order(F.collect_list("w")).alias("added"))
+    return kept.groupBy("rid").agg(native.in_order(F.collect_set("w")).alias("added"))
 
 
 def find(df: DataFrame, text: str = "text", keep: list[str] | None = None) -> DataFrame:

@@ -185,6 +185,23 @@ def test_far_parts_are_not_linked(spark):
     assert r.spans == []
 
 
+def test_secrets_of_linked_credentials_in_common_forms(spark):
+    key = "wJalrXUtnFEMI/K7MDENG/bPxRfiCYEXAMPLEKEY"
+    storage = "Eby8vdM02xNOcqFlqUwJPLlmEtlCDXJ1OUzFT50uSRZ6IFsuFq2UVErCz4I6tq" + "/K1SZFPTOtr/KBHBeksoGMGw=="
+    huge = "Ab3/" * 1500
+    far = "client_id: bob-the-app" + " x" * 400
+    texts = [
+        f"{AKIA} aws_secret_access_key={key}", f"{AKIA}\nFOO={key}\n", f'{{"id": "{AKIA}", "SecretAccessKey": "{key}"}}', f"{AKIA} access_key = {key}",
+        f"AccountName=store;AccountKey={storage};EndpointSuffix=core", f'login: bob blob "{storage}"', f"private_key={huge} login: bob", f"{huge} login: bob", f"login: bob X={huge}",
+    ]
+    assert len(storage) == 88
+    out = {r.doc_id: r.text for r in rows_of(secrets.redact(spark.createDataFrame([*enumerate(texts), (99, far + f" {key}")], "doc_id long, text string")))}
+    assert not [i for i in range(len(texts)) for s in (key, storage[:40], storage[-12:], "Ab3/") if s in out[i]]
+    assert key in out[99]
+    spans = [s for r in rows_of(secrets.find(spark.createDataFrame([(1, texts[7])], "doc_id long, text string"))) for s in r.spans]
+    assert [(s.kind, s.start, s.end) for s in spans] == [("random", 0, 6000), ("account", 6001, 6011)]
+
+
 def test_redaction_keeps_rows_and_columns(docs):
     out = secrets.redact(docs)
     assert out.columns == docs.columns and out.count() == docs.count()
