@@ -2,7 +2,7 @@
 
 Tokens are a text's words, A-Z lower-cased, and an end. The base score is that of add-one
 smoothed token counts. The model gives each token the probability of its bytes; a text is
-of one of KINDS kinds (clusters of byte pairs, found on SAMPLE training texts at most), which
+of one of KINDS kinds (clusters of byte pairs, found on all training texts), which
 costs log10(KINDS) and is part of every predictor's context.
 
 1. Training texts give counts by kind and token, each task's summed before the shuffle. All
@@ -34,7 +34,9 @@ from pyspark.sql import functions as F
 from . import common
 from .mixing import FIRST, Model, Weights, counted, shrunk
 
-KINDS, SAMPLE, HOT = 8, 2048, 500_000
+KINDS, HOT = 8, 500_000
+#: Centres of a task's texts, and passes over all texts that move the centres of KINDS.
+PARTS, PASSES = 16, 2
 #: Texts that are scored together: tokens new to the task are scored once for all of them.
 TOGETHER = 1024
 #: Distinct tokens that a task counts before it passes them on; places of byte pairs.
@@ -57,28 +59,84 @@ def _pairs(text: str) -> np.ndarray:
     return np.sqrt(n / max(1, n.sum()))
 
 
-def sampled_pairs(df: DataFrame, text: str) -> np.ndarray:
-    """The byte pairs of SAMPLE texts at most, those of the least hash."""
+def clustered(x: np.ndarray, weights: np.ndarray, k: int, rounds: int = 4) -> tuple[np.ndarray, np.ndarray]:
+    """k centres at most of weighted points (k-means), and their weights. Each first centre is where most is lost without it."""
+    if len(x) <= k:
+        return x, weights
+    squares = (x**2).sum(axis=1)
+    away = lambda c: np.maximum(0, squares - 2 * (x @ c) + c @ c)
+    far = [int(np.argmax(weights))]
+    lost = away(x[far[0]])
+    while len(far) < k:
+        far.append(int(np.argmax(lost * weights)))
+        lost = np.minimum(lost, away(x[far[-1]]))
+    centres = x[far]
+    for _ in range(rounds):
+        sums, mass = _sums(x, weights, centres)
+        centres = np.where(mass[:, None] > 0, sums / np.maximum(mass, 1e-9)[:, None], centres)
+    mass = _sums(x, weights, centres)[1]
+    return centres[mass > 0], mass[mass > 0]
 
-    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for rows in common.smaller(batches):
-            yield pa.RecordBatch.from_arrays([pa.array([_pairs(t).astype(np.float32).tobytes() for t in rows.column(0).to_pylist()], pa.binary())], names=["pairs"])
 
-    sample = df.where(F.col(text).isNotNull()).select(F.col(text).alias("text"), F.xxhash64(text).alias("h")).orderBy("h", "text").limit(SAMPLE)
-    found = [np.frombuffer(bytes(r.pairs), dtype=np.float32) for r in sample.select("text").mapInArrow(run, "pairs binary").collect()]
-    return np.stack(found).astype(np.float64) if found else np.zeros((1, PAIRS))
+def _sums(x: np.ndarray, weights: np.ndarray, centres: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Sums of the points nearest to each centre, and their weights'."""
+    near = np.argmax(x @ centres.T - (centres**2).sum(axis=1) / 2, axis=1)
+    own = (near == np.arange(len(centres))[:, None]) * weights
+    return own @ x, own.sum(axis=1)
 
 
-def kinds_of(x: np.ndarray) -> np.ndarray:
-    """Centres of KINDS clusters of texts' byte pairs (k-means from far-apart texts)."""
-    far = [0]
-    while len(far) < min(KINDS, len(x)):
-        near = np.min(np.stack([((x - x[i]) ** 2).sum(axis=1) for i in far]), axis=0)
-        far.append(int(np.argmax(np.where(np.arange(len(x)) % 2 == len(far) % 2, near, near * 0.7))))
-    centres = x[far]
-    for _ in range(12):
-        near = np.argmax(x @ centres.T - (centres**2).sum(axis=1) / 2, axis=1)
-        centres = np.stack([x[near == k].mean(axis=0) if (near == k).any() else centres[k] for k in range(len(centres))])
+def kinds_of(df: DataFrame, text: str) -> np.ndarray:
+    """Centres of KINDS clusters of the byte pairs of all texts.
+
+    Each task clusters its texts, batch by batch, into PARTS weighted centres; those of all tasks give the
+    first centres, and PASSES passes over all texts, summed in each task, move them to the means.
+    """
+    spark = df.sparkSession
+    texts = df.where(F.col(text).isNotNull()).select(F.col(text).alias("text"))
+    kind = "at int, pairs binary, mass double"
+
+    def told(x: np.ndarray, mass: np.ndarray) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(range(len(x)), pa.int32()), pa.array([v.astype(np.float32).tobytes() for v in x], pa.binary()), pa.array(mass, pa.float64())], names=["at", "pairs", "mass"])
+
+    def points(batches: Iterable[pa.RecordBatch]) -> Iterator[np.ndarray]:
+        for rows in common.smaller(batches):
+            if rows.num_rows:
+                yield np.stack([_pairs(t) for t in rows.column(0).to_pylist()]).astype(np.float32)
+
+    def first(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        x, mass = np.zeros((0, PAIRS), dtype=np.float32), np.zeros(0)
+        for more in points(batches):
+            found, n = clustered(more, np.ones(len(more), dtype=np.float32), PARTS)
+            x, mass = np.concatenate([x, found]), np.concatenate([mass, n])
+            if len(x) > 8 * PARTS:
+                x, mass = clustered(x, mass.astype(np.float32), PARTS)
+        if len(x):
+            yield told(*clustered(x, mass.astype(np.float32), PARTS))
+
+    def read(rows: list) -> np.ndarray:
+        return np.stack([np.frombuffer(bytes(r.pairs), dtype=np.float32) for r in rows]).astype(np.float64)
+
+    rows = texts.mapInArrow(first, kind).collect()
+    if not rows:
+        return np.zeros((1, PAIRS))
+    centres, _ = clustered(read(rows), np.array([r.mass for r in rows]), KINDS, 12)
+    for _ in range(PASSES):
+        held = spark.sparkContext.broadcast(centres.astype(np.float32))
+
+        def summed(batches: Iterable[pa.RecordBatch], held=held) -> Iterator[pa.RecordBatch]:
+            sums, mass = np.zeros(held.value.shape), np.zeros(len(held.value))
+            for x in points(batches):
+                more, n = _sums(x, np.ones(len(x), dtype=np.float32), held.value)
+                sums, mass = sums + more, mass + n
+            yield told(sums, mass)
+
+        rows = texts.mapInArrow(summed, kind).collect()
+        sums, mass = np.zeros(centres.shape), np.zeros(len(centres))
+        for r in rows:
+            sums[r.at] += np.frombuffer(bytes(r.pairs), dtype=np.float32)
+            mass[r.at] += r.mass
+        centres = np.where(mass[:, None] > 0, sums / np.maximum(mass, 1)[:, None], centres)
+        held.destroy()
     return centres
 
 
@@ -218,7 +276,7 @@ def _prepared(key: str, hot: tuple) -> tuple:
 def score(df: DataFrame, train: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """rid, key, n_tokens, n_known, train_tokens, base_score, score: one row for each of df, learned from train."""
     spark = df.sparkSession
-    centres = kinds_of(sampled_pairs(train, text))
+    centres = kinds_of(train, text)
     counts = common.shared_table(count_tokens(train, centres, text), "counts")
     by_token = common.shared_table(counts.groupBy("token").agg(F.sum("n").alias("c")), "tokens")
     totals = by_token.agg(F.coalesce(F.sum("c"), F.lit(0)).alias("n"), F.count("*").alias("v")).first()
