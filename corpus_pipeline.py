@@ -16,10 +16,10 @@ COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that are text of a learned language; lang is set to the language found where it is null.
+    """Documents that are text of a learned language; lang stays as it is, null too.
 
     A filter is learned from the labelled documents. ``und`` and texts of which less than a tenth
-    is known n-grams go.
+    is known n-grams go; without any labelled document only texts without a letter do.
     """
     expose_package(spark)
     model = langid.train(langid.training_rows(docs))

@@ -169,15 +169,23 @@ def identify(df: DataFrame, model: Filter, key: str = "doc_id", text: str = "tex
 
 
 def keep_known(df: DataFrame, model: Filter, least: float = 0.1, text: str = "text") -> DataFrame:
-    """df without the rows that are no text of a learned language: ``und``, or with a score under least."""
+    """df without the rows that are no text of a learned language: ``und``, or with a score under least.
+
+    If no language was learned, texts with a letter are kept.
+    """
     held = df.sparkSession.sparkContext.broadcast(model)
     at = df.columns.index(text)
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         common.alone("langid", lambda: None)
         for rows in common.smaller(batches):
-            told = [held.value.decide(t) for t in rows.column(at).to_pylist()]
-            yield rows.filter(pa.array([n != UNKNOWN and s >= least for n, s in told], pa.bool_()))
+            texts = rows.column(at).to_pylist()
+            if held.value.languages:
+                told = [held.value.decide(t) for t in texts]
+                kept = [n != UNKNOWN and s >= least for n, s in told]
+            else:
+                kept = [bool(t and LETTER.search(t)) for t in texts]
+            yield rows.filter(pa.array(kept, pa.bool_()))
 
     return df.mapInArrow(run, df.schema)
 

@@ -76,3 +76,11 @@ def test_kinds_of_text_are_found_beside_many_copies(spark):
     centres = lm.kinds_of(df.repartition(3), "text")
     told = [{lm._kind(t, centres) for t in rare if t[:4] == k[:4]} for k in kinds] + [{lm._kind(copied, centres)}]
     assert all(told) and all(not (a & b) for i, a in enumerate(told) for b in told[:i])
+
+
+def test_language_stage_without_labels_keeps_texts(spark, sf):
+    import corpus_pipeline
+
+    kind = "doc_id long, text string, lang string, source string, n_chars long"
+    docs = spark.createDataFrame([(1, "plain words", None, "s", 11), (2, "123 ...", None, "s", 7), (3, None, None, "s", 0)], kind)
+    assert [r.doc_id for r in corpus_pipeline.language_id(spark, docs, sf).collect()] == [1]
