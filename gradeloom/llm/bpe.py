@@ -13,17 +13,21 @@ from __future__ import annotations
 import hashlib
 from collections.abc import Iterable, Iterator
 
+import numpy as np
 import public_tokenizers
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import types as T
 
 from . import common
-from .bpe_fst import codec, digest, forget
+from .bpe_fst import Decimals, codec, forget
 
 RANKS = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
 PATTERN = public_tokenizers.PATTERN
 
+#: Texts that are encoded together, and about how many bytes of them.
+TOGETHER, TOGETHER_BYTES = 1024, 4 << 20
+
 OUTPUTS = {
     "n_tokens": T.LongType(),
     "ids": T.ArrayType(T.IntegerType()),
@@ -31,7 +35,20 @@ OUTPUTS = {
     "ids_sha256": T.StringType(),
     "decoded_sha256": T.StringType(),
 }
-_ARROW = {"n_tokens": pa.int64(), "ids": pa.list_(pa.int32()), "decoded": pa.string(), "ids_sha256": pa.string(), "decoded_sha256": pa.string()}
+
+
+def _column(output: str, ids: np.ndarray, ends: np.ndarray, decimals: Decimals, back: tuple[memoryview, np.ndarray] | None) -> pa.Array:
+    if output == "n_tokens":
+        return pa.array(np.diff(ends), pa.int64())
+    if output == "ids":
+        return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(ids, pa.int32()))
+    if output == "ids_sha256":
+        return pa.array(decimals.digests(ids, ends), pa.string())
+    data, at = back
+    texts = [data[i:j] for i, j in zip(at.tolist(), at[1:].tolist())]
+    if output == "decoded":
+        return pa.array([bytes(t).decode("utf-8") for t in texts], pa.string())
+    return pa.array([hashlib.sha256(t).hexdigest() for t in texts], pa.string())
 
 
 def encode(
@@ -41,33 +58,23 @@ def encode(
     outputs: tuple[str, ...] = ("n_tokens", "ids"),
     ranks_path: str = RANKS,
     pattern: str = PATTERN,
+    keep: tuple[str, ...] = (),
 ) -> DataFrame:
-    """key and, of each text's tokens, the outputs: n_tokens, ids, the text decoded from the ids,
-    and SHA-256 digests of the decimal ids joined by commas and of the decoded bytes."""
+    """key, the kept columns and, of each text's tokens, the outputs: n_tokens, ids, the text decoded from
+    the ids, and SHA-256 digests of the decimal ids joined by commas and of the decoded bytes."""
     decodes = any(o.startswith("decoded") for o in outputs)
+    kept = [key, *keep]
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         common.alone("bpe", forget)
-        encoder, decoder = codec(ranks_path, pattern)
-        for rows in common.smaller(batches):
-            made: dict[str, list] = {o: [] for o in outputs}
-            for value in rows.column(1).to_pylist():
-                ids = encoder.encode(value or "")
-                back = decoder.decode(ids) if decodes else ""
-                for o in outputs:
-                    made[o].append(
-                        len(ids) if o == "n_tokens"
-                        else ids if o == "ids"
-                        else digest(ids) if o == "ids_sha256"
-                        else back if o == "decoded"
-                        else hashlib.sha256(back.encode("utf-8")).hexdigest()
-                    )
-            yield pa.RecordBatch.from_arrays(
-                [rows.column(0), *(pa.array(made[o], type=_ARROW[o]) for o in outputs)], names=[key, *outputs]
-            )
-
-    schema = T.StructType([T.StructField(key, df.schema[key].dataType), *(T.StructField(o, OUTPUTS[o]) for o in outputs)])
-    return common.arrow_rows(df, [key, text]).mapInArrow(run, schema)
+        encoder, decoder, decimals = codec(ranks_path, pattern)
+        for rows in common.portions(batches, len(kept), TOGETHER, TOGETHER_BYTES):
+            ids, ends = encoder.encode_batch([t or "" for t in rows.column(len(kept)).to_pylist()])
+            back = decoder.decode_batch(ids, ends) if decodes else None
+            yield pa.RecordBatch.from_arrays([*rows.columns[: len(kept)], *(_column(o, ids, ends, decimals, back) for o in outputs)], names=[*kept, *outputs])
+
+    schema = T.StructType([*(df.schema[k] for k in kept), *(T.StructField(o, OUTPUTS[o]) for o in outputs)])
+    return common.arrow_rows(df, [*kept, text]).mapInArrow(run, schema)
 
 
 def decode(df: DataFrame, key: str = "doc_id", ids: str = "ids", ranks_path: str = RANKS, pattern: str = PATTERN) -> DataFrame:
@@ -75,7 +82,7 @@ def decode(df: DataFrame, key: str = "doc_id", ids: str = "ids", ranks_path: str
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         common.alone("bpe", forget)
-        _, decoder = codec(ranks_path, pattern)
+        _, decoder, _ = codec(ranks_path, pattern)
         for rows in common.smaller(batches):
             texts = ["".join(decoder.stream(x or ())) for x in rows.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([rows.column(0), pa.array(texts, type=pa.string())], names=[key, "decoded"])

@@ -5,7 +5,9 @@ from __future__ import annotations
 import uuid
 from collections.abc import Callable, Iterable, Iterator
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -72,6 +74,20 @@ def smaller(batches: Iterable[pa.RecordBatch], size: int = BATCH_ROWS) -> Iterat
             yield rows.slice(at, size)
 
 
+def portions(batches: Iterable[pa.RecordBatch], column: int, rows: int, size: int) -> Iterator[pa.RecordBatch]:
+    """The same rows in batches of at most so many, and of about so many bytes in the column, of texts."""
+    for some in batches:
+        if not some.num_rows:
+            continue
+        # a batch ends where rows or bytes pass a multiple of their bound
+        ends = np.cumsum(np.asarray(pc.fill_null(pc.binary_length(some.column(column)), 0), dtype=np.int64)) // size
+        at = 0
+        while at < some.num_rows:
+            to = min(at + rows, max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + 1))))
+            yield some.slice(at, to - at)
+            at = to
+
+
 def words(text: str | None) -> list[bytes]:
     """A-Z lower-cased, then runs of other than space and \\x09-\\x0D: what bytes.split() does."""
     return text.encode("utf-8", "surrogatepass").lower().split() if text else []
