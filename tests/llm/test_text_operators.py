@@ -289,7 +289,7 @@ def test_bpe_is_that_of_the_library(docs):
 
 def test_transducer_streams_and_matches_the_definition():
     random.seed(1)
-    encoder, decoder = bpe_fst.codec(bpe.RANKS, bpe.PATTERN)
+    encoder, decoder, _ = bpe_fst.codec(bpe.RANKS, bpe.PATTERN)
     machine = encoder.machine
     for _ in range(600):
         data = "".join(random.choice(["a", "th", "e", "ü", "ß", "日", "😀", "12", "!!", "ing", "xxx", "é"]) for _ in range(random.randint(1, 12))).encode()
@@ -366,3 +366,56 @@ def test_cold_tokens_count_like_hot_ones(spark, docs, monkeypatch):
     for a, b in zip(hot, cold, strict=True):
         assert (a.doc_id, a.n_tokens, a.n_known) == (b.doc_id, b.n_tokens, b.n_known)
         assert abs(a.base_score - b.base_score) < 1e-6 and abs(a.score - b.score) < 1e-3 * abs(a.score)
+
+
+def test_transducer_on_many_pieces_and_long_ones():
+    random.seed(2)
+    machine = bpe_fst.MergeTransducer(bpe_fst.read_ranks(bpe.RANKS))
+    pieces = ["".join(random.choice(["a", "th", "e", "ü", "日", "ing", "x"]) for _ in range(random.choice([1, 3, 9, 400]))).encode() for _ in range(60)]
+    ids, sizes = machine.encode_all(pieces)
+    cut = [tuple(x.tolist()) for x in np.split(ids, np.cumsum(sizes)[:-1])]
+    assert cut == [tuple(machine.merged(p)) for p in pieces] and max(map(len, pieces)) > bpe_fst.LONG
+    assert machine.encode_all([])[0].tolist() == []
+
+
+def test_tokens_come_before_the_end_of_a_piece():
+    """Emission needs bounded lookahead only: long before a piece of 3,000 letters ends, its first tokens are out."""
+    machine = bpe_fst.MergeTransducer(bpe_fst.read_ranks(bpe.RANKS))
+    out = list(machine.steps(b"theinging" * 333))
+    assert sum(map(len, out[:300])) > 20
+
+
+def test_bpe_of_other_patterns(spark):
+    import tiktoken
+
+    pattern = r"[a-z]+|[^a-z]+"
+    ref = tiktoken.Encoding("own", pat_str=pattern, mergeable_ranks=bpe_fst.read_ranks(bpe.RANKS), special_tokens={})
+    texts = ["ab cd  ef", " x", "", None]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string")
+    assert {r.doc_id: list(r.ids) for r in rows_of(bpe.encode(df, pattern=pattern))} == {i: ref.encode_ordinary(t or "") for i, t in enumerate(texts)}
+
+
+def test_decoding_of_broken_ids(spark):
+    machine = bpe_fst.codec(bpe.RANKS, bpe.PATTERN)[0].machine
+    data = [b"a\xe6\x97 b", b"\xe6\x97\xa5", b"\xff", b""]
+    ids = [[machine.ranks[bytes([b])] for b in x] for x in data]
+    decoder = bpe_fst.codec(bpe.RANKS, bpe.PATTERN)[1]
+    flat, ends = np.array([i for x in ids for i in x]), np.cumsum([0, *map(len, ids)])
+    raw, at = decoder.decode_batch(flat, ends)
+    assert [bytes(raw[i:j]).decode() for i, j in zip(at, at[1:])] == [x.decode("utf-8", "replace") for x in data]
+
+
+def test_token_files_are_read_by_several_tasks(spark, docs, monkeypatch):
+    monkeypatch.setattr(token_files, "FILE_IDS", 50)
+    folder = common.shared_path(spark, "token-files")
+    files = token_files.write(docs, folder)
+    read = token_files.read(files, folder)
+    assert files.count() > 3 and read.rdd.getNumPartitions() == files.count()
+    assert len(rows_of(read)) == docs.count()
+
+
+def test_other_tokenizers_get_texts_whole():
+    w = token_files.WordEncoder(token_files.public_tokenizers.path("byte_bpe_50k.json"))
+    texts = ["Some  text here.", "", "Ünïcödé"]
+    assert not w.by_word
+    assert [x.tolist() for x in w.encode(texts, 7)] == [[*e.ids, 7] for e in w.library.encode_batch(texts, add_special_tokens=False)]
