@@ -1,8 +1,9 @@
 """Operator 2: secrets, with weak parts of credentials reported only where complementary parts co-occur.
 
 Base spans (assign, access, hex) are found by pattern alone. Besides, a text has parts that
-alone say little: account identifiers, unlabelled random strings, labelled short secrets and
-endpoints. An interval join links weak parts with complementary ones: it deals both by row
+alone say little: account identifiers and addresses to log in with, unlabelled random strings,
+labelled secrets of other names, what misses a base kind's length (short assignments, hex of 16
+to 23 places), endpoints and hosts. An interval join links weak parts with complementary ones: it deals both by row
 and by stretches of SCOPE code points, and keeps a weak part if some complementary part is
 at most SCOPE code points away. Only Spark functions are used. The join reads rows that
 hold both a weak and a complementary part; its keys are (row, stretch), and what a stretch
@@ -17,7 +18,7 @@ Null text: empty, no spans. Repeated rows: a result for each. Extra columns: kep
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import common, native
@@ -38,21 +39,43 @@ WEAK = (
     ("shortkey", "identifier", r"(?<![A-Za-z0-9])(?:ASIA|AROA|AIDA)[A-Z0-9]{12,124}(?![A-Za-z0-9])"),
     ("labelled", "secret", r"""(?<![A-Za-z0-9_])(?i:pwd|passphrase|credential|private_?key|auth_?key|account_?key|(?:aws_?)?(?:secret_?)?access_?key)["']?\x20{0,4}[:=]\x20{0,4}["']?[A-Za-z0-9+/_.=!@#$%^&*-]{6,}+"""),
     ("random", "secret", r"(?<![A-Za-z0-9+/_-])(?=[A-Za-z+/]*+[0-9])(?=[a-z0-9+/]*+[A-Z])(?=[A-Z0-9+/]*+[a-z])[A-Za-z0-9+/]{32,}+={0,2}+(?![A-Za-z0-9+/_=-])"),
+    ("shorthex", "secret", r"(?<![A-Za-z0-9])(?=[a-f]*+[0-9])(?=[0-9]*+[a-f])[0-9a-f]{16,23}(?![A-Za-z0-9])"),
+    ("login", "identifier", r"(?:(?<![A-Za-z0-9._%+-])|\G)[A-Za-z0-9._%+-]++@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)++"),
+    ("host", "endpoint", r"(?<![0-9.])(?:[0-9]{1,3}\.){3}[0-9]{1,3}(?::[0-9]{1,5})?+(?![0-9.]?[0-9])"),
     ("endpoint", "endpoint", r"(?<![A-Za-z0-9])(?:https?|ftps?|postgres|postgresql|mysql|mongodb|redis|amqp|s3)://[A-Za-z0-9.@:%_/?&=#~+-]{3,2048}"),
 )
-KINDS = (*BASE_KINDS, *(k for k, _, _ in WEAK))
-ROLE = {"assign": "secret", "access": "identifier", "hex": "secret"} | {k: r for k, r, _ in WEAK}
+#: An assignment whose value is too short for the base kind.
+SHORT = "shortassign"
+KINDS = (*BASE_KINDS, *(k for k, _, _ in WEAK), SHORT)
+ROLE = {"assign": "secret", "access": "identifier", "hex": "secret", SHORT: "secret"} | {k: r for k, r, _ in WEAK}
+#: What a text must hold for a costly pattern to match.
+LIKELY = {"login": "@", "endpoint": "://"}
 
 
 def extract(df: DataFrame, text: str, keep: list[str]) -> DataFrame:
     """rid, row (the kept columns), base (spans by pattern, in order) and weak (weak parts outside of them)."""
     t = F.coalesce(F.col(text), F.lit(""))
-    assign = F.when(t.rlike(ASSIGN_LIKELY), F.filter(native.matches(t, ASSIGN, 2), lambda m: F.length(m["part"]) >= 6)).otherwise(native.no(native.MATCH))
-    base = native.in_order(F.concat(native.spans(assign, "assign", 0), native.spans(native.matches(t, ACCESS), "access", 1), native.spans(native.matches(t, HEX), "hex", 2)))
-    weak = native.in_order(F.concat(*(native.spans(native.matches(t, p), k, len(BASE_KINDS) + i) for i, (k, _, p) in enumerate(WEAK))))
-    rows = df.select(F.monotonically_increasing_id().alias("rid"), native.packed(keep), base.alias("base"), weak.alias("all_weak"))
-    own = F.filter("all_weak", lambda w: ~F.exists("base", lambda b: native.overlaps(w, b)))
-    return rows.select("rid", "row", "base", own.alias("weak"))
+
+    def weak_spans(kind: str, pattern: str) -> Column:
+        found = native.spans(native.matches(t, pattern), kind, KINDS.index(kind))
+        return F.when(F.contains(t, F.lit(LIKELY[kind])), found).otherwise(native.no(native.SPAN)) if kind in LIKELY else found
+
+    rows = df.select(
+        F.monotonically_increasing_id().alias("rid"),
+        native.packed(keep),
+        F.when(t.rlike(ASSIGN_LIKELY), native.matches(t, ASSIGN, 2)).otherwise(native.no(native.MATCH)).alias("assigned"),
+        native.spans(native.matches(t, ACCESS), "access", 1).alias("access"),
+        native.spans(native.matches(t, HEX), "hex", 2).alias("hex"),
+        F.concat(*(weak_spans(k, p) for k, _, p in WEAK)).alias("other"),
+    )
+    long = F.filter("assigned", lambda m: F.length(m["part"]) >= 6)
+    short = F.filter("assigned", lambda m: F.length(m["part"]) < 6)
+    both = rows.select(
+        "rid", "row",
+        native.in_order(F.concat(native.spans(long, "assign", 0), "access", "hex")).alias("base"),
+        native.in_order(F.concat("other", native.spans(short, SHORT, KINDS.index(SHORT)))).alias("parts"),
+    )
+    return both.select("rid", "row", "base", native.apart(F.col("parts"), lambda w: w, F.col("base")).alias("weak"))
 
 
 def _role(kind):
@@ -89,19 +112,26 @@ def find(df: DataFrame, text: str = "text", keep: list[str] | None = None) -> Da
     return found.unionByName(rows.where(~both).select(*native.unpacked(keep), "base", F.col("base").alias("spans")))
 
 
-def redact(df: DataFrame, text: str = "text", mark: str = "<SECRET>") -> DataFrame:
-    """df with the spans of its texts replaced by a mark; a null text stays null."""
+def redact(df: DataFrame, text: str = "text", mark: str = "<SECRET>", roles: tuple[str, ...] = ("secret",)) -> DataFrame:
+    """df with the base spans of its texts, and linked parts of the roles, replaced by a mark; a null text stays null.
+
+    Identifiers and endpoints that are linked with a secret are no secrets themselves and stay, unless asked for.
+    """
     found = find(df.select(F.struct(*[F.col(f"`{c}`") for c in df.columns]).alias("whole"), F.col(text).alias("own_text")), "own_text")
     kept = [F.col(f"whole.`{c}`").alias(c) for c in df.columns if c != text]
-    return found.select(*kept, native.redacted(F.col("own_text"), F.col("spans"), mark).alias(text)).select(*[f"`{c}`" for c in df.columns])
+    told = [k for k in KINDS if k in BASE_KINDS or ROLE[k] in roles]
+    hidden = F.filter("spans", lambda s: s["kind"].isin(told))
+    return found.select(*kept, native.redacted(F.col("own_text"), hidden, mark).alias(text)).select(*[f"`{c}`" for c in df.columns])
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """op2_secrets: counts and digests of every document's spans."""
+    """op2_secrets: counts and digests of every document's spans; n_spans: all, n_linked: those that the join added."""
     found = find(common.table(spark, sf_dir, "documents"), keep=["doc_id"])
     return found.select(
         "doc_id",
         *(native.count(F.col("base"), k).alias(f"n_{k}") for k in BASE_KINDS),
         F.sha2(native.told(F.col("base")), 256).alias("base_sha256"),
         native.told(F.col("spans")).alias("spans"),
+        F.size("spans").cast("long").alias("n_spans"),
+        (F.size("spans") - F.size("base")).cast("long").alias("n_linked"),
     )
