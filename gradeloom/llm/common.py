@@ -8,6 +8,7 @@ from collections.abc import Callable, Iterable, Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -52,6 +53,34 @@ def arrow_rows(df: DataFrame, columns: list[str]) -> DataFrame:
     return df.select(*[F.col(c) for c in columns])
 
 
+def store_of(folder: str) -> tuple[fs.FileSystem, str]:
+    """The file system of a folder's URI, and the path there."""
+    return fs.FileSystem.from_uri(folder if "://" in folder else "file://" + folder.removeprefix("file:"))
+
+
+def put_file(folder: str, name: str, data: bytes | pa.Buffer) -> None:
+    """Written under a name of its own, then renamed: a task that runs twice leaves the same file."""
+    store, path = store_of(folder)
+    store.create_dir(path, recursive=True)
+    own = f"{path}/.{name}.{uuid.uuid4().hex}"
+    with store.open_output_stream(own) as out:
+        out.write(data)
+    store.move(own, f"{path}/{name}")
+
+
+def write_arrow(folder: str, name: str, table: pa.Table) -> None:
+    sink = pa.BufferOutputStream()
+    with pa.ipc.new_file(sink, table.schema) as out:
+        out.write_table(table)
+    put_file(folder, name, sink.getvalue())
+
+
+def read_arrow(folder: str, name: str, columns: list[str]) -> pa.Table:
+    store, path = store_of(folder)
+    with store.open_input_file(f"{path}/{name}") as f:
+        return pa.ipc.open_file(f.read_buffer()).read_all().select(columns)
+
+
 _held: dict[str, Callable[[], object]] = {}
 
 

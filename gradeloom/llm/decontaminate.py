@@ -12,9 +12,11 @@ greatest counts. 0.8 and more is contamination.
 Windows that share no shingle with an item have similarity 0 with it, so only windows that
 hold a shingle of an item of their size are fingerprinted; that loses nothing.
 
-The benchmark is a stated set of queries: it is read in blocks of about BLOCK items, each a
-pass over the texts with an index of bounded size. Nothing is shuffled and nothing is kept
-of a text but its matches. Word overlap is what decides, so RADIUS is far above what
+The benchmark is dealt into files of BLOCK items at most, with their shingles, in the shared
+folder. One pass over the texts does for any number of items: a task reads all files' shingles
+(16 bytes each) into a sieve, which tells the blocks that a text may match, and makes those
+blocks' indexes when first needed; KEPT of them stay. Texts are not shuffled and nothing is
+kept of a text but its matches. Word overlap is what decides, so RADIUS is far above what
 windows of similarity 0.8 need (they differ in a word or two of fifteen or more).
 
 Null or empty texts match nothing, null or empty items are left out. Of several windows of a
@@ -25,21 +27,24 @@ reported each; repeated items, by item_id, once.
 from __future__ import annotations
 
 import math
+from collections import OrderedDict
 from collections.abc import Iterable, Iterator
 from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_type
 
 from . import common
 from .shingles import PLACES, WIDTH, forget, mixed, shingles, word_hashes
 
 BITS, BLOCKS, RADIUS = 128, 8, 36
-#: Items in an index.
-BLOCK = 512
+#: Items in an index, and indexes that a worker keeps.
+BLOCK, KEPT = 512, 6
 THRESHOLD = 0.8
 
 
@@ -116,22 +121,32 @@ class ItemIndex:
         near = apart <= RADIUS
         return w[near], k[near]
 
-    def match(self, words: list[bytes]) -> dict:
-        """item id: (similarity, first word, number of words), for items that the text contains."""
+    def match(self, words: list[bytes], whole: np.ndarray | None = None) -> dict:
+        """item id: (similarity, first word, number of words), for items that the text contains; whole: its shingles."""
         n = len(words)
         if not n or not self.ids:
             return {}
         found: dict = {}
         hashes = None
-        whole = shingles(words)
+        whole = shingles(words) if whole is None else whole
         likely = np.flatnonzero(self.sieve[(whole & np.uint64((1 << 20) - 1)).astype(np.int64)])
+        likely = likely[np.isin(whole[likely], self.known)]
+        at_of: dict[int, list[int]] = {}
+        for p in likely.tolist():
+            for size in self.sizes[int(whole[p])]:
+                at_of.setdefault(size, []).append(p)
         starts_of: dict[int, list[np.ndarray]] = {}
-        for p in likely:
-            for size in self.sizes.get(int(whole[p]), ()):
-                window = min(size, n)
-                first, last = max(0, p - max(window - WIDTH, 0)), min(int(p), n - window)
-                if first <= last:
-                    starts_of.setdefault(size, []).append(np.arange(first, last + 1))
+        for size, at in at_of.items():
+            # windows that hold one of the shingles: where more intervals of starts have begun than ended
+            window, at = min(size, n), np.array(at)
+            cover = np.zeros(n - window + 2, dtype=np.int32)
+            first, last = np.maximum(0, at - max(window - WIDTH, 0)), np.minimum(at, n - window)
+            some = first <= last
+            np.add.at(cover, first[some], 1)
+            np.add.at(cover, last[some] + 1, -1)
+            starts = np.flatnonzero(np.cumsum(cover) > 0)
+            if len(starts):
+                starts_of[size] = [starts]
         for size, wanted in self.short.items():
             if n >= size:
                 hashes = word_hashes(words) if hashes is None else hashes
@@ -153,73 +168,143 @@ class ItemIndex:
         return found
 
 
-_indexes: dict[int, ItemIndex] = {}
+class Library:
+    """All files of items: a sieve of their shingles, and indexes of the blocks that texts have hit."""
+
+    def __init__(self, folder: str, names: list[str]):
+        self.folder, self.names = folder, names
+        self.blocks: OrderedDict[int, ItemIndex] = OrderedDict()
+        known, short = [], {}
+        for b, name in enumerate(names):
+            found = common.read_arrow(folder, name, ["shingles", "n_words", "short"])
+            values = np.unique(found.column("shingles").combine_chunks().flatten().to_numpy().view(np.uint64))
+            known.append((values, np.full(len(values), b, dtype=np.int32)))
+            for size, run in zip(found.column("n_words").to_pylist(), found.column("short").to_pylist(), strict=True):
+                if size < WIDTH:
+                    short.setdefault(size, []).append((np.int64(run).view(np.uint64), b))
+        values = np.concatenate([v for v, _ in known]) if known else np.empty(0, np.uint64)
+        order = np.argsort(values, kind="stable")
+        self.known = values[order]
+        self.owner = (np.concatenate([o for _, o in known]) if known else np.empty(0, np.int32))[order]
+        #: By length, runs of items of fewer words than a shingle, ascending, and their blocks.
+        self.short = {size: tuple(map(np.array, zip(*sorted(x)))) for size, x in short.items()}
+        self.mask = np.uint64((1 << max(16, len(values).bit_length() + 4)) - 1)
+        self.sieve = np.zeros(int(self.mask) + 1, dtype=bool)
+        self.sieve[(self.known & self.mask).astype(np.int64)] = True
+
+    def block(self, b: int) -> ItemIndex:
+        if b not in self.blocks:
+            found = common.read_arrow(self.folder, self.names[b], ["item_id", "text"])
+            while len(self.blocks) >= KEPT:
+                self.blocks.popitem(last=False)
+            self.blocks[b] = ItemIndex(list(zip(found.column("item_id").to_pylist(), found.column("text").to_pylist(), strict=True)))
+        self.blocks.move_to_end(b)
+        return self.blocks[b]
+
+    @staticmethod
+    def _owners(values: np.ndarray, known: np.ndarray, owner: np.ndarray) -> set[int]:
+        low, high = np.searchsorted(known, values, "left"), np.searchsorted(known, values, "right")
+        out: set[int] = set()
+        for i, j in {(i, j) for i, j in zip(low.tolist(), high.tolist()) if i < j}:
+            out.update(owner[i:j].tolist())
+        return out
+
+    def match(self, words: list[bytes]) -> dict:
+        if not words or not self.names:
+            return {}
+        whole = shingles(words)
+        likely = whole[self.sieve[(whole & self.mask).astype(np.int64)]]
+        hit = self._owners(likely, self.known, self.owner) if len(likely) else set()
+        for size, (values, owner) in self.short.items():
+            if len(words) >= size:
+                hit |= self._owners(runs(word_hashes(words), size), values, owner)
+        found: dict = {}
+        for b in sorted(hit):
+            found |= self.block(b).match(words, whole)
+        return found
 
 
-def _index(items: list[tuple]) -> ItemIndex:
-    key = hash(tuple(items))
-    if key not in _indexes:
-        _indexes.clear()
-        _indexes[key] = ItemIndex(items)
-    return _indexes[key]
+_libraries: dict[str, Library] = {}
+
+
+def _library(folder: str, names: list[str]) -> Library:
+    if folder not in _libraries:
+        _libraries.clear()
+        _libraries[folder] = Library(folder, names)
+    return _libraries[folder]
 
 
 def forget_index() -> None:
-    _indexes.clear()
+    _libraries.clear()
     forget()
 
 
-def item_blocks(benchmark: DataFrame, key: str = "item_id", text: str = "text") -> Iterator[list[tuple]]:
-    """The items in blocks of about BLOCK, each read when its turn comes."""
-    items = benchmark.select(F.col(key).alias("i"), F.col(text).alias("t")).where("t IS NOT NULL")
+def item_files(benchmark: DataFrame, key: str = "item_id", text: str = "text") -> tuple[str, list[str]]:
+    """A shared folder of the items' files, and their names (one for up to BLOCK items).
+
+    Rows of one item are in one task, and in one file unless they are more than BLOCK.
+    """
+    folder = common.shared_path(benchmark.sparkSession, "items")
+    kind = to_arrow_type(benchmark.schema[key].dataType)
+    items = benchmark.select(F.col(key).alias("item_id"), F.col(text).alias("text")).where("text IS NOT NULL").dropDuplicates()
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        made = []
+        for rows in common.smaller(batches, BLOCK):
+            split = [common.words(t) for t in rows.column(1).to_pylist()]
+            some = rows.filter(pa.array([bool(w) for w in split], pa.bool_()))
+            split = [w for w in split if w]
+            if not split:
+                continue
+            table = pa.table({
+                "item_id": some.column(0).cast(kind), "text": some.column(1),
+                "shingles": pa.array([shingles(w).view(np.int64) for w in split], pa.list_(pa.int64())),
+                "n_words": pa.array([len(w) for w in split], pa.int64()),
+                "short": pa.array([int(runs(word_hashes(w), len(w)).view(np.int64)[0]) if len(w) < WIDTH else 0 for w in split], pa.int64()),
+            })
+            made.append(f"items-{TaskContext.get().partitionId():08d}-{len(made):06d}.arrow")
+            common.write_arrow(folder, made[-1], table)
+        yield pa.RecordBatch.from_arrays([pa.array(made, pa.string())], names=["name"])
+
     n = max(1, math.ceil(items.count() / BLOCK))
-    for b in range(n):
-        part = items if n == 1 else items.where(F.pmod(F.xxhash64("i", "t"), F.lit(n)) == b)
-        yield sorted(((r.i, r.t) for r in part.collect()), key=lambda x: (x[0] is None, x[0], x[1]))
+    return folder, sorted(r.name for r in items.repartition(n, "item_id").sortWithinPartitions("item_id", "text").mapInArrow(run, "name string").collect())
 
 
-def contaminated(df: DataFrame, benchmark: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
+def contaminated(df: DataFrame, benchmark: DataFrame, key: str = "doc_id", text: str = "text", item: str = "item_id", item_text: str = "text") -> DataFrame:
     """doc_id, item_id, similarity, first_word, n_words: a row for each text and item that it contains."""
-    kind = benchmark.schema["item_id"].dataType
+    kind = benchmark.schema[item].dataType
+    folder, names = item_files(benchmark, item, item_text)
     schema = T.StructType([T.StructField(key, df.schema[key].dataType), T.StructField("item_id", kind), T.StructField("similarity", T.DoubleType()), T.StructField("first_word", T.LongType()), T.StructField("n_words", T.LongType())])
-    out = None
-    for items in item_blocks(benchmark):
-
-        def run(batches: Iterable[pa.RecordBatch], items: list[tuple] = items) -> Iterator[pa.RecordBatch]:
-            common.alone("decontaminate", forget_index)
-            index = _index(items)
-            for rows in common.smaller(batches):
-                at, made = [], []
-                for i, value in enumerate(rows.column(1).to_pylist()):
-                    for item, (alike, start, window) in index.match(common.words(value)).items():
-                        at.append(i)
-                        made.append((item, alike, start, window))
-                ids = rows.column(0).take(pa.array(at, pa.int64()))
-                cols = [pa.array([m[c] for m in made]) if made else pa.array([]) for c in range(4)]
-                types = (pa.string() if isinstance(kind, T.StringType) else pa.int64(), pa.float64(), pa.int64(), pa.int64())
-                if isinstance(kind, T.IntegerType):
-                    types = (pa.int32(), *types[1:])
-                yield pa.RecordBatch.from_arrays([ids, *(c.cast(t) for c, t in zip(cols, types, strict=True))], names=schema.names)
-
-        part = common.arrow_rows(df, [key, text]).mapInArrow(run, schema)
-        out = part if out is None else out.unionByName(part)
-    return out
-
-
-def clean(df: DataFrame, benchmark: DataFrame, text: str = "text") -> DataFrame:
+    arrow = to_arrow_type(kind)
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        common.alone("decontaminate", forget_index)
+        library = _library(folder, names)
+        for rows in common.smaller(batches):
+            at, made = [], []
+            for i, value in enumerate(rows.column(1).to_pylist()):
+                for found, (alike, start, window) in library.match(common.words(value)).items():
+                    at.append(i)
+                    made.append((found, alike, start, window))
+            types = (arrow, pa.float64(), pa.int64(), pa.int64())
+            yield pa.RecordBatch.from_arrays([rows.column(0).take(pa.array(at, pa.int64())), *(pa.array([m[c] for m in made], t) for c, t in enumerate(types))], names=[f.name for f in schema])
+
+    return common.arrow_rows(df, [key, text]).mapInArrow(run, schema)
+
+
+def clean(df: DataFrame, benchmark: DataFrame, text: str = "text", item: str = "item_id", item_text: str = "text") -> DataFrame:
     """df without the rows whose text contains an item. Rows go through Python whole; nothing is shuffled."""
     at = df.columns.index(text)
-    for items in item_blocks(benchmark):
+    folder, names = item_files(benchmark, item, item_text)
 
-        def run(batches: Iterable[pa.RecordBatch], items: list[tuple] = items) -> Iterator[pa.RecordBatch]:
-            common.alone("decontaminate", forget_index)
-            index = _index(items)
-            for rows in common.smaller(batches):
-                keep = [not index.match(common.words(value)) for value in rows.column(at).to_pylist()]
-                yield rows.filter(pa.array(keep, pa.bool_()))
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        common.alone("decontaminate", forget_index)
+        library = _library(folder, names)
+        for rows in common.smaller(batches):
+            keep = [not library.match(common.words(value)) for value in rows.column(at).to_pylist()]
+            yield rows.filter(pa.array(keep, pa.bool_()))
 
-        df = df.mapInArrow(run, df.schema)
-    return df
+    return df.mapInArrow(run, df.schema)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

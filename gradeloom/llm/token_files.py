@@ -17,7 +17,6 @@ import json
 import os
 import re
 import unicodedata
-import uuid
 import zlib
 from collections.abc import Iterable, Iterator
 from itertools import chain, compress
@@ -26,7 +25,6 @@ import numpy as np
 import public_tokenizers
 import pyarrow as pa
 import regex
-from pyarrow import fs
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -199,19 +197,6 @@ def encoder(path: str) -> WordEncoder:
     return _encoders[path]
 
 
-def _open(folder: str) -> tuple[fs.FileSystem, str]:
-    return fs.FileSystem.from_uri(folder if "://" in folder else "file://" + folder.removeprefix("file:"))
-
-
-def _put(folder: str, name: str, data: bytes) -> None:
-    store, path = _open(folder)
-    store.create_dir(path, recursive=True)
-    own = f"{path}/.{name}.{uuid.uuid4().hex}"
-    with store.open_output_stream(own) as out:
-        out.write(data)
-    store.move(own, f"{path}/{name}")
-
-
 def write(df: DataFrame, folder: str, key: str = "doc_id", text: str = "text", tokenizer: str = TOKENIZER, end: int = END) -> DataFrame:
     """Writes the files; returns their list: name, n_ids, part, place and first (ids in files before)."""
 
@@ -225,7 +210,7 @@ def write(df: DataFrame, folder: str, key: str = "doc_id", text: str = "text", t
             nonlocal out, place
             if out.docs:
                 name = f"part-{part:08d}-{place:06d}.glpk"
-                _put(folder, name, out.finish())
+                common.put_file(folder, name, out.finish())
                 made.append((name, out.starts[-1], part, place))
                 out, place = Writer(bits), place + 1
 
@@ -254,7 +239,7 @@ def read(files: DataFrame, folder: str) -> DataFrame:
     """doc_id, start, n_tokens, ids_crc32 of every document, unpacked from the listed files."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        store, path = _open(folder)
+        store, path = common.store_of(folder)
         for rows in batches:
             for name, first in zip(rows.column(0).to_pylist(), rows.column(1).to_pylist(), strict=True):
                 with store.open_input_file(f"{path}/{name}") as f:
