@@ -19,12 +19,13 @@ learned. Repeated rows count as often as they occur. Source and id are never use
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
+import regex
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -32,12 +33,13 @@ from . import common
 
 #: Least share of a language's n-grams, and the size of the filter.
 RARE, PLACES, HASHES = 1e-5, 1 << 21, 2
-MAX_LANGUAGES = 64
+#: Languages in a word of a mask; more take more words.
+WORD = 64
 UNKNOWN = "und"
 #: N-grams that a task gathers before it counts them.
 WAITING = 6_000_000
 
-LETTER = re.compile(r"[^\W\d_]")
+LETTER = regex.compile(r"\p{L}")
 #: ASCII other than letters becomes a space.
 LETTERS_ONLY = bytes(b if chr(b).isalpha() or b >= 0x80 else 0x20 for b in range(256))
 
@@ -61,10 +63,10 @@ def places(found: np.ndarray) -> tuple[np.ndarray, ...]:
 
 @dataclass
 class Filter:
-    """languages, ascending; masks: a bit mask for each place; false: each language's rate of false hits."""
+    """languages, ascending; masks: for each WORD of them a bit mask for each place; false: each one's rate of false hits."""
 
     languages: list[str]
-    masks: np.ndarray
+    masks: list[np.ndarray]
     false: np.ndarray
 
     def __post_init__(self) -> None:
@@ -73,12 +75,15 @@ class Filter:
 
     def hits(self, found: np.ndarray) -> np.ndarray:
         """By language, how many of the n-grams are in the filter."""
-        mask = None
-        for at in places(found):
-            mask = self.masks[at] if mask is None else mask & self.masks[at]
-        if self.bits is not None:
-            return np.bincount(mask, minlength=256) @ self.bits
-        return np.array([int(np.count_nonzero(mask >> np.uint64(i) & np.uint64(1))) for i in range(len(self.languages))])
+        at, out = places(found), []
+        for masks in self.masks:
+            mask = masks[at[0]]
+            for other in at[1:]:
+                mask = mask & masks[other]
+            if self.bits is not None:
+                return np.bincount(mask, minlength=256) @ self.bits
+            out += [int(np.count_nonzero(mask >> np.uint64(i) & np.uint64(1))) for i in range(min(WORD, len(self.languages) - len(out)))]
+        return np.array(out)
 
     def decide(self, text: str | None) -> tuple[str, float]:
         if not self.languages or not text or not LETTER.search(text):
@@ -94,15 +99,16 @@ class Filter:
 def build(entries: Iterable[tuple[str, np.ndarray]]) -> Filter:
     """A filter of languages and their n-grams."""
     entries = sorted(entries, key=lambda e: e[0])
-    if len(entries) > MAX_LANGUAGES:
-        raise ValueError(f"{len(entries)} languages; a mask holds {MAX_LANGUAGES}")
-    masks = np.zeros(PLACES, dtype=np.uint8 if len(entries) <= 8 else np.uint64)
-    false = np.zeros(len(entries))
-    for i, (_, found) in enumerate(entries):
-        bit = masks.dtype.type(1 << i)
-        for at in places(found):
-            masks[at] |= bit
-        false[i] = (np.count_nonzero(masks & bit) / PLACES) ** HASHES
+    words = [entries[i : i + WORD] for i in range(0, len(entries), WORD)] or [[]]
+    masks, false = [], np.zeros(len(entries))
+    for w, some in enumerate(words):
+        mask = np.zeros(PLACES, dtype=np.uint8 if len(entries) <= 8 else np.uint64)
+        for i, (_, found) in enumerate(some):
+            bit = mask.dtype.type(1 << i)
+            for at in places(found):
+                mask[at] |= bit
+            false[w * WORD + i] = (np.count_nonzero(mask & bit) / PLACES) ** HASHES
+        masks.append(mask)
     return Filter([name for name, _ in entries], masks, false)
 
 
@@ -143,15 +149,8 @@ def count_grams(df: DataFrame, text: str = "text", label: str = "lang") -> DataF
 def train(df: DataFrame, text: str = "text", label: str = "lang") -> Filter:
     """A filter from all rows of df. The driver gets at most 1 / RARE n-grams of each language."""
     counts = common.shared_table(count_grams(df, text, label), "grams")
-    totals = {r.lang: r.n for r in counts.groupBy("lang").agg(F.sum("n").alias("n")).limit(MAX_LANGUAGES + 1).collect()}
-    if len(totals) > MAX_LANGUAGES:
-        raise ValueError(f"more than {MAX_LANGUAGES} languages")
-    if not totals:
-        return build([])
-    least: Column = F.lit(None).cast("double")
-    for name, n in totals.items():
-        least = F.when(F.col("lang") == name, F.lit(n * RARE)).otherwise(least)
-    kept = counts.where(F.col("n") >= least).select("lang", "gram").toPandas()
+    totals = counts.groupBy("lang").agg((F.sum("n") * RARE).alias("least"))
+    kept = counts.join(totals, "lang").where("n >= least").select("lang", "gram").toPandas()
     return build((name, part.gram.to_numpy().astype(np.uint32)) for name, part in kept.groupby("lang"))
 
 
@@ -168,23 +167,28 @@ def identify(df: DataFrame, model: Filter, key: str = "doc_id", text: str = "tex
     return common.arrow_rows(df, [key, text]).mapInArrow(run, f"{key} {df.schema[key].dataType.simpleString()}, lang_pred string, score double")
 
 
-def keep_known(df: DataFrame, model: Filter, least: float = 0.1, text: str = "text") -> DataFrame:
+def keep_known(df: DataFrame, model: Filter, least: float = 0.1, text: str = "text", label: str | None = None) -> DataFrame:
     """df without the rows that are no text of a learned language: ``und``, or with a score under least.
 
-    If no language was learned, texts with a letter are kept.
+    If no language was learned, texts with a letter are kept. label: a string column that gets the
+    language found where it is null.
     """
     held = df.sparkSession.sparkContext.broadcast(model)
     at = df.columns.index(text)
+    fill = df.columns.index(label) if label else None
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         common.alone("langid", lambda: None)
         for rows in common.smaller(batches):
             texts = rows.column(at).to_pylist()
+            told = [held.value.decide(t) for t in texts]
             if held.value.languages:
-                told = [held.value.decide(t) for t in texts]
                 kept = [n != UNKNOWN and s >= least for n, s in told]
             else:
                 kept = [bool(t and LETTER.search(t)) for t in texts]
+            if fill is not None and held.value.languages:
+                named = pc.coalesce(rows.column(fill), pa.array([n for n, _ in told], pa.string()).cast(rows.column(fill).type))
+                rows = rows.set_column(fill, rows.schema.field(fill), named)
             yield rows.filter(pa.array(kept, pa.bool_()))
 
     return df.mapInArrow(run, df.schema)
