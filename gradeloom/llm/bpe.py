@@ -34,10 +34,11 @@ OUTPUTS = {
     "decoded": T.StringType(),
     "ids_sha256": T.StringType(),
     "decoded_sha256": T.StringType(),
+    "round_trip": T.BooleanType(),
 }
 
 
-def _column(output: str, ids: np.ndarray, ends: np.ndarray, decimals: Decimals, back: tuple[memoryview, np.ndarray] | None) -> pa.Array:
+def _column(output: str, ids: np.ndarray, ends: np.ndarray, decimals: Decimals, back: tuple[memoryview, np.ndarray] | None, of: list[str] = ()) -> pa.Array:
     if output == "n_tokens":
         return pa.array(np.diff(ends), pa.int64())
     if output == "ids":
@@ -46,6 +47,8 @@ def _column(output: str, ids: np.ndarray, ends: np.ndarray, decimals: Decimals,
         return pa.array(decimals.digests(ids, ends), pa.string())
     data, at = back
     texts = [data[i:j] for i, j in zip(at.tolist(), at[1:].tolist())]
+    if output == "round_trip":
+        return pa.array([bytes(t) == own.encode("utf-8") for t, own in zip(texts, of, strict=True)], pa.bool_())
     if output == "decoded":
         return pa.array([bytes(t).decode("utf-8") for t in texts], pa.string())
     return pa.array([hashlib.sha256(t).hexdigest() for t in texts], pa.string())
@@ -61,17 +64,19 @@ def encode(
     keep: tuple[str, ...] = (),
 ) -> DataFrame:
     """key, the kept columns and, of each text's tokens, the outputs: n_tokens, ids, the text decoded from
-    the ids, and SHA-256 digests of the decimal ids joined by commas and of the decoded bytes."""
-    decodes = any(o.startswith("decoded") for o in outputs)
+    the ids, SHA-256 digests of the decimal ids joined by commas and of the decoded bytes, and round_trip,
+    whether the ids decode to the text."""
+    decodes = any(o.startswith("decoded") or o == "round_trip" for o in outputs)
     kept = [key, *keep]
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         common.alone("bpe", forget)
         encoder, decoder, decimals = codec(ranks_path, pattern)
         for rows in common.portions(batches, len(kept), TOGETHER, TOGETHER_BYTES):
-            ids, ends = encoder.encode_batch([t or "" for t in rows.column(len(kept)).to_pylist()])
+            texts = [t or "" for t in rows.column(len(kept)).to_pylist()]
+            ids, ends = encoder.encode_batch(texts)
             back = decoder.decode_batch(ids, ends) if decodes else None
-            yield pa.RecordBatch.from_arrays([*rows.columns[: len(kept)], *(_column(o, ids, ends, decimals, back) for o in outputs)], names=[*kept, *outputs])
+            yield pa.RecordBatch.from_arrays([*rows.columns[: len(kept)], *(_column(o, ids, ends, decimals, back, texts) for o in outputs)], names=[*kept, *outputs])
 
     schema = T.StructType([*(df.schema[k] for k in kept), *(T.StructField(o, OUTPUTS[o]) for o in outputs)])
     return common.arrow_rows(df, [*kept, text]).mapInArrow(run, schema)
