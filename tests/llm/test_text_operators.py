@@ -419,3 +419,83 @@ def test_other_tokenizers_get_texts_whole():
     texts = ["Some  text here.", "", "Ünïcödé"]
     assert not w.by_word
     assert [x.tolist() for x in w.encode(texts, 7)] == [[*e.ids, 7] for e in w.library.encode_batch(texts, add_special_tokens=False)]
+
+
+# truths of language ID, decontamination and the pipeline
+
+
+def test_signs_are_no_letters(spark):
+    model = langid.build([("fr", langid.grams("le la les des"))])
+    assert [model.decide(t)[0] for t in ("²", "½ Ⅷ ①", "12", "", None, "été")] == ["und"] * 5 + ["fr"]
+
+
+def test_more_languages_than_a_mask_has_bits(spark):
+    random.seed(6)
+    entries = [(f"l{i:03d}", np.unique(langid.grams(" ".join("".join(random.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(5)) for _ in range(60))))) for i in range(130)]
+    model = langid.build(entries)
+    assert len(model.masks) == 3 and model.hits(entries[100][1])[100] == len(entries[100][1])
+    assert int(np.argmax(model.hits(entries[129][1]))) == 129 and len(model.hits(entries[0][1])) == 130
+
+
+def test_languages_of_held_out_documents(spark):
+    sf = "/root/testdata/sf0.01"
+    docs = common.table(spark, sf, "documents")
+    told = langid.query(spark, sf).join(docs.select("doc_id", "lang", "text"), "doc_id").where("held_out AND lang IS NOT NULL AND text IS NOT NULL")
+    n, right = told.count(), told.where("lang_pred = lang").count()
+    assert n > 100 and right >= 0.95 * n
+
+
+def test_unlabelled_rows_get_their_language(spark):
+    en, de = "the quick brown fox jumps over the lazy dog and runs", "der schnelle braune fuchs springt über den faulen hund und läuft"
+    df = spark.createDataFrame([(1, en, "en"), (2, de, "de"), (3, de, None), (4, "12", None)], "doc_id long, text string, lang string")
+    model = langid.train(df)
+    assert {(r.doc_id, r.lang) for r in rows_of(langid.keep_known(df, model, label="lang"))} == {(1, "en"), (2, "de"), (3, "de")}
+
+
+def brute_contamination(texts, items):
+    out = set()
+    for d, t in texts.items():
+        words = (t or "").lower().split()
+        for i, item in items:
+            own = (item or "").lower().split()
+            window = min(len(own), len(words))
+            if not window:
+                continue
+            bag = lambda w: Counter(tuple(w[k : k + 5]) for k in range(max(1, len(w) - 4)))
+            want = bag(own)
+            for s in range(len(words) - window + 1):
+                got = bag(words[s : s + window])
+                least = sum((got & want).values())
+                if least >= 0.8 * (sum(got.values()) + sum(want.values()) - least):
+                    out.add((d, i))
+                    break
+    return out
+
+
+def test_contamination_is_that_of_brute_force(spark, monkeypatch):
+    """Many blocks, items of all lengths and changed windows, against every window of every text."""
+    random.seed(12)
+    monkeypatch.setattr(decontaminate, "BLOCK", 3)
+    monkeypatch.setattr(decontaminate, "KEPT", 2)
+    vocabulary = [f"w{i}" for i in range(40)]
+    items = [(f"i{k}", " ".join(random.choice(vocabulary) for _ in range(random.choice([1, 2, 4, 5, 8, 20, 40])))) for k in range(20)]
+    texts = {}
+    for d in range(60):
+        words = [random.choice(vocabulary) for _ in range(random.randint(0, 60))]
+        own = random.choice(items)[1].split()
+        for _ in range(random.choice([0, 0, 1, 2, 5])):
+            own[random.randrange(len(own))] = "changed"
+        at = random.randint(0, len(words))
+        texts[d] = " ".join(words[:at] + own + words[at:])
+    df = spark.createDataFrame(list(texts.items()), "doc_id long, text string").repartition(3)
+    benchmark = spark.createDataFrame([*items, items[0], (None, None)], "item_id string, text string")
+    got = {(r.doc_id, r.item_id) for r in rows_of(decontaminate.contaminated(df, benchmark))}
+    assert got == brute_contamination(texts, items)
+    assert {r.doc_id for r in rows_of(decontaminate.clean(df, benchmark))} == set(texts) - {d for d, _ in got}
+
+
+def test_contamination_of_a_long_text_that_repeats_a_passage(spark):
+    item = " ".join(f"p{i}" for i in range(200))
+    df = spark.createDataFrame([(1, " ".join([item] * 300)), (2, LONG)], "doc_id long, text string")
+    got = rows_of(decontaminate.contaminated(df, spark.createDataFrame([("x", item)], "key string, words string"), item="key", item_text="words"))
+    assert [(r.doc_id, r.item_id, r.similarity, r.first_word) for r in got] == [(1, "x", 1.0, 0)]
