@@ -16,14 +16,14 @@ COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that are text of a learned language; lang stays as it is, null too.
+    """Documents that are text of a learned language; lang is set to the language found where it is null.
 
     A filter is learned from the labelled documents. ``und`` and texts of which less than a tenth
     is known n-grams go; without any labelled document only texts without a letter do.
     """
     expose_package(spark)
     model = langid.train(langid.training_rows(docs))
-    return langid.keep_known(docs.select(COLUMNS), model)
+    return langid.keep_known(docs.select(COLUMNS), model, label="lang")
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -31,8 +31,8 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     expose_package(spark)
     found = minhash.near_duplicates(docs).where(~F.col("kept")).select("doc_id").distinct()
     left = docs.select(COLUMNS).join(found, "doc_id", "left_anti")
-    # rows of one id follow each other here already; those without an id are told apart by text
-    same = Window.partitionBy("doc_id", F.when(F.col("doc_id").isNull(), F.xxhash64("text"))).orderBy("text", "lang", "source", "n_chars")
+    # rows of one id follow each other here already; those without an id are told apart by their texts' digest
+    same = Window.partitionBy("doc_id", F.when(F.col("doc_id").isNull(), F.coalesce(F.sha2("text", 256), F.lit("null")))).orderBy("text", "lang", "source", "n_chars")
     return left.withColumn("place", F.row_number().over(same)).where("place = 1").select(COLUMNS)
 
 
@@ -43,15 +43,15 @@ def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def secret_scan(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents, with secrets replaced by a mark and n_chars counted anew."""
+    """All documents, with secrets replaced by a mark and n_chars counted anew. Endpoints and logins stay."""
     clean = secrets.redact(docs.select(COLUMNS))
     return clean.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)).select(COLUMNS)
 
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """doc_id, lang, source, n_tokens, ids of every document, and whether the ids decode to its text."""
+    """doc_id, lang, source, n_tokens, ids, decoded_sha256 of every document, and round_trip: whether the ids decode to its text."""
     expose_package(spark)
-    return bpe.encode(docs, outputs=("n_tokens", "ids", "decoded_sha256"))
+    return bpe.encode(docs, keep=("lang", "source"), outputs=("n_tokens", "ids", "decoded_sha256", "round_trip"))
 
 
 STAGES = [
@@ -67,7 +67,7 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The last stage's rows: doc_id, n_tokens, ids, decoded_sha256."""
+    """The last stage's rows: doc_id, lang, source, n_tokens, ids, decoded_sha256, round_trip."""
     docs = common.table(spark, sf_dir, "documents").select(COLUMNS)
     for name, stage in STAGES[:-1]:
         docs = common.shared_table(stage(spark, docs, sf_dir), name.replace(" ", "-"))
