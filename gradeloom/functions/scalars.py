@@ -9,7 +9,9 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 # Fixed values of the domain: programs by alias, roll formats, characters that readers confuse.
-PROGRAM_ALIASES = {"btech": "BTECH", "ug": "BTECH", "mtech": "MTECH", "pg": "MTECH", "phd": "PHD", "sp": "SP"}
+PROGRAM_ALIASES = {
+    "BTECH": "BTECH", "BTECHNOLOGY": "BTECH", "MTECH": "MTECH", "MT": "MTECH", "MTECHNOLOGY": "MTECH", "PHD": "PHD", "DOCTOROFPHILOSOPHY": "PHD", "SP": "SP",
+}
 ROLL_FORMATS = {"BTECH": r"^\d{7}$", "MTECH": r"^MT\d{5}$", "PHD": r"^PHD\d{5}$"}
 CONFUSED, MEANT = "OQILSZGB", "00115268"
 EMAIL = r"^[^@\s]+@[^@\s]+\.[^@\s]+$"
@@ -30,25 +32,30 @@ def first_filled(*columns: Column) -> Column:
     return F.coalesce(*(F.when(strip(c) != "", strip(c)) for c in columns), F.lit(""))
 
 
+def _program_key(x: Column) -> Column:
+    return F.regexp_replace(F.upper(F.coalesce(x, F.lit(""))), "[^A-Z0-9]+", "")
+
+
 def normalize_roll(roll: Column, program: Column) -> Column:
     """Upper case without white space; bare digits get their program's prefix."""
-    r = F.regexp_replace(F.upper(roll), r"\s+", "")
+    r, key = F.regexp_replace(F.upper(roll), r"\s+", ""), _program_key(program)
     bare = r.rlike(r"^\d+$")
     return (
-        F.when((program == "MTECH") & bare, F.concat(F.lit("MT"), r))
-        .when((program == "PHD") & bare, F.concat(F.lit("PHD"), r))
-        .when((program == "SP") & ~r.startswith("SP"), F.concat(F.lit("SP"), r))
+        F.when(r == "", r)
+        .when(key.isin("MTECH", "MT") & bare, F.concat(F.lit("MT"), r))
+        .when((key == "PHD") & bare, F.concat(F.lit("PHD"), r))
+        .when(key.startswith("SP") & ~r.startswith("SP"), F.concat(F.lit("SP"), r))
         .otherwise(r)
     )
 
 
 def infer_program(value: Column, roll: Column, context: Column) -> Column:
     """Alias, else the roll's form, else a program's name anywhere in the row, else ''."""
-    key, r, c = header_key(value), F.regexp_replace(F.upper(roll), r"\s+", ""), F.upper(context)
+    key, r, c = _program_key(value), F.regexp_replace(F.upper(roll), r"\s+", ""), _program_key(context)
     by_alias = F.lit(None).cast("string")
     for alias, program in PROGRAM_ALIASES.items():
         by_alias = F.when(key == alias, F.lit(program)).otherwise(by_alias)
-    by_roll = F.when(r.rlike(r"^PHD\d+$"), "PHD").when(r.rlike(r"^MT\d+$"), "MTECH").when(r.startswith("SP"), "SP").when(r.rlike(r"^\d{7}$"), "BTECH")
+    by_roll = F.when(r.rlike(r"^PHD\d+$"), "PHD").when(r.rlike(r"^MT\d+$"), "MTECH").when(r.rlike("^SP[A-Z0-9]+$"), "SP").when(r.rlike(r"^\d{7}$"), "BTECH")
     by_row = F.when(c.contains("PHD"), "PHD").when(c.contains("MTECH"), "MTECH").when(c.contains("BTECH"), "BTECH")
     return F.coalesce(by_alias, by_roll, by_row, F.lit(""))
 
@@ -133,9 +140,9 @@ def text_quality(text: Column) -> Column:
 
 
 def dominant_count(text: Column) -> Column:
-    """How often the most frequent letter or digit of a text occurs."""
-    t = F.regexp_replace(F.lower(text), "[^a-z0-9]+", "")
-    return F.array_max(F.transform(F.array(*map(F.lit, "abcdefghijklmnopqrstuvwxyz0123456789")), lambda c: F.length(t) - F.length(F.replace(t, c, F.lit("")))))
+    """How often the most frequent letter or digit of a text occurs: the longest run of its sorted characters."""
+    t = F.array_join(F.array_sort(F.split(F.regexp_replace(F.lower(text), "[^a-z0-9]+", ""), "")), "")
+    return F.array_max(F.transform(F.regexp_extract_all(t, F.lit(r"(.)\1*"), F.lit(0)), F.length))
 
 
 def noise_line(text: Column) -> Column:

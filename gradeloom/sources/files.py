@@ -1,4 +1,4 @@
-"""Readers and writers of the domain's files.
+"""Readers and writers of the domain's files.
 
 CSV, JSON, images and whole files go through Spark's readers; a spreadsheet is unpacked by the
 standard library in the task that holds its bytes.
@@ -11,6 +11,9 @@ import hmac
 import io
 import json
 import os
+import re
+import struct
+import uuid
 import zipfile
 from collections.abc import Iterator
 from xml.etree import ElementTree
@@ -20,18 +23,27 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from gradeloom import schemas
-from gradeloom.functions.scalars import EMAIL, header_key, infer_program, normalize_roll, strip  # noqa: F401
+from gradeloom.functions.scalars import infer_program, normalize_roll, strip
 from gradeloom.operators.release import require, violations
 from gradeloom.session import need
 
-# Fixed aliases of headers, each in canonical form.
+# Fixed aliases of headers, in order of precedence, and answers that drop a question.
 ALIASES = {
-    "roll_no": ("rollno", "roll", "rollnumber", "studentid", "enrollmentno"), "name": ("name", "studentname", "fullname"),
-    "email": ("email", "emailid", "emailaddress", "mail"), "program": ("program", "programme", "classtype", "degree"),
-    "q_no": ("qno", "question", "questionno", "q"), "answer": ("answer", "key", "correctanswer", "correct"), "marks": ("marks", "mark", "points"),
-    "question_text": ("questiontext", "text"), "rubric": ("rubric", "gradingrubric"), "model_answer": ("modelanswer", "solution"), "max_marks": ("maxmarks", "maximum", "outof"),
+    "roll_no": ("roll_no", "roll", "roll_number", "student_roll", "student_id", "rollno"),
+    "name": ("name", "student_name", "studentname"),
+    "email": ("email", "mail", "student_email", "email_id", "emailid"),
+    "program": ("program", "degree", "class_type", "classtype"),
+    "key_q_no": ("q_no", "question", "question_no"),
+    "answer": ("answer", "correct", "correct_option"),
+    "marks": ("marks", "mark"),
+    "q_no": ("q_no", "question_no", "question_number", "q"),
+    "question_text": ("question_text", "question", "prompt"),
+    "rubric": ("rubric", "marking_guideline", "marking_guidelines", "guideline", "guidelines"),
+    "model_answer": ("model_answer", "expected_answer", "sample_answer"),
+    "max_marks": ("max_marks", "marks", "marks_possible"),
 }
-DROPPED = ("DROPPED", "DROP", "CANCELLED", "BONUS")
+DROPPED = ("DROP", "DROPPED", "CANCELLED", "CANCELED", "BONUS", "VOID")
+ADDRESS = r"^[^\s@,]+@[^\s@,]+\.[^\s@,]+$"
 
 
 def canonical(header: str) -> str:
@@ -41,7 +53,7 @@ def canonical(header: str) -> str:
 def _columns(df: DataFrame) -> dict[str, list[str]]:
     """For each canonical field the columns whose header is an alias of it, in order of aliases."""
     keys = {c: canonical(c) for c in df.columns}
-    return {field: [c for alias in aliases for c, k in keys.items() if k == alias] for field, aliases in ALIASES.items()}
+    return {field: list(dict.fromkeys(c for alias in aliases for c, k in keys.items() if k == canonical(alias))) for field, aliases in ALIASES.items()}
 
 
 def _first(df: DataFrame, field: str, found: dict[str, list[str]]) -> Column:
@@ -56,42 +68,78 @@ def read_csv(spark: SparkSession, path: str) -> DataFrame:
     return df.where(strip(some) != "")
 
 
+def _lacking(found: dict[str, list[str]], field: str, what: str) -> None:
+    if not found[field]:
+        raise ValueError(f"{what}: one of these columns is needed: {', '.join(ALIASES[field])}")
+
+
 def read_roster(spark: SparkSession, path: str) -> DataFrame:
-    """Aliases, programs and rolls resolved, other columns in extra; empty or repeated rolls are errors."""
+    """Aliases, programs, rolls and addresses resolved, other filled columns in extra.
+
+    Empty or repeated rolls, no or several addresses in a row, and a file without students are errors.
+    """
     df = read_csv(spark, path)
     found = _columns(df)
-    used = {c for cs in (found[f] for f in ("roll_no", "name", "email", "program")) for c in cs}
+    _lacking(found, "roll_no", "roster")
+    known = {canonical(a) for f in ("roll_no", "name", "email", "program") for a in ALIASES[f]}
     context = F.concat_ws(" ", *[F.col(f"`{c}`") for c in df.columns])
     raw = _first(df, "roll_no", found)
     program = infer_program(_first(df, "program", found), raw, context)
-    shaped = F.filter(F.array(*[strip(F.coalesce(F.col(f"`{c}`"), F.lit(""))) for c in df.columns]), lambda x: x.rlike(EMAIL))
-    email = F.when(_first(df, "email", found) != "", _first(df, "email", found)).otherwise(F.when(F.size(shaped) == 1, F.get(shaped, F.lit(0))).otherwise(""))
-    extra = [x for c in df.columns if c not in used for x in (F.lit(c), F.coalesce(F.col(f"`{c}`"), F.lit("")))]
-    out = df.select(normalize_roll(raw, program).alias("roll_no"), F.regexp_replace(_first(df, "name", found), r"\s+", " ").alias("name"), email.alias("email"), program.alias("program"), (F.create_map(*extra) if extra else F.expr("cast(map() as map<string,string>)")).alias("extra"))
-    require(violations(out.groupBy("roll_no").count(), "roll_no", {"empty": F.col("roll_no") != "", "duplicate": F.col("count") == 1}), "roster")
+    shaped = F.array_distinct(F.filter(F.array(*[strip(F.coalesce(F.col(f"`{c}`"), F.lit(""))) for c in df.columns]), lambda x: x.rlike(ADDRESS)))
+    given = _first(df, "email", found)
+    email = F.when(given != "", given).when(F.size(shaped) == 1, F.get(shaped, F.lit(0)))
+    extra = [x for c in df.columns if canonical(c) not in known for x in (F.lit(c), F.col(f"`{c}`"))]
+    filled = F.map_filter(F.create_map(*extra), lambda _, v: strip(F.coalesce(v, F.lit(""))) != "") if extra else F.expr("cast(map() as map<string,string>)")
+    out = df.select(normalize_roll(raw, program).alias("roll_no"), F.regexp_replace(_first(df, "name", found), r"\s+", " ").alias("name"), email.alias("email"), program.alias("program"), filled.alias("extra"))
+    by = out.groupBy("roll_no").agg(F.count("*").alias("n"), F.bool_and(F.col("email").isNotNull()).alias("mail"))
+    require(violations(by, "roll_no", {"empty": F.col("roll_no") != "", "duplicate": F.col("n") == 1, "email": F.col("mail")}), "roster")
+    some(out, "roster")
     return out
 
 
+def some(rows: DataFrame, what: str) -> None:
+    """An error if there is no row."""
+    if rows.isEmpty():
+        raise ValueError(f"{what}: nothing in the file")
+
+
 def read_answer_key(spark: SparkSession, path: str, default_marks: float = 1.0) -> DataFrame:
-    """Answers in upper case, blank marks by default; dropped if so named or worth nothing."""
+    """Answers in upper case, blank marks by default; dropped if so named or worth nothing.
+
+    Questions that are no number or occur twice, empty answers and marks that are no number are errors.
+    """
     df = read_csv(spark, path)
     found = _columns(df)
-    q, marks = _first(df, "q_no", found), _first(df, "marks", found)
-    answer = F.upper(strip(_first(df, "answer", found)))
+    _lacking(found, "key_q_no", "answer key")
+    _lacking(found, "answer", "answer key")
+    q, marks = _first(df, "key_q_no", found), _first(df, "marks", found)
     value = F.when(marks == "", F.lit(default_marks)).otherwise(marks.try_cast("double"))
-    out = df.select(F.when(q.rlike(r"^\d+$"), q.try_cast("int")).alias("q_no"), answer.alias("answer"), value.alias("marks")).withColumn("dropped", F.col("answer").isin(*DROPPED) | (F.col("marks") == 0))
-    require(violations(out.groupBy("q_no").agg(F.count("*").alias("n"), F.bool_and(F.col("marks") >= 0).alias("fine")), "q_no", {"question": F.col("q_no").isNotNull(), "duplicate": F.col("n") == 1, "marks": F.col("fine")}), "answer key")
+    out = df.select(F.when(q.rlike(r"^[+-]?\d+$"), q.try_cast("int")).alias("q_no"), F.upper(_first(df, "answer", found)).alias("answer"), value.alias("marks"))
+    out = out.withColumn("dropped", F.col("answer").isin(*DROPPED) | (F.col("marks") == 0))
+    by = out.groupBy("q_no").agg(F.count("*").alias("n"), F.bool_and(F.col("marks").isNotNull()).alias("fine"), F.bool_and(F.col("answer") != "").alias("told"))
+    require(violations(by, "q_no", {"question": F.col("q_no").isNotNull(), "duplicate": F.col("n") == 1, "marks": F.col("fine"), "answer": F.col("told")}), "answer key")
+    some(out, "answer key")
     return out
 
 
 def read_rubric(spark: SparkSession, path: str) -> DataFrame:
-    """S3: a rubric's questions; maximum marks must be above 0, and a row must say something."""
+    """S3: a rubric's questions, other filled columns in extra; maximum marks must be above 0, a row must say something."""
     df = read_csv(spark, path)
     found = _columns(df)
+    _lacking(found, "q_no", "rubric")
+    fields = ("q_no", "question_text", "rubric", "model_answer", "max_marks")
+    used = {found[f][0] for f in fields if found[f]}
     text = {f: _first(df, f, found) for f in ("question_text", "rubric", "model_answer")}
-    most = _first(df, "max_marks", found)
-    out = df.select(_first(df, "q_no", found).try_cast("int").alias("q_no"), *[c.alias(f) for f, c in text.items()], F.when(most != "", most.try_cast("double")).alias("max_marks"), (most != "").alias("given"))
-    require(violations(out, "q_no", {"max_marks": ~F.col("given") | (F.col("max_marks") > 0), "empty": F.concat_ws("", *text) != ""}), "rubric")
+    most, q = _first(df, "max_marks", found), _first(df, "q_no", found)
+    extra = [x for c in df.columns if c not in used for x in (F.lit(c), F.col(f"`{c}`"))]
+    filled = F.map_filter(F.create_map(*extra), lambda _, v: strip(F.coalesce(v, F.lit(""))) != "") if extra else F.expr("cast(map() as map<string,string>)")
+    out = df.select(F.when(q.rlike(r"^[+-]?\d+$"), q.try_cast("int")).alias("q_no"), *[c.alias(f) for f, c in text.items()], F.when(most != "", most.try_cast("double")).alias("max_marks"), filled.alias("extra"), (most != "").alias("given"))
+    each = out.groupBy("q_no").agg(
+        F.count("*").alias("n"), F.bool_and(~F.col("given") | F.coalesce(F.col("max_marks") > 0, F.lit(False))).alias("most"),
+        F.bool_and(F.col("given") | (F.concat_ws("", "question_text", "rubric", "model_answer") != "")).alias("told"),
+    )
+    require(violations(each, "q_no", {"question": F.col("q_no").isNotNull(), "duplicate": F.col("n") == 1, "max_marks": F.col("most"), "empty": F.col("told")}), "rubric")
+    some(out, "rubric")
     return out.drop("given")
 
 
@@ -151,14 +199,69 @@ def read_manifest(spark: SparkSession, path: str) -> dict[str, DataFrame]:
 
 
 def list_scans(spark: SparkSession, path: str, suffixes: tuple[str, ...] = ("pdf", "png", "jpg", "jpeg", "tif", "tiff")) -> DataFrame:
-    """Files of a folder in order of path, with size and digest; none is an error."""
+    """Files of a folder in order of path, with size and digest; none is an error."""
     files = spark.read.format("binaryFile").option("pathGlobFilter", "*.{" + ",".join(suffixes) + "}").load(path)
+    some(files.select("path"), f"scans in {path}")
     return files.select("path", "length", F.sha2("content", 256).alias("digest")).orderBy("path")
 
 
+def pages_of(name: str, data: bytes) -> int:
+    """A PDF's pages by its page objects, 1 for an image.
+
+    Encrypted PDFs, images of several frames and PDFs whose page objects lie in compressed streams are errors.
+    """
+    if name.lower().endswith(".pdf"):
+        if b"/Encrypt" in data:
+            raise ValueError(f"{name}: encrypted")
+        found = len(re.findall(rb"/Type\s*/Page(?![A-Za-z])", data))
+        if not found:
+            raise ValueError(f"{name}: no readable page objects")
+        return found
+    if data[:4] in (b"II*\0", b"MM\0*"):
+        order, frames = ("<" if data[:2] == b"II" else ">"), 0
+        at = struct.unpack_from(order + "I", data, 4)[0]
+        while at and frames < 2:
+            frames += 1
+            entries = struct.unpack_from(order + "H", data, at)[0]
+            at = struct.unpack_from(order + "I", data, at + 2 + 12 * entries)[0]
+        if frames > 1:
+            raise ValueError(f"{name}: several frames")
+    return 1
+
+
+def count_pages(spark: SparkSession, path: str) -> DataFrame:
+    """Path and pages of every file of a folder."""
+
+    def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for part in parts:
+            yield pd.DataFrame({"path": part["path"], "pages": [pages_of(n, d) for n, d in zip(part["path"], part["content"], strict=True)]})
+
+    return spark.read.format("binaryFile").load(path).select("path", "content").mapInPandas(run, "path string, pages int")
+
+
 def read_scans(spark: SparkSession, path: str) -> DataFrame:
-    """Page images with height, width and pixels. PDF pages need a renderer (render_pdf)."""
-    return spark.read.format("image").option("dropInvalid", True).load(path).select("image.origin", "image.height", "image.width", "image.nChannels", "image.data")
+    """Page images with height, width and pixels; one that can't be read is an error. PDF pages need render_pdf."""
+    files = spark.read.format("image").option("dropInvalid", False).load(path)
+    require(violations(files.select("image.origin", (F.col("image.height") > 0).alias("fine")), "origin", {"unreadable": F.col("fine")}), "scans")
+    some(files.select("image.origin"), f"scans in {path}")
+    return files.select("image.origin", "image.height", "image.width", "image.nChannels", "image.data")
+
+
+def read_state(spark: SparkSession, path: str, schema: str) -> DataFrame:
+    """A run's JSON state, one row for each document; a file that isn't such a document is an error."""
+    return spark.read.schema(schema).option("mode", "FAILFAST").json(path, multiLine=True)
+
+
+def read_digits(spark: SparkSession, path: str, labels: tuple[str, ...], holdout: float = 0.1, seed: int = 557) -> DataFrame:
+    """A dataset of labelled digit images as CSV (label, then a column for each pixel): label, pixels and a seeded split.
+
+    Rows of other labels are left out. The split goes by a seeded hash of the row, so it is the same in any order.
+    """
+    df = read_csv(spark, path)
+    pixels = F.array(*[F.col(f"`{c}`").try_cast("int") for c in df.columns if canonical(c) != "label"])
+    rows = df.select(strip(F.col("label")).alias("label"), pixels.alias("pixels")).where(F.col("label").isin(*labels))
+    share = F.pmod(F.xxhash64(F.lit(seed), "label", "pixels"), F.lit(10_000)) / 10_000
+    return rows.withColumn("split", F.when(share < holdout, "val").otherwise("train"))
 
 
 def render_pdf(*_, **__):
@@ -188,7 +291,7 @@ def write_results(df: DataFrame, path: str) -> None:
 
 def write_json(payload: dict, path: str) -> None:
     """K4: a small document, written beside and then put in place of the old one."""
-    own = f"{path}.{os.getpid()}.tmp"
+    own = f"{path}.{os.getpid()}.{uuid.uuid4().hex}.tmp"
     with open(own, "w", encoding="utf-8") as f:
         json.dump(payload, f, sort_keys=True)
     os.replace(own, path)
