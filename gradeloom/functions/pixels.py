@@ -1,69 +1,153 @@
-"""Pixel measurements in Arrow batches (I1, I2, I6, I7), and what needs libraries that are not installed."""
+"""Pixel measurements in Arrow batches (I1, I2, I6, I7), block transforms (I3, I4, Z22), and what needs libraries
+that are not installed."""
 
 from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from gradeloom.session import need
 
-DARK = 150
+# Fixed values of the domain: darkness of ink, shares of a bubble's radius, what a cell's frame and paper are.
+DARK, CORE, INNER = 150, 0.45, 0.70
+RING = (1.15, 1.8)
+PAPER, BRIGHT, GAP = 80, 55, (8.0, 1.5, 8, 18)
+CELL_INSET, CELL_DELTA, FRAME, EDGE = 0.20, 25, 0.55, 0.35
 
 
-def disc(gray: np.ndarray, cx: int, cy: int, r: int) -> np.ndarray | None:
-    """Pixels of a disc; null if it leaves the page."""
+def around(gray: np.ndarray, cx: int, cy: int, least: float, most: float) -> np.ndarray | None:
+    """Pixels at least and at most so far from a point, as far as they are on the page; None if none is."""
     h, w = gray.shape
-    if r < 1 or cx - r < 0 or cy - r < 0 or cx + r >= w or cy + r >= h:
+    reach = int(most)
+    y0, y1, x0, x1 = max(0, cy - reach), min(h, cy + reach + 1), max(0, cx - reach), min(w, cx + reach + 1)
+    if y0 >= y1 or x0 >= x1:
         return None
-    y, x = np.ogrid[-r : r + 1, -r : r + 1]
-    return gray[cy - r : cy + r + 1, cx - r : cx + r + 1][x * x + y * y <= r * r]
+    y, x = np.ogrid[y0:y1, x0:x1]
+    far = (x - cx) ** 2 + (y - cy) ** 2
+    found = gray[y0:y1, x0:x1][(far >= least**2) & (far <= most**2)]
+    return found if len(found) else None
+
+
+def disc(gray: np.ndarray, cx: int, cy: int, r: int) -> np.ndarray | None:
+    """Pixels of a disc, clipped by the page."""
+    return around(gray, cx, cy, 0, r)
+
+
+def core(r: int) -> int:
+    return max(1, round(r * CORE))
+
+
+def darker(gray: np.ndarray, cx: int, cy: int, r: int, than: float) -> float:
+    """The lesser dark share of the whole disc and of its core: an outline that leaks in is no mark."""
+    both = disc(gray, cx, cy, r), disc(gray, cx, cy, core(r))
+    return float(min(0.0 if part is None else (part < than).mean() for part in both))
+
+
+def fill_and_ink(gray: np.ndarray, cx: int, cy: int, r: int) -> tuple[float, float]:
+    """The lesser dark share of disc and core; mean ink of the inner disc. 0 off the page."""
+    inner = disc(gray, cx, cy, max(1, round(r * INNER)))
+    return darker(gray, cx, cy, r, DARK), 0.0 if inner is None else float((255.0 - inner.astype(float)).mean() / 255.0)
+
 
+def stretched(gray: np.ndarray, cut: float = 1.0) -> np.ndarray:
+    """Contrast stretched over all grey levels, but for so many per cent at either end."""
+    low, high = np.percentile(gray, cut, method="inverted_cdf"), np.percentile(gray, 100 - cut, method="inverted_cdf")
+    if high <= low:
+        return gray
+    return np.clip((gray - low) * (255.0 / (high - low)), 0, 255).astype(np.uint8)
 
-def fill_and_ink(gray: np.ndarray, cx: int, cy: int, r: int) -> tuple[float | None, float | None]:
-    """The lesser dark share of the whole disc and of its core; mean ink of the inner disc."""
-    whole, core, inner = disc(gray, cx, cy, r), disc(gray, cx, cy, max(1, round(r * 0.45))), disc(gray, cx, cy, max(1, round(r * 0.70)))
-    if whole is None:
-        return None, None
-    return float(min((whole < DARK).mean(), (core < DARK).mean())), float((255.0 - inner).mean() / 255.0)
 
+def against_paper(gray: np.ndarray, cx: int, cy: int, r: int) -> float:
+    """The lesser share of disc and core that is darker than the paper of the ring around, by a gap of 8 to 18."""
+    ring = around(gray, cx, cy, max(r + 1, round(r * RING[0])), max(r + 2, round(r * RING[1])))
+    if ring is None or len(ring) < 8:
+        return 0.0
+    paper = float(np.percentile(ring, PAPER))
+    bright = ring[ring >= np.percentile(ring, BRIGHT)].astype(float)
+    base, share, least, most = GAP
+    gap = int(np.clip(round(base + share * float(np.median(np.abs(bright - paper)))), least, most))
+    return darker(gray, cx, cy, r, max(0, int(paper) - gap))
 
-def enhanced_fill(gray: np.ndarray, cx: int, cy: int, r: int) -> float | None:
-    """The dark share against the paper around: its 80th percentile less a gap of 8 to 18 by its spread."""
-    whole, wide = disc(gray, cx, cy, r), disc(gray, cx, cy, 2 * r)
-    if whole is None or wide is None:
+
+def enhanced_fill(gray: np.ndarray, cx: int, cy: int, r: int) -> float:
+    """The greater of the shares on the page as it is and on the page with its contrast stretched."""
+    return max(against_paper(gray, cx, cy, r), against_paper(stretched(gray), cx, cy, r))
+
+
+def _inside_frame(gray: np.ndarray) -> np.ndarray | None:
+    """What lies within a cell's printed frame; None if not all four sides are found."""
+    h, w = gray.shape
+    dark = gray <= np.percentile(gray, 90) - CELL_DELTA
+
+    def band(shares: np.ndarray) -> tuple[int, int] | None:
+        """The ends of the outermost bands of frame at both sides."""
+        n = len(shares)
+        ink = shares >= FRAME
+        low, high = np.flatnonzero(ink[: max(1, round(n * EDGE))]), np.flatnonzero(ink[min(n - 1, round(n * (1 - EDGE))) :])
+        if not len(low) or not len(high):
+            return None
+        begin, end = int(low[0]), int(high[-1]) + round(n * (1 - EDGE))
+        while begin + 1 < n and ink[begin + 1]:
+            begin += 1
+        while end > 0 and ink[end - 1]:
+            end -= 1
+        return begin + 2, end - 1
+
+    rows, columns = band(dark.mean(axis=1)), band(dark.mean(axis=0))
+    if rows is None or columns is None or rows[1] - rows[0] < h * 0.30 or columns[1] - columns[0] < w * 0.30:
         return None
-    paper = np.percentile(wide, 80)
-    gap = np.clip(2 * np.median(np.abs(wide - np.median(wide))), 8, 18)
-    return float((whole < paper - gap).mean())
+    return gray[rows[0] : rows[1], columns[0] : columns[1]]
 
 
 def cell_ink(gray: np.ndarray) -> float:
-    """The share of a cell's interior darker than its paper (90th percentile less 25)."""
+    """The share of a cell's interior as dark as its paper less 25, or darker. The printed frame is looked for."""
     h, w = gray.shape
-    inner = gray[h // 8 : h - h // 8, w // 8 : w - w // 8]
-    return float((inner < np.percentile(inner, 90) - 25).mean()) if inner.size else 0.0
+    y, x = max(1, round(h * CELL_INSET)), max(1, round(w * CELL_INSET))
+    inside = _inside_frame(gray)
+    inside = gray[y : h - y, x : w - x] if inside is None else inside
+    return float((inside <= float(np.percentile(inside, 90)) - CELL_DELTA).mean()) if inside.size else 0.0
+
+
+def otsu(gray: np.ndarray) -> int:
+    """The grey level that splits a patch into two classes as far apart as can be; ink is at it or below."""
+    n = np.bincount(gray.astype(np.uint8).ravel(), minlength=256).astype(float)
+    below, mass = np.cumsum(n), np.cumsum(n * np.arange(256))
+    above = below[-1] - below
+    with np.errstate(divide="ignore", invalid="ignore"):
+        apart = below * above * (mass / below - (mass[-1] - mass) / above) ** 2
+    return int(np.argmax(np.nan_to_num(apart)))
 
 
-def shapes(gray: np.ndarray) -> dict[str, float]:
-    """Ink shares of a patch by region, and its aspect."""
-    ink = gray < DARK
+SHAPES = (
+    "total_ink_ratio", "inner_ink_ratio", "ring_ink_ratio", "outside_circle_ink_ratio", "diagonal_45_score", "diagonal_135_score", "horizontal_line_score",
+    "vertical_line_score", "ink_distance_from_center_mean", "ink_distance_from_center_max", "bounding_box_width", "bounding_box_height", "aspect_ratio",
+)
+
+
+def shapes(gray: np.ndarray, radius: float) -> dict[str, float]:
+    """Ink shares of a patch by region, and the ink's reach and box, in radii of the bubble."""
+    ink = gray <= otsu(gray)
     h, w = ink.shape
-    y, x = np.mgrid[0:h, 0:w]
-    far = np.hypot((y - (h - 1) / 2) / max(1, h / 2), (x - (w - 1) / 2) / max(1, w / 2))
-    share = lambda m: float(ink[m].mean()) if m.any() else 0.0
-    rows, cols = np.flatnonzero(ink.any(axis=1)), np.flatnonzero(ink.any(axis=0))
-    return {
-        "total": float(ink.mean()), "inner": share(far < 0.5), "ring": share((far >= 0.5) & (far < 0.9)), "outer": share(far >= 0.9),
-        "diag1": share(np.abs(y * w - x * h) < h), "diag2": share(np.abs(y * w - (w - 1 - x) * h) < h), "top": share(y < h / 2), "left": share(x < w / 2),
-        "aspect": float((cols[-1] - cols[0] + 1) / (rows[-1] - rows[0] + 1)) if len(rows) else 0.0,
-    }
+    y, x = np.mgrid[:h, :w]
+    dy, dx = y - (h - 1) / 2, x - (w - 1) / 2
+    far, unit, line = np.hypot(dx, dy), max(1.0, radius), max(1.5, radius * 0.35)
+    regions = (
+        far >= 0, far <= radius * 0.85, (far > radius * 0.85) & (far <= radius * 1.25), far > radius * 1.25,
+        np.abs(dy - dx) <= line, np.abs(dy + dx) <= line, np.abs(dy) <= line, np.abs(dx) <= line,
+    )
+    shares = [float(ink[m].mean()) if m.any() else 0.0 for m in regions]
+    rows, columns = np.flatnonzero(ink.any(axis=1)), np.flatnonzero(ink.any(axis=0))
+    box = [0.0] * 4
+    if len(rows):
+        box = [float(far[ink].mean() / unit), float(far[ink].max() / unit), float((columns[-1] - columns[0] + 1) / unit), float((rows[-1] - rows[0] + 1) / unit)]
+    return dict(zip(SHAPES, [*shares, *box, box[2] / max(0.001, box[3])], strict=True))
 
 
 def _image(data: bytes, height: int, width: int) -> np.ndarray:
-    return np.frombuffer(data, dtype=np.uint8)[: height * width].reshape(height, width).astype(float)
+    return np.frombuffer(data, dtype=np.uint8)[: height * width].reshape(height, width)
 
 
 @F.pandas_udf(T.StructType([T.StructField(n, T.DoubleType()) for n in ("fill", "ink", "enhanced")]))
@@ -76,8 +160,8 @@ def measure_disc(data: pd.Series, height: pd.Series, width: pd.Series, cx: pd.Se
 
 
 @F.pandas_udf(T.MapType(T.StringType(), T.DoubleType()))
-def measure_shapes(data: pd.Series, height: pd.Series, width: pd.Series) -> pd.Series:
-    return pd.Series([shapes(_image(d, int(h), int(w))) for d, h, w in zip(data, height, width, strict=True)])
+def measure_shapes(data: pd.Series, height: pd.Series, width: pd.Series, radius: pd.Series) -> pd.Series:
+    return pd.Series([shapes(_image(d, int(h), int(w)), float(r)) for d, h, w, r in zip(data, height, width, radius, strict=True)])
 
 
 @F.pandas_udf(T.DoubleType())
@@ -103,8 +187,104 @@ def band_of_line(top: Column, height: Column, lines: Column, line: Column) -> tu
     return F.greatest(top, top + step * line - step * 0.12), F.least(top + height, top + step * (line + 1) + step * 0.12)
 
 
+def reasonable(matrix: np.ndarray) -> bool:
+    """I4: no mirror, no stretch beyond 0.70 to 1.35, and about the same in all directions."""
+    linear = matrix[:, :2]
+    if not np.isfinite(linear).all() or np.linalg.det(linear) <= 0:
+        return False
+    sizes = np.linalg.svd(linear, compute_uv=False)
+    return bool(sizes.min() >= 0.70 and sizes.max() <= 1.35 and sizes.max() / max(sizes.min(), 1e-6) <= 1.45)
+
+
+def one_to_one(expected: np.ndarray, observed: np.ndarray, reach: float) -> list[tuple[int, int]]:
+    """Each expected point with its nearest observed one, if it is in reach; pairs by ascending distance, none used twice."""
+    far = np.hypot(*(expected[:, None] - observed[None]).transpose(2, 0, 1))
+    best = far.argmin(axis=1)
+    out, taken = [], set()
+    for d, i, j in sorted((far[i, j], i, int(j)) for i, j in enumerate(best)):
+        if d <= reach and j not in taken:
+            taken.add(j)
+            out.append((i, j))
+    return out
+
+
+def affine(source: np.ndarray, to: np.ndarray) -> np.ndarray:
+    """The 2 x 3 matrix of least squares."""
+    return np.linalg.lstsq(np.column_stack([source, np.ones(len(source))]), to, rcond=None)[0].T
+
+
+def _residuals(matrix: np.ndarray, source: np.ndarray, to: np.ndarray) -> np.ndarray:
+    return np.hypot(*(source @ matrix[:, :2].T + matrix[:, 2] - to).T)
+
+
+def robust_transform(source: np.ndarray, to: np.ndarray, threshold: float, least: int = 3, trials: int = 200, seed: int = 0) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """I4: matrix, inliers and residuals: a sane affine fit of random triples, refined on its inliers, or the median shift.
+
+    Of both the one of more matches counts, then of the lesser mean and greatest residual.
+    """
+    shift = np.column_stack([np.eye(2), np.median(to - source, axis=0)])
+    every = np.arange(len(source))
+    found = [(shift, every, _residuals(shift, source, to))]
+    random = np.random.default_rng(seed)
+    best = np.empty(0, dtype=int)
+    for _ in range(trials if len(source) >= 3 else 0):
+        some = random.choice(len(source), 3, replace=False)
+        if np.linalg.matrix_rank(np.column_stack([source[some], np.ones(3)])) < 3:
+            continue
+        inside = np.flatnonzero(_residuals(affine(source[some], to[some]), source, to) <= threshold)
+        best = inside if len(inside) > len(best) else best
+    if len(best) >= max(3, least):
+        matrix = affine(source[best], to[best])
+        if reasonable(matrix):
+            found.append((matrix, best, _residuals(matrix, source[best], to[best])))
+    return min(found, key=lambda f: (-len(f[1]), f[2].mean(), f[2].max()))
+
+
+def fit_block(expected: np.ndarray, observed: np.ndarray, reach: float, least: int = 3) -> tuple[np.ndarray, int, float, float] | None:
+    """I4: a block's transform from unordered anchors: matrix, matches, mean and greatest residual; None if too few match.
+
+    Each two points vote for a rough shift; about the best shifts points are matched and a transform is fitted.
+    """
+    if len(expected) < least or not len(observed):
+        return None
+    shifts = (observed[:, None] - expected[None]).reshape(-1, 2)
+    cells = np.rint(shifts / max(3.0, reach * 0.45)).astype(int)
+    _, cell, votes = np.unique(cells, axis=0, return_inverse=True, return_counts=True)
+    tried = [np.median(shifts[cell.ravel() == c], axis=0) for c in np.argsort(-votes, kind="stable")[:80]] + [np.zeros(2)]
+    out = None
+    for shift in tried:
+        pairs = one_to_one(expected + shift, observed, reach)
+        if len(pairs) < least:
+            continue
+        i, j = map(list, zip(*pairs))
+        matrix, inside, left = robust_transform(expected[i], observed[j], max(2.0, reach * 0.35), least)
+        told = (matrix, len(inside), float(left.mean()), float(left.max()))
+        if out is None or (-told[1], told[2], told[3]) < (-out[1], out[2], out[3]):
+            out = told
+    return out
+
+
+def calibrated(blocks: DataFrame, observed: DataFrame, reach: float) -> DataFrame:
+    """Page, block, id, x, y, residual: expected centres moved by their block's transform, with the distance to the
+    nearest observed centre (null if none). Where no transform can be fitted they stay where the template says.
+
+    expected and observed: page, block, id, x, y. A block's points are few by nature.
+    """
+    both = blocks.select("page", "block", "id", "x", "y", F.lit(0).alias("side")).unionByName(observed.select("page", "block", "id", "x", "y", F.lit(1).alias("side")))
+
+    def move(part: pd.DataFrame) -> pd.DataFrame:
+        e, o = part[part.side == 0].sort_values("id"), part[part.side == 1].sort_values("id")
+        source, to = e[["x", "y"]].to_numpy(float), o[["x", "y"]].to_numpy(float)
+        fitted = fit_block(source, to, reach)
+        at = source if fitted is None else source @ fitted[0][:, :2].T + fitted[0][:, 2]
+        left = np.hypot(*(at[:, None] - to[None]).transpose(2, 0, 1)).min(axis=1) if len(to) and len(at) else np.full(len(at), np.nan)
+        return pd.DataFrame({"page": e["page"].to_numpy(), "block": e["block"].to_numpy(), "id": e["id"].to_numpy(), "x": at[:, 0], "y": at[:, 1], "residual": left, "fitted": fitted is not None})
+
+    return both.groupBy("page", "block").applyInPandas(move, "page long, block long, id long, x double, y double, residual double, fitted boolean")
+
+
 def align_page(*_, **__):
-    """Registration by contours and warps; only with an image library."""
+    """Finding markers by contours and warping pages; only with an image library."""
     return need("cv2", "page alignment")
 
 

@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+import random
+import uuid
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from gradeloom.operators import blocks as met
+from gradeloom.session import shared_dir
 
 PROBABILITIES = (0.60, 0.70, 0.80, 0.85, 0.90, 0.95, 0.98)
 MARGINS = (0.0, 0.05, 0.10, 0.20)
@@ -124,9 +128,9 @@ def balanced(rows: DataFrame, label: str, seed: int, target: int | None = None)
 
 
 def sheet_split(rows: DataFrame, sheet: str, last: int) -> DataFrame:
-    """The last sheets in order are held out. The list of sheets is ranked, not the rows."""
-    sheets = rows.select(sheet).distinct().withColumn("place", F.row_number().over(Window.partitionBy(F.lit(0)).orderBy(F.desc(sheet))))
-    return rows.join(sheets, sheet).withColumn("split", F.when(F.col("place") <= last, "val").otherwise("train")).drop("place")
+    """The last sheets in order are held out: a top list, which each task shortens first."""
+    held = rows.select(sheet).distinct().orderBy(F.desc(sheet)).limit(last).withColumn("split", F.lit("val"))
+    return rows.join(held, sheet, "left").fillna("train", ["split"])
 
 
 def grouped_holdout(rows: DataFrame, components: DataFrame, test: int, seed: int) -> DataFrame:
@@ -161,3 +165,132 @@ def auto_label(m: dict[str, Column], program: Column, kind: Column) -> Column:
     empty = (m["inner"] <= 0.12) & (m["outer"] <= 0.035) & (m["dist"] <= 1.5) & (m["total"] <= 0.16)
     filled = (m["inner"] >= 0.42) & (m["outer"] <= 0.055) & (m["dist"] <= 1.55)
     return F.when(program, "needs_review").when(empty, "empty").when(filled, "filled").when(~kind.isin("mcq", "numerical"), "needs_review").when(cross | slash, "cancelled").otherwise("needs_review")
+
+
+def crop_label(features: Column, program: Column, kind: Column) -> Column:
+    """The label of a crop by its measured features (pixels.shapes)."""
+    names = {
+        "total": "total_ink_ratio", "inner": "inner_ink_ratio", "outer": "outside_circle_ink_ratio", "diag1": "diagonal_45_score", "diag2": "diagonal_135_score",
+        "dist": "ink_distance_from_center_max", "width": "bounding_box_width", "height": "bounding_box_height",
+    }
+    return auto_label({k: features[n] for k, n in names.items()}, program, kind)
+
+
+def softmax(logits: Column) -> Column:
+    """M1: scores as probabilities; the greatest is taken off first, so no exponential overflows."""
+    top = F.array_max(logits)
+    e = F.transform(logits, lambda x: F.exp(x - top))
+    total = F.aggregate(e, F.lit(0.0), lambda a, x: a + x)
+    return F.transform(e, lambda x: x / total)
+
+
+def blended(members: DataFrame, weights: DataFrame, keys: list[str]) -> DataFrame:
+    """M1: keys and probs: the members' probabilities, weighted by validation accuracy (equally if all are 0).
+
+    members: keys, member, probs. A crop's members are few, and are summed place by place.
+    """
+    total = weights.agg(F.sum(F.greatest("weight", F.lit(0.0))).alias("total"))
+    share = F.when(F.col("total") > 0, F.greatest("weight", F.lit(0.0)) / F.col("total")).otherwise(1.0 / F.col("members"))
+    known = weights.join(F.broadcast(total.withColumn("members", F.lit(weights.count()))), F.lit(True)).select("member", share.alias("share"))
+    parts = members.join(known, "member").select(*keys, F.posexplode(F.transform("probs", lambda p: p)).alias("at", "p"), "share")
+    by = parts.groupBy(*keys, "at").agg(F.sum(F.col("p") * F.col("share")).alias("p"))
+    return by.groupBy(*keys).agg(F.transform(F.array_sort(F.collect_list(F.struct("at", "p"))), lambda x: x["p"]).alias("probs"))
+
+
+def weak(probs: Column) -> Column:
+    """M1: whether a read is retried: its top probability is under .86 or its margin under .18."""
+    ranked = F.reverse(F.array_sort(probs))
+    return (ranked[0] < 0.86) | (F.coalesce(ranked[0] - F.get(ranked, F.lit(1)), F.lit(1.0)) < 0.18)
+
+
+def retried(first: Column, again: Column, labels: tuple[str, ...]) -> Column:
+    """M1: a read from its probabilities and, if it was weak, those of the retry (else null).
+
+    If both agree they are blended .65 to .35; if not, the first stands and disagreement is flagged.
+    """
+    at = lambda p: F.array_position(p, F.array_max(p)) - 1
+    met = weak(first) & again.isNotNull()
+    agree = met & (at(first) == at(again))
+    row = F.when(agree, F.zip_with(first, again, lambda a, b: a * 0.65 + b * 0.35)).otherwise(first)
+    label = F.get(F.array(*map(F.lit, labels)), at(row).cast("int"))
+    ranked = F.reverse(F.array_sort(row))
+    state = F.when(~met, "not_needed").when(agree, "contrast_retry_agreed").otherwise("contrast_retry_disagreed")
+    return F.struct(
+        F.when(label == "blank", "").otherwise(label).alias("digit"), label.alias("label"), ranked[0].alias("confidence"),
+        (ranked[0] - F.coalesce(F.get(ranked, F.lit(1)), F.lit(0.0))).alias("margin"), state.alias("enhancement"), (met & ~agree).alias("disagreement"),
+    )
+
+
+#: Writer groups that the driver may plan a split for: sizes and labels only.
+MOST_GROUPS = 200_000
+
+
+def linked_writers(rows: DataFrame) -> DataFrame:
+    """Writer and group: writers who share a crop (by digest) are one group, named by the least of them.
+
+    A writer takes the least name among those it shares a crop with, round by round, until none changes.
+    """
+    spark = rows.sparkSession
+    home = f"{shared_dir(spark)}/gradeloom-groups-{uuid.uuid4().hex}"
+    pairs = rows.select("writer", "digest").distinct()
+    pairs.write.parquet(f"{home}/pairs")
+    pairs = spark.read.parquet(f"{home}/pairs")
+    named = pairs.select("writer").distinct().withColumn("group", F.col("writer"))
+    for i in range(1000):
+        least = pairs.join(named, "writer").groupBy("digest").agg(F.min("group").alias("least"))
+        after = named.join(pairs.join(least, "digest").groupBy("writer").agg(F.min("least").alias("least")), "writer").select("writer", F.col("least").alias("group"), (F.col("least") != F.col("group")).alias("moved"))
+        after.write.parquet(f"{home}/round{i}")
+        named = spark.read.parquet(f"{home}/round{i}")
+        if named.where("moved").isEmpty():
+            return named.drop("moved")
+        named = named.drop("moved")
+    raise RuntimeError("groups did not settle")
+
+
+def _chosen(sizes: dict[str, int], target: int, seed: int) -> set[str]:
+    """Whole groups whose rows come nearest to the target (less rather than more), in a seeded order."""
+    order = sorted(sizes)
+    random.Random(seed).shuffle(order)
+    last: dict[int, tuple[int, str] | None] = {0: None}  # for each sum the one before it and the group that was added
+    for group in order:
+        for total in list(last):
+            last.setdefault(total + sizes[group], (total, group))
+    whole = sum(sizes.values())
+    sums = [t for t in last if 0 < t < whole]
+    if not sums:
+        raise ValueError("too few independent writers for the split")
+    at, out = min(sums, key=lambda t: (abs(t - target), t)), set()
+    while last[at] is not None:
+        at, group = last[at]
+        out.add(group)
+    return out
+
+
+def linked_holdout(rows: DataFrame, test: int, validation: int, seed: int = 557, trials: int = 32) -> DataFrame:
+    """Rows with group and split: writers who share crops stay together; sums of whole groups meet the targets.
+
+    Of the trials for validation the one nearest to its target counts, then the one that lacks the fewest
+    labels. The driver plans over groups (their number is checked), never over rows. rows: writer, digest, label, ...
+    """
+    groups = linked_writers(rows)
+    told = rows.join(groups, "writer")
+    by = told.groupBy("group").agg(F.count("*").alias("n"), F.collect_set("label").alias("labels"))
+    if by.count() > MOST_GROUPS:
+        raise ValueError(f"more than {MOST_GROUPS} groups of writers")
+    listed = by.collect()
+    sizes, labels = {r.group: r.n for r in listed}, {r.group: set(r.labels) for r in listed}
+    if test < 1 or validation < 1 or test + validation >= sum(sizes.values()):
+        raise ValueError("the targets must leave rows to train on")
+    held = _chosen(sizes, test, seed)
+    rest = {g: n for g, n in sizes.items() if g not in held}
+    every = set().union(*(labels[g] for g in rest))
+    best = None
+    for trial in range(trials):
+        some = _chosen(rest, validation, seed + 1 + trial)
+        score = (abs(sum(rest[g] for g in some) - validation), len(every - set().union(*(labels[g] for g in some))))
+        if best is None or score < best[0]:
+            best = score, some
+        if score == (0, 0):
+            break
+    split = rows.sparkSession.createDataFrame([(g, "test" if g in held else "val" if g in best[1] else "train") for g in sizes], f"group {rows.schema['writer'].dataType.simpleString()}, split string")
+    return told.join(split, "group")

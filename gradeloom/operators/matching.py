@@ -67,6 +67,19 @@ def crop_classifier(rows: DataFrame, features: list[str], label: str):
     return Pipeline(stages=steps).fit(weighted)
 
 
+def crop_forest(rows: DataFrame, features: list[str], label: str, trees: int = 300, depth: int = 8, leaf: int = 3, seed: int = 557):
+    """M5: a random forest with balanced weights; the fitted pipeline model."""
+    from pyspark.ml import Pipeline
+    from pyspark.ml.classification import RandomForestClassifier
+    from pyspark.ml.feature import VectorAssembler
+
+    counts = rows.groupBy(label).agg(F.count("*").alias("n_label"))
+    classes, total = counts.count(), rows.count()
+    weighted = rows.join(counts, label).withColumn("weight", F.lit(float(total)) / (classes * F.col("n_label")))
+    forest = RandomForestClassifier(labelCol=label, weightCol="weight", numTrees=trees, maxDepth=depth, minInstancesPerNode=leaf, seed=seed)
+    return Pipeline(stages=[VectorAssembler(inputCols=features, outputCol="features"), forest]).fit(weighted)
+
+
 _backends: dict[str, Callable[[], Callable[[list[bytes]], list[tuple[str, float]]]]] = {}
 
 

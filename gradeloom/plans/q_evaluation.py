@@ -171,6 +171,47 @@ def _(spark, d):
     return E.grouped_holdout(rows, groups, 100, 557).select("crop", "writer", "group", "split")
 
 
+@query("linked_holdout_groups", "WITH RECURSIVE w AS (SELECT DISTINCT CAST(vec_id % 61 AS VARCHAR) AS writer, CAST(vec_id % 400 AS VARCHAR) AS digest FROM embeddings WHERE embedding IS NOT NULL AND vec_id % 61 < 40 AND vec_id % 400 < 350), e AS (SELECT DISTINCT a.writer AS a, b.writer AS b FROM w a JOIN w b USING (digest)), r(writer, grp) AS (SELECT writer, writer FROM w UNION SELECT e.b, r.grp FROM r JOIN e ON e.a = r.writer) SELECT writer, min(grp) AS grp FROM r GROUP BY writer")
+def _(spark, d):
+    return E.linked_writers(writers(spark, d)).select("writer", F.col("group").alias("grp"))
+
+
+def writers(spark, d):
+    k = F.col("vec_id")
+    rows = A.table(spark, d, "embeddings").where("embedding IS NOT NULL AND vec_id % 61 < 40 AND vec_id % 400 < 350")
+    return rows.select(k.alias("crop"), (k % 61).cast("string").alias("writer"), (k % 400).cast("string").alias("digest"), F.col("label").cast("string").alias("label"))
+
+
+@query("linked_holdout")
+def _(spark, d):
+    k = F.col("vec_id")
+    rows = A.table(spark, d, "embeddings").select(k.alias("crop"), (k % 61).cast("string").alias("writer"), k.cast("string").alias("digest"), F.col("label").cast("string").alias("label"))
+    return E.linked_holdout(rows, 20, 10)
+
+
+@query("ensemble_softmax", A.sql("predictions", ", x AS (SELECT crop, member, list_transform(scores, lambda s: exp(CAST(s AS DOUBLE) - CAST(list_max(scores) AS DOUBLE))) AS e FROM predictions), p AS (SELECT crop, member, list_transform(e, lambda v: v / list_sum(e)) AS p FROM x), m AS (SELECT crop, digit, sum(v * (member + 1) / 10.0) AS p FROM (SELECT crop, member, unnest(p) AS v, generate_subscripts(p, 1) - 1 AS digit FROM p) GROUP BY 1, 2), k AS (SELECT crop, digit, p, row_number() OVER (PARTITION BY crop ORDER BY p DESC, digit) AS place FROM m) SELECT a.crop, CAST(a.digit AS INTEGER) AS digit, floor(a.p * 1e6 + 0.5) / 1e6 AS confidence, floor((a.p - b.p) * 1e6 + 0.5) / 1e6 AS margin, a.p < 0.86 OR a.p - b.p < 0.18 AS weak FROM k a JOIN k b USING (crop) WHERE a.place = 1 AND b.place = 2"))
+def _(spark, d):
+    p = A.predictions(spark, d).select("crop", "member", E.softmax(F.transform("scores", lambda x: x.cast("double"))).alias("probs"))
+    weights = spark.createDataFrame([(i, float(i + 1)) for i in range(4)], "member int, weight double")
+    r = E.blended(p, weights, ["crop"]).select("crop", "probs", E.retried(F.col("probs"), F.lit(None).cast("array<double>"), tuple(map(str, range(11)))).alias("r"))
+    near = lambda c: F.floor(F.col(c) * 1e6 + 0.5) / 1e6
+    return r.select("crop", F.col("r.digit").cast("int").alias("digit"), near("r.confidence").alias("confidence"), near("r.margin").alias("margin"), E.weak(F.col("probs")).alias("weak"))
+
+
+@query("retry_blend", "WITH x AS (SELECT p_partkey, (p_size % 40 + 40) / 100.0::DOUBLE AS a, CASE WHEN p_partkey % 3 = 0 THEN 0.2::DOUBLE ELSE 0.9::DOUBLE END AS b FROM part), y AS (SELECT *, greatest(a, 1 - a) < 0.86 OR abs(2 * a - 1) < 0.18 AS weak, a >= 0.5 AS one, b >= 0.5 AS two FROM x), z AS (SELECT *, CASE WHEN weak AND one = two THEN a * 0.65::DOUBLE + b * 0.35::DOUBLE ELSE a END AS p FROM y) SELECT p_partkey, CASE WHEN p >= 0.5 THEN '7' ELSE '' END AS digit, floor(greatest(p, 1 - p) * 1e6 + 0.5) / 1e6 AS confidence, CASE WHEN NOT weak THEN 'not_needed' WHEN one = two THEN 'contrast_retry_agreed' ELSE 'contrast_retry_disagreed' END AS enhancement, weak AND one <> two AS disagreement FROM z")
+def _(spark, d):
+    a = (F.col("p_size") % 40 + 40) / F.lit(100.0)
+    b = F.when(F.col("p_partkey") % 3 == 0, 0.2).otherwise(0.9)
+    r = A.table(spark, d, "part").select("p_partkey", E.retried(F.array(a, 1 - a), F.array(b, 1 - b), ("7", "blank")).alias("r"))
+    return r.select("p_partkey", "r.digit", (F.floor(F.col("r.confidence") * 1e6 + 0.5) / 1e6).alias("confidence"), "r.enhancement", "r.disagreement")
+
+
+@query("member_confusion", A.sql("predictions", "SELECT member, expected, predicted, count(*) AS n FROM predictions GROUP BY ALL"))
+def _(spark, d):
+    """Each member's confusions, all members and rows."""
+    return A.predictions(spark, d).groupBy("member", "expected", "predicted").agg(F.count("*").alias("n"))
+
+
 @query("split_leakage", A.sql("predictions", "SELECT writer, count(DISTINCT split) AS splits FROM (SELECT writer, CASE WHEN crop % 5 = 0 THEN 'val' ELSE 'train' END AS split FROM predictions) GROUP BY 1 HAVING count(DISTINCT split) > 1"))
 def _(spark, d):
     return E.leakage(A.predictions(spark, d).withColumn("split", F.when(F.col("crop") % 5 == 0, "val").otherwise("train")), "writer")

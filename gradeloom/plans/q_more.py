@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from gradeloom import schemas
 from gradeloom.functions import pixels
+from gradeloom.operators import evaluation as E
 from gradeloom.operators import matching as M
 from gradeloom.plans import adapters as A
 from gradeloom.sources.files import pseudonymised
@@ -53,7 +54,25 @@ def _(spark, d):
 
 @query("shape_features")
 def _(spark, d):
-    return drawn(spark, d).select("id", F.explode(pixels.measure_shapes("data", "size", "size")).alias("feature", "value"))
+    return drawn(spark, d).select("id", F.explode(pixels.measure_shapes("data", "size", "size", F.lit(12))).alias("feature", "value"))
+
+
+@query("crop_labels")
+def _(spark, d):
+    """Features of drawn bubbles and the labels that they lead to."""
+    m = drawn(spark, d).select("id", pixels.measure_shapes("data", "size", "size", F.lit(12)).alias("m"))
+    return m.select("id", E.crop_label(F.col("m"), F.lit(False), F.lit("mcq")).alias("label"))
+
+
+@query("block_calibration")
+def _(spark, d):
+    """Blocks of twelve printed centres, moved, turned and short of one, brought back on what is observed."""
+    s = A.table(spark, d, "supplier").select((F.col("s_suppkey") % 10).alias("page"), F.col("s_suppkey").alias("block"), F.explode(F.sequence(F.lit(0).cast("long"), F.lit(11).cast("long"))).alias("id"))
+    x, y = 100.0 + (F.col("id") % 4) * 30, 100.0 + F.floor(F.col("id") / 4) * 40
+    expected = s.select("page", "block", "id", x.alias("x"), y.alias("y"))
+    turn = (F.col("block") % 5 - 2) / 100.0
+    seen = expected.select("page", "block", "id", (F.col("x") * F.cos(turn) - F.col("y") * F.sin(turn) + F.col("block") % 7).alias("x"), (F.col("x") * F.sin(turn) + F.col("y") * F.cos(turn) - F.col("block") % 3).alias("y")).where("id <> block % 12")
+    return pixels.calibrated(expected, seen, 18.0).select("block", "id", F.round("x", 3).alias("x"), F.round("y", 3).alias("y"), "fitted")
 
 
 @query("line_bands", "SELECT p_partkey, CAST(l AS INTEGER) AS line, greatest(10.0::DOUBLE, 10 + p_size / 4.0::DOUBLE * l - p_size / 4.0::DOUBLE * 0.12::DOUBLE) AS top, least(10.0::DOUBLE + p_size, 10 + p_size / 4.0::DOUBLE * (l + 1) + p_size / 4.0::DOUBLE * 0.12::DOUBLE) AS bottom FROM part, range(4) t(l)")
