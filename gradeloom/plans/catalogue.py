@@ -6,9 +6,9 @@ ending in ``_all``, on every order.
 
 from __future__ import annotations
 
-from gradeloom.plans import adapters, q_evaluation, q_files, q_grading, q_joins, q_more, q_ownership
+from gradeloom.plans import adapters, q_evaluation, q_files, q_grading, q_joins, q_more, q_ownership, q_results
 
-PARTS = (q_grading, q_ownership, q_evaluation, q_joins, q_more, q_files)
+PARTS = (q_grading, q_ownership, q_evaluation, q_joins, q_more, q_files, q_results)
 QUERIES: dict = {name: f for part in PARTS for name, f in part.Q.items()}
 ORACLE_SQL: dict = {name: text for part in PARTS for name, text in part.S.items()}
 

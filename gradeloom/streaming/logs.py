@@ -36,17 +36,21 @@ def decision_stream(spark: SparkSession, path: str) -> DataFrame:
 
 
 def fold_stream(log: DataFrame) -> DataFrame:
-    """The latest decision of each entity, kept as aggregation state; each trigger's result is the table whole."""
+    """The latest decision of each entity, kept as aggregation state; each trigger's changes are a batch of their own.
+
+    A batch that is run again replaces itself. The table is each entity's row of the last batch that changed it.
+    """
     spark = log.sparkSession
     out, marks = _home(spark, "state"), _home(spark, "checkpoint")
     last = F.max(F.struct("ts", "seq", "action")).alias("last")
     state = log.groupBy("entity").agg(last, F.count("*").alias("decisions")).select("entity", F.col("last.action").alias("action"), F.col("last.seq").alias("seq"), "decisions")
 
-    def put(batch: DataFrame, _: int) -> None:
-        batch.write.mode("overwrite").parquet(out)
+    def put(batch: DataFrame, number: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{out}/batch={number}")
 
-    state.writeStream.outputMode("complete").option("checkpointLocation", marks).trigger(availableNow=True).foreachBatch(put).start().awaitTermination()
-    return spark.read.parquet(out)
+    state.writeStream.outputMode("update").option("checkpointLocation", marks).trigger(availableNow=True).foreachBatch(put).start().awaitTermination()
+    newest = F.max_by(F.struct("action", "seq", "decisions"), "batch").alias("s")
+    return spark.read.parquet(out).groupBy("entity").agg(newest).select("entity", "s.*")
 
 
 def inspect_stream(spark: SparkSession, path: str, schema: str, done: DataFrame, key: str) -> DataFrame:
@@ -60,18 +64,26 @@ def inspect_stream(spark: SparkSession, path: str, schema: str, done: DataFrame,
     return spark.read.parquet(out).drop("batch")
 
 
-def send_once(queue: DataFrame, keys: list[str], twice: bool = True) -> DataFrame:
-    """A sink that may get a batch again: each is written under its number, without what the log has."""
+def send_once(queue: DataFrame, keys: list[str], log: str | None = None, put_again: bool = False) -> DataFrame:
+    """Rows of a queue that the log at the given path (else a new one) has not yet, each sent once.
+
+    A batch is written under its number, without what other batches have sent; so one that comes again after a
+    failure replaces itself by the same rows. put_again has each batch come twice, for tests.
+    """
     spark = queue.sparkSession
-    log, marks = _home(spark, "sent"), _home(spark, "checkpoint")
+    log = log or _home(spark, "sent")
+    marks = f"{log}-checkpoint"
+    kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in queue.schema.fields if f.name in keys)
+    spark.createDataFrame([], f"{kinds}, status string").write.mode("ignore").parquet(f"{log}/batch=-1")
 
     def put(batch: DataFrame, number: int) -> None:
-        own = f"{log}/batch={number}"
-        for _ in range(2 if twice else 1):  # the same batch again changes nothing
-            batch.dropDuplicates(keys).withColumn("status", F.lit("SENT")).write.mode("overwrite").parquet(own)
+        for _ in range(2 if put_again else 1):
+            others = batch.sparkSession.read.parquet(log).where(F.col("batch") != number).select(*keys)
+            fresh = batch.select(*keys).dropDuplicates(keys).join(others, keys, "left_anti")
+            fresh.withColumn("status", F.lit("SENT")).write.mode("overwrite").parquet(f"{log}/batch={number}")
 
     queue.writeStream.option("checkpointLocation", marks).trigger(availableNow=True).foreachBatch(put).start().awaitTermination()
-    return spark.read.parquet(log).dropDuplicates(keys).drop("batch")
+    return spark.read.parquet(log).drop("batch")
 
 
 class Progress(StreamingQueryListener):
