@@ -1,7 +1,8 @@
 """Logistic mixing of hashed-context bit predictors over the bytes of words, in numpy.
 
-A word is its bytes and a space; each byte is eight binary decisions. Predictors look up a
-hashed context (the last 0 to 3 bytes of the word, or all of it so far, and the kind of text) together
+A word is its bytes and a space (the end of a text is the space alone, which no word is); each byte
+is eight binary decisions. Predictors look up a hashed context (the last 0 to 4 bytes of the word, or
+all of it so far, and the kind of text) together
 with the bits of the byte so far, and know how often a 1 and a 0 followed in training. Their log odds
 are mixed by weights that a gate chooses: how often the two longest contexts were seen. The
 weights are learned online, block after block of words, each word's own last occurrence being
@@ -15,18 +16,21 @@ from dataclasses import dataclass
 
 import numpy as np
 
-#: Slots of each context's table, as powers of two: no byte, 1, 2 and 3 bytes, the whole word so far.
-SLOTS = (8, 16, 18, 20, 21)
+#: Slots of each context's table, as powers of two: no byte, 1, 2, 3 and 4 bytes, the whole word so far.
+SLOTS = (8, 16, 18, 20, 20, 22)
 CONTEXTS = len(SLOTS)
 FIRST = np.concatenate([[0], np.cumsum([1 << s for s in SLOTS])]).astype(np.int64)
 #: Words in a block and in one that is only counted, levels of a gate's confidence, steps of the adaptive map.
-BLOCK, COUNTED, LEVELS, STEPS = 1024, 1 << 14, 12, 33
+BLOCK, COUNTED, LEVELS, STEPS = 1024, 1 << 15, 12, 33
 GATES = LEVELS * LEVELS
 _M = 0x9E3779B97F4A7C15
 _INVERSE = np.uint64(pow(_M, -1, 1 << 64))
 _SALTS = [np.uint64(0xD1B54A32D192ED03 * (i + 1) & (1 << 64) - 1 | 1) for i in range(CONTEXTS)]
 _DOWN = np.arange(7, -1, -1)
 _NODES = np.array([[(1 << j) | (b >> (8 - j)) for j in range(8)] for b in range(256)], dtype=np.uint64)
+#: What each bit of each byte adds to a context, by context: nodes times the context's salt.
+with np.errstate(over="ignore"):
+    _SALTED = [_NODES * salt for salt in _SALTS]
 _BITS = np.array([[(b >> k) & 1 for k in _DOWN] for b in range(256)], dtype=np.uint8)
 
 
@@ -46,7 +50,7 @@ def block(words: list[bytes], kinds: np.ndarray) -> Block:
     wide = data.astype(np.uint64)
     before = np.zeros(len(data), dtype=np.uint64)
     seen = [before]
-    for k in range(1, 4):
+    for k in range(1, CONTEXTS - 1):
         own = np.zeros(len(data), dtype=np.uint64)
         own[k:] = wide[:-k] + np.uint64(1)
         own[place < k] = 0
@@ -57,14 +61,16 @@ def block(words: list[bytes], kinds: np.ndarray) -> Block:
         back = np.cumprod(np.concatenate([[np.uint64(1)], np.full(len(data), _INVERSE, dtype=np.uint64)]))
         sums = np.concatenate([[np.uint64(0)], np.cumsum((wide + np.uint64(1)) * powers[:-1])])
         seen.append((sums[np.arange(len(data))] - sums[start]) * back[start])
-        nodes = _NODES[data]
         kind = np.repeat(kinds, size).astype(np.uint64) * np.uint64(0xA24BAED4963EE407)
         slots = np.empty((CONTEXTS, len(data) * 8), dtype=np.int64)
         for i, (context, power) in enumerate(zip(seen, SLOTS, strict=True)):
-            context = context + kind
-            mixed = ((context * np.uint64(_M)) ^ (context >> np.uint64(29)))[:, None] + nodes * _SALTS[i]
-            mixed = (mixed ^ (mixed >> np.uint64(31))) * np.uint64(_M)
-            slots[i] = FIRST[i] + (mixed >> np.uint64(64 - power)).astype(np.int64).ravel()
+            context = (context + kind) * np.uint64(_M)
+            context ^= context >> np.uint64(29)
+            mixed = _SALTED[i][data]
+            mixed += context[:, None]
+            mixed *= np.uint64(_M)
+            mixed >>= np.uint64(64 - power)
+            np.add(mixed.view(np.int64).ravel(), FIRST[i], out=slots[i])
     last = np.repeat(np.where(place > 0, np.concatenate([[0], data[:-1]]), 0), 8).astype(np.int64)
     return Block(slots, _BITS[data].ravel(), last, np.repeat(np.arange(len(words)), size * 8))
 
@@ -76,9 +82,11 @@ def counted(words: list[bytes], kinds: np.ndarray, times: np.ndarray, ones: np.n
         n = times[at : at + COUNTED][b.word].astype(np.float64)
         for i in range(CONTEXTS):
             low, high = FIRST[i], FIRST[i + 1]
-            own = b.slots[i] - low
-            every[low:high] += np.bincount(own, weights=n, minlength=high - low)
-            ones[low:high] += np.bincount(own, weights=n * b.bits, minlength=high - low)
+            # zeros at even places, ones at odd ones
+            both = np.bincount((b.slots[i] - low) * 2 + b.bits, weights=n, minlength=2 * (high - low))
+            ones[low:high] += both[1::2]
+            every[low:high] += both[::2]
+            every[low:high] += both[1::2]
 
 
 def _log_odds(ones: np.ndarray, every: np.ndarray) -> np.ndarray:
@@ -102,9 +110,6 @@ class Weights:
         self.square = np.full_like(self.mix, 1e-6)
         self.map = np.zeros((2, STEPS, 256))
 
-    def mixed(self, inputs: np.ndarray, gate: np.ndarray) -> np.ndarray:
-        return np.einsum("ib,bi->b", inputs, self.mix[gate, :-1]) + self.mix[gate, -1]
-
     @staticmethod
     def step(z: np.ndarray) -> np.ndarray:
         return np.clip(np.rint(z * 2) + STEPS // 2, 0, STEPS - 1).astype(np.int64)
@@ -115,31 +120,43 @@ class Weights:
         learned = (self.map[0] + 8 * centre) / (self.map[1] + 8)
         return np.log(learned / (1 - learned)) - np.log(centre / (1 - centre))
 
-    def learn(self, words: list[bytes], kinds: np.ndarray, times: np.ndarray, ones: np.ndarray, zeros: np.ndarray, rate: float = 0.1) -> None:
+    def learn(self, words: list[bytes], kinds: np.ndarray, times: np.ndarray, pairs: np.ndarray, rate: float = 0.1) -> None:
         """Online: a block's error corrects the weights before the next block is mixed."""
         for at in range(0, len(words), BLOCK):
             b = block(words[at : at + BLOCK], kinds[at : at + BLOCK])
-            n = times[at : at + BLOCK][b.word].astype(np.float64)
-            one = np.maximum(0, ones[b.slots].astype(np.float32) - b.bits)
-            zero = np.maximum(0, zeros[b.slots].astype(np.float32) - (1 - b.bits))
-            inputs, total = np.log((one + np.float32(0.4)) / (zero + np.float32(0.4))), one + zero
-            gate = _level(total[-1]) * LEVELS + _level(total[3])
-            z = self.mixed(inputs, gate)
-            s = self.step(z)
-            self.map[0] += np.bincount(s * 256 + b.last, weights=n * b.bits, minlength=STEPS * 256).reshape(STEPS, 256)
-            self.map[1] += np.bincount(s * 256 + b.last, weights=n, minlength=STEPS * 256).reshape(STEPS, 256)
-            miss = n * (_squash(z) - b.bits)
+            n = times[at : at + BLOCK][b.word].astype(np.float32)
+            both = pairs.take(b.slots).view(np.float16).reshape(CONTEXTS, -1, 2)
+            one, zero = both[:, :, 0].astype(np.float32), both[:, :, 1].astype(np.float32)
+            one -= b.bits
+            zero -= 1 - b.bits
+            np.maximum(one, 0, out=one)
+            np.maximum(zero, 0, out=zero)
+            gate = _level(one[-1] + zero[-1]) * LEVELS + _level(one[3] + zero[3])
+            one += np.float32(0.4)
+            zero += np.float32(0.4)
+            one /= zero
+            inputs = np.log(one, out=one)
+            own = self.mix.astype(np.float32)
+            z = own[:, -1].take(gate)
+            for i in range(CONTEXTS):
+                z += inputs[i] * own[:, i].take(gate)
+            s = self.step(z) * 256 + b.last
+            self.map[0] += np.bincount(s, weights=n * b.bits, minlength=STEPS * 256).reshape(STEPS, 256)
+            self.map[1] += np.bincount(s, weights=n, minlength=STEPS * 256).reshape(STEPS, 256)
+            miss = n * (1 / (1 + np.exp(-np.clip(z, -20, 20))) - b.bits)
             mass = np.maximum(1e-9, np.bincount(gate, weights=n, minlength=GATES))
             for i in range(CONTEXTS + 1):
-                grad = np.bincount(gate, weights=miss * (inputs[i] if i < CONTEXTS else 1), minlength=GATES) / mass
+                grad = np.bincount(gate, weights=miss * inputs[i] if i < CONTEXTS else miss, minlength=GATES) / mass
                 self.square[:, i] += grad**2
                 self.mix[:, i] -= rate * grad / np.sqrt(self.square[:, i])
 
 
-def shrunk(ones: np.ndarray, every: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Counts of 1s and of 0s in 16 bits: large ones lose digits, and those above 60,000 are scaled down in pairs."""
+def shrunk(ones: np.ndarray, every: np.ndarray) -> tuple[np.ndarray]:
+    """Counts of 1s and of 0s in 16 bits, side by side in one number: large ones lose digits, and those above 60,000 are scaled down in pairs."""
     scale = np.minimum(1, 60_000 / np.maximum(every, 1))
-    return (ones * scale).astype(np.float16), ((every - ones) * scale).astype(np.float16)
+    both = np.empty((len(ones), 2), dtype=np.float16)
+    both[:, 0], both[:, 1] = ones * scale, (every - ones) * scale
+    return (both.view(np.uint32).ravel(),)
 
 
 @dataclass
@@ -162,9 +179,9 @@ class Model:
             some = words[at : at + BLOCK]
             b = block(some, kinds[at : at + BLOCK])
             gate = self.levels[b.slots[-1]].astype(np.int64) * LEVELS + self.levels[b.slots[3]]
-            z = self.mix[gate, -1]
+            z = self.mix[:, -1].take(gate)
             for i in range(CONTEXTS):
-                z += self.odds[b.slots[i]] * self.mix[gate, i]
+                z += self.odds.take(b.slots[i]) * self.mix[:, i].take(gate)
             # the odds of the bit that there is
             refined = z + self.shift[Weights.step(z), b.last]
             sign = np.where(b.bits == 1, np.float32(-1), np.float32(1))

@@ -6,7 +6,7 @@ import numpy as np
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from gradeloom.llm import common, mixing, neighbours, quality
+from gradeloom.llm import common, lm, mixing, neighbours, quality
 
 
 def rows_of(df):
@@ -164,3 +164,32 @@ def test_pipeline_on_odd_rows(spark, sf):
     for _, stage in corpus_pipeline.STAGES:
         assert stage(spark, docs.limit(0), sf).count() == 0
         assert stage(spark, docs, sf).count() >= 1
+
+
+def test_held_out_texts_score_better_than_by_token_counts(spark):
+    told = lm.query(spark, "/root/testdata/sf0.01").where("held_out").agg(F.sum("score").alias("s"), F.sum("base_score").alias("b"), F.avg("bits_per_byte").alias("bits")).first()
+    assert told.s > 0.92 * told.b and 0 < told.bits < 2.5
+
+
+def test_order_and_copies_count(spark):
+    """A text that training holds twice, or holds and is held out, scores better than its words shuffled; its own part is left out."""
+    random.seed(3)
+    word = lambda: "".join(random.choice("abcdefgh") for _ in range(5))
+    texts = {i: " ".join(word() for _ in range(200)) for i in range(40)}
+    texts[50] = texts[0]
+    shuffled = texts[1].split()
+    random.shuffle(shuffled)
+    texts[51] = " ".join(shuffled)
+    df = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    got = {r.doc_id: r for r in lm.score(df, df, learned=F.lit(True)).collect()}
+    once = np.mean([got[i].score for i in range(2, 40)])
+    assert got[0].score > 0.4 * once and got[50].score > 0.4 * once
+    assert abs(got[51].score - once) < 0.2 * abs(once) and got[1].score < 0.8 * once
+    out = {r.doc_id: r for r in lm.score(df, df.where("doc_id < 40")).collect()}
+    assert out[50].score > 0.4 * once > out[51].score
+
+
+def test_an_end_is_no_byte_of_a_text(spark):
+    df = spark.createDataFrame([(1, "\x00"), (2, ""), (3, None)], "doc_id long, text string")
+    got = {r.doc_id: r.n_tokens for r in lm.score(df, df).collect()}
+    assert got == {1: 2, 2: 1, 3: 1} and mixing.block([b"", b"\x00"], np.zeros(2, dtype=np.int64)).word.tolist().count(0) == 8
