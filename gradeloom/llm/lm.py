@@ -17,7 +17,7 @@ left out of their counts, so a text that occurs once is not known by itself.
    online over its tokens; the tasks' weights are averaged by what they have seen), and the table
    of stretches, which grows with the corpus and stays distributed.
 2. Scoring: the HOT most frequent (kind, token) go to every task with count and score. Other
-   tokens are scored by the model in the task, once in a batch; their counts come by a join
+   tokens are scored by the model in the task, and kept up to a bound; their counts come by a join
    with the table of counts, whose rows, like the tokens', are dealt by token: frequent ones
    are hot already, so none is a large group. Stretches are joined likewise: those that make up
    1 / HOT_STRETCHES of all are at most so many, and are broadcast. Sums by document end it.
@@ -30,7 +30,6 @@ from __future__ import annotations
 
 import math
 import uuid
-import zlib
 from collections.abc import Iterable, Iterator
 
 import numpy as np
@@ -50,25 +49,32 @@ KINDS, HOT = 8, 500_000
 PARTS, PASSES = 16, 2
 #: Texts that are scored together: tokens new to the task are scored once for all of them.
 TOGETHER, TOGETHER_BYTES = 1024, 6 << 20
+#: Tokens that aren't hot whose scores a worker keeps.
+KEPT = 200_000
 #: Distinct tokens that a task counts before it passes them on; places of byte pairs.
-MAX_COUNTED, PAIRS = 250_000, 2048
-CHUNKS = 128
+MAX_COUNTED, PAIRS = 200_000, 2048
+CHUNKS, FEW = 64, 32
 PART_NAMES = ["rid", "key", "learned", "token", "times", "base", "known", "n", "bytes", "hashes", "own", "logs"]
 #: A token that no text can hold, and what the model reads for it: no byte before the space.
 END, END_BYTES = b" ", b""
 #: A token in so many ends a stretch; stretches that are broadcast, at most; the kind of their counts.
-STRETCH, HOT_STRETCHES, STRETCHES = 32, 50_000, -1
+STRETCH, HOT_STRETCHES, STRETCHES = 64, 50_000, -1
 
 
 def held_out(key: Column) -> Column:
     return F.coalesce(F.pmod(F.crc32(key.cast("string").cast("binary")), F.lit(7)) == 2, F.lit(False))
 
 
-def _pairs(text: str) -> np.ndarray:
-    """The square roots of the shares of a text's byte pairs."""
-    b = np.frombuffer(text.encode("utf-8", "surrogatepass").lower(), dtype=np.uint8).astype(np.int64)
-    n = np.bincount((b[:-1] * 251 + b[1:]) % PAIRS, minlength=PAIRS)
-    return np.sqrt(n / max(1, n.sum()))
+def _pairs(texts: list[str | None]) -> np.ndarray:
+    """For each text the square roots of the shares of its byte pairs (32 bits)."""
+    out = np.zeros((len(texts), PAIRS), dtype=np.float32)
+    for row, text in zip(out, texts, strict=True):
+        b = np.frombuffer((text or "").encode("utf-8", "surrogatepass").lower(), dtype=np.uint8).astype(np.uint16)
+        # PAIRS divides 2 ** 16, so numbers may run over
+        n = np.bincount((b[:-1] * np.uint16(251) + b[1:]) & np.uint16(PAIRS - 1), minlength=PAIRS)
+        row[:] = n
+        row /= max(1, len(b) - 1)
+    return np.sqrt(out, out=out)
 
 
 def clustered(x: np.ndarray, weights: np.ndarray, k: int, rounds: int = 4) -> tuple[np.ndarray, np.ndarray]:
@@ -113,7 +119,7 @@ def kinds_of(df: DataFrame, text: str) -> np.ndarray:
     def points(batches: Iterable[pa.RecordBatch]) -> Iterator[np.ndarray]:
         for rows in common.smaller(batches):
             if rows.num_rows:
-                yield np.stack([_pairs(t) for t in rows.column(0).to_pylist()]).astype(np.float32)
+                yield _pairs(rows.column(0).to_pylist())
 
     def first(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         x, mass = np.zeros((0, PAIRS), dtype=np.float32), np.zeros(0)
@@ -152,8 +158,15 @@ def kinds_of(df: DataFrame, text: str) -> np.ndarray:
     return centres
 
 
-def _kind(text: str, centres: np.ndarray) -> int:
-    return int(np.argmax(centres @ _pairs(text) - (centres**2).sum(axis=1) / 2)) if len(text) > 1 else 0
+def _kinds(texts: list[str | None], centres: np.ndarray) -> list[int]:
+    """The nearest centre of each text; 0 for those of less than two characters."""
+    centres = centres.astype(np.float32)
+    out = np.zeros(len(texts), dtype=np.int64)
+    for at in range(0, len(texts), 256):
+        some = texts[at : at + 256]
+        near = np.argmax(_pairs(some) @ centres.T - (centres**2).sum(axis=1) / 2, axis=1)
+        out[at : at + 256] = np.where([len(t or "") > 1 for t in some], near, 0)
+    return out.tolist()
 
 
 def token_hashes(tokens: list[bytes]) -> np.ndarray:
@@ -208,32 +221,31 @@ class _Counted:
         return len(self.places) > MAX_COUNTED or self.n_waiting > 8 * MAX_COUNTED
 
     def told(self) -> Iterator[pa.RecordBatch]:
-        names = ["kind", "token", "n"]
+        names = ["kind", "token", "hash", "n"]
         tokens = pa.array(list(self.places), pa.binary())
         for kind, n in self.counts.items():
             at = np.flatnonzero(n)
-            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(at), kind), pa.int32()), tokens.take(pa.array(at)), pa.array(n[at], pa.int64())], names=names)
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(at), kind), pa.int32()), tokens.take(pa.array(at)), pa.nulls(len(at), pa.int64()), pa.array(n[at], pa.int64())], names=names)
         if self.waiting:
             found, n = np.unique(np.concatenate(self.waiting), return_counts=True)
-            data = pa.FixedSizeBinaryArray.from_buffers(pa.binary(8), len(found), [None, pa.py_buffer(found.tobytes())]).cast(pa.binary())
-            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(found), STRETCHES), pa.int32()), data, pa.array(n, pa.int64())], names=names)
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(found), STRETCHES), pa.int32()), pa.nulls(len(found), pa.binary()), pa.array(found.view(np.int64)), pa.array(n, pa.int64())], names=names)
         self.__init__()
 
 
 def count_tokens(df: DataFrame, centres: np.ndarray, text: str = "text") -> DataFrame:
-    """kind, token, n over all rows of df; of kind STRETCHES the hashes of stretches, 8 bytes each."""
+    """kind, token, hash, n over all rows of df: tokens by kind, and of kind STRETCHES the hashes of stretches."""
     held = df.sparkSession.sparkContext.broadcast(centres)
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counted_ = _Counted()
-        for rows in common.smaller(batches):
-            if rows.num_rows:
-                counted_.add([(_kind(value or "", held.value), [*common.words(value), END]) for value in rows.column(0).to_pylist()])
+        for rows in common.portions(batches, 0, TOGETHER, TOGETHER_BYTES):
+            texts = rows.column(0).to_pylist()
+            counted_.add([(kind, [*common.words(value), END]) for kind, value in zip(_kinds(texts, held.value), texts, strict=True)])
             if counted_.full():
                 yield from counted_.told()
         yield from counted_.told()
 
-    return df.select(F.col(text).alias("text")).mapInArrow(run, "kind int, token binary, n long").groupBy("kind", "token").agg(F.sum("n").alias("n"))
+    return df.select(F.col(text).alias("text")).mapInArrow(run, "kind int, token binary, hash long, n long").groupBy("kind", "token", "hash").agg(F.sum("n").alias("n"))
 
 
 def _tokens(rows: pa.RecordBatch) -> tuple[list[bytes], np.ndarray, np.ndarray]:
@@ -246,7 +258,7 @@ def train_tables(counts: DataFrame) -> tuple[np.ndarray, np.ndarray]:
     size = -(-int(FIRST[-1]) // CHUNKS)
 
     tasks = counts.rdd.getNumPartitions()
-    groups = max(1, round(tasks**0.5))
+    groups = 1 if tasks <= FEW else round(tasks**0.5)
 
     def part(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ones, every = np.zeros(FIRST[-1]), np.zeros(FIRST[-1])
@@ -257,16 +269,16 @@ def train_tables(counts: DataFrame) -> tuple[np.ndarray, np.ndarray]:
         if every.any():
             for c in range(CHUNKS):
                 both = np.stack([ones[c * size : (c + 1) * size], every[c * size : (c + 1) * size]]).astype(np.float32)
-                yield pa.RecordBatch.from_arrays([pa.array([c], pa.int32()), pa.array([own], pa.int32()), pa.array([zlib.compress(both.tobytes(), 1)], pa.binary())], names=["chunk", "grp", "data"])
+                yield pa.RecordBatch.from_arrays([pa.array([c], pa.int32()), pa.array([own], pa.int32()), pa.array([both.tobytes()], pa.binary())], names=["chunk", "grp", "data"])
 
     def summed(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total: dict[tuple[int, int], np.ndarray] = {}
         for rows in common.smaller(batches, 16):
             for c, g, data in zip(*(rows.column(i).to_pylist() for i in range(3)), strict=True):
-                one = np.frombuffer(zlib.decompress(data), dtype=np.float32)
+                one = np.frombuffer(data, dtype=np.float32)
                 total[c, g] = total[c, g] + one if (c, g) in total else one.astype(np.float64)
         at = list(total)
-        yield pa.RecordBatch.from_arrays([pa.array([c for c, _ in at], pa.int32()), pa.array([g for _, g in at], pa.int32()), pa.array([zlib.compress(v.astype(np.float32).tobytes(), 1) for v in total.values()], pa.binary())], names=["chunk", "grp", "data"])
+        yield pa.RecordBatch.from_arrays([pa.array([c for c, _ in at], pa.int32()), pa.array([g for _, g in at], pa.int32()), pa.array([v.astype(np.float32).tobytes() for v in total.values()], pa.binary())], names=["chunk", "grp", "data"])
 
     kind = "chunk int, grp int, data binary"
     parts = counts.select("kind", "token", "n").mapInArrow(part, kind)
@@ -276,7 +288,7 @@ def train_tables(counts: DataFrame) -> tuple[np.ndarray, np.ndarray]:
     rows = parts.repartition(CHUNKS, "chunk").mapInArrow(summed, kind).collect()
     ones, every = np.zeros(FIRST[-1]), np.zeros(FIRST[-1])
     for r in rows:
-        both = np.frombuffer(zlib.decompress(bytes(r.data)), dtype=np.float32).reshape(2, -1)
+        both = np.frombuffer(bytes(r.data), dtype=np.float32).reshape(2, -1)
         ones[r.chunk * size : (r.chunk + 1) * size], every[r.chunk * size : (r.chunk + 1) * size] = both
     return ones, every
 
@@ -320,7 +332,7 @@ def _least_hot(counts: DataFrame) -> int:
 
 
 class _Places(dict):
-    """Place of each token of a kind: hot ones, then those of the batch as they come."""
+    """Place of each token of a kind: hot ones, then others as they come."""
 
     def __init__(self, hot: dict[bytes, int], new: list, kind: int):
         super().__init__(hot)
@@ -347,7 +359,7 @@ def _prepared(key: str, hot: tuple) -> tuple:
             places.setdefault(kind, {})[tokens[-1]] = i
             at += size
         new: list = []
-        _ready[key] = {k: _Places(p, new, k) for k, p in places.items()}, new, np.log10(counts + 1.0), scores, token_hashes(tokens)
+        _ready[key] = {k: _Places(p, new, k) for k, p in places.items()}, new, (Grown("f8"), Grown("u8")), np.log10(counts + 1.0), scores, token_hashes(tokens)
     return _ready[key]
 
 
@@ -379,7 +391,7 @@ def _line_score(xs: Column, prior: Column) -> Column:
 def _stretch_scores(parts: DataFrame, counts: DataFrame) -> DataFrame:
     """rid, score from parts' rid, learned, hashes, own (how often the text has each) and logs (its tokens' probability)."""
     total = counts.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
-    table = counts.select(F.col("token").alias("hash"), "n")
+    table = counts.select("hash", "n")
     each = parts.select("rid", "learned", F.posexplode(F.arrays_zip("hashes", "own", "logs")).alias("at", "x")).select("rid", "learned", "at", F.col("x.hashes").alias("hash"), F.col("x.own").alias("own"), F.col("x.logs").alias("t"))
     often = F.col("n") >= max(2.0, total / HOT_STRETCHES)
     named = each.join(F.broadcast(table.where(often).withColumnRenamed("n", "hot")), "hash", "left")
@@ -426,11 +438,11 @@ def score(df: DataFrame, train: DataFrame, key: str = "doc_id", text: str = "tex
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         common.alone("lm", _ready.clear)
         model, centres = held.value
-        places, new, logs, scores, hashes = _prepared(name, sent.value)
+        places, new, (new_scores, new_hashes), logs, scores, hashes = _prepared(name, sent.value)
         for rows in common.portions(batches, 2, TOGETHER, TOGETHER_BYTES):
             ids, sizes = [], []
-            for value in rows.column(2).to_pylist():
-                kind = _kind(value or "", centres)
+            values = rows.column(2).to_pylist()
+            for kind, value in zip(_kinds(values, centres), values, strict=True):
                 own = places.get(kind)
                 if own is None:
                     own = places[kind] = _Places({}, new, kind)
@@ -438,14 +450,17 @@ def score(df: DataFrame, train: DataFrame, key: str = "doc_id", text: str = "tex
                 words.append(END)
                 ids.append(np.fromiter(map(own.__getitem__, words), dtype=np.int64, count=len(words)))
                 sizes.append(len((value or "").encode("utf-8")))
-            fresh = model.score([END_BYTES if t == END else t for _, t in new], np.array([k for k, _ in new], dtype=np.int64)) if new else np.empty(0)
+            fresh = new[new_scores.n :]
+            if fresh:
+                new_hashes.extend(token_hashes([t for _, t in fresh]))
+                new_scores.extend(model.score([END_BYTES if t == END else t for _, t in fresh], np.array([k for k, _ in fresh], dtype=np.int64)))
             texts, lengths = len(ids), np.array([len(x) for x in ids], dtype=np.int64)
             ends = np.cumsum(lengths)
             at = np.concatenate(ids)
             row, warm = np.repeat(np.arange(texts), lengths), at >= 0
             # new tokens count from the end: -1 is the first of them
-            every_score = np.concatenate([scores, fresh[::-1]])[at]
-            every_hash = np.concatenate([hashes, token_hashes([t for _, t in new])[::-1]])[at]
+            every_score = np.concatenate([scores, new_scores.data[: len(new)][::-1]])[at]
+            every_hash = np.concatenate([hashes, new_hashes.data[: len(new)][::-1]])[at]
             base = np.bincount(row[warm], weights=logs[at[warm]], minlength=texts)
             known = np.bincount(row[warm], minlength=texts)
             # of each text's cold tokens how often they are there
@@ -457,29 +472,33 @@ def score(df: DataFrame, train: DataFrame, key: str = "doc_id", text: str = "tex
             with np.errstate(over="ignore"):
                 _, inverse, times_own = np.unique(mixed(found ^ mixed(np.repeat(np.arange(texts), np.diff(lines)).astype(np.uint64))), return_inverse=True, return_counts=True)
             listed = lambda values, kind: pa.ListArray.from_arrays(pa.array(lines, pa.int32()), pa.array(values, kind))
-            raw = pa.FixedSizeBinaryArray.from_buffers(pa.binary(8), len(found), [None, pa.py_buffer(found.tobytes())]).cast(pa.binary())
             none = lambda k, kind: pa.nulls(k, kind)
             long, double = pa.int64(), pa.float64()
             yield pa.RecordBatch.from_arrays(
                 [rows.column(0), rows.column(1), rows.column(3), none(texts, pa.binary()), pa.array(np.zeros(texts), long), pa.array(base), pa.array(known, long), pa.array(lengths), pa.array(sizes, long),
-                 listed(raw, pa.binary()), listed(times_own[inverse.ravel()], long), listed(sums, double)],
+                 listed(found.view(np.int64), long), listed(times_own[inverse.ravel()], long), listed(sums, double)],
                 names=PART_NAMES,
             )
             k = len(cold)
             took = pa.array(cold_row)
             yield pa.RecordBatch.from_arrays(
                 [rows.column(0).take(took), rows.column(1).take(took), rows.column(3).take(took), pa.array([new[c][1] for c in cold.tolist()], pa.binary()), pa.array(times, long), pa.array(np.zeros(k)), pa.array(np.zeros(k), long), pa.array(np.zeros(k), long), pa.array(np.zeros(k), long),
-                 none(k, pa.list_(pa.binary())), none(k, pa.list_(long)), none(k, pa.list_(double))],
+                 none(k, pa.list_(long)), none(k, pa.list_(long)), none(k, pa.list_(double))],
                 names=PART_NAMES,
             )
-            for kind, token in new:
-                del places[kind][token]
-            new.clear()
+            if len(new) > KEPT:
+                for kind, token in new:
+                    del places[kind][token]
+                new.clear()
+                new_scores.n = new_hashes.n = 0
 
     kind = df.schema[key].dataType.simpleString()
     rows = df.select(F.monotonically_increasing_id().alias("rid"), F.col(key).alias("key"), F.col(text).alias("text"), F.coalesce(F.lit(False) if learned is None else learned, F.lit(False)).alias("learned"))
-    schema = f"rid long, key {kind}, learned boolean, token binary, times long, base double, known long, n long, bytes long, hashes array<binary>, own array<long>, logs array<double>"
+    schema = f"rid long, key {kind}, learned boolean, token binary, times long, base double, known long, n long, bytes long, hashes array<long>, own array<long>, logs array<double>"
     parts = common.shared_table(rows.mapInArrow(run, schema), "parts")
+    # all texts are scored: workers need not keep the model and the hot tokens
+    held.destroy()
+    sent.destroy()
     # a text's own row has no token; it meets no count
     met = parts.drop("hashes", "own", "logs").join(by_token, "token", "left")
     known = F.col("known") + F.when(F.col("c").isNotNull(), F.col("times")).otherwise(0)
