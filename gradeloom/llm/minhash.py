@@ -48,6 +48,8 @@ from .shingles import distinct, forget, overlap
 K, LARGE = 32, 256
 #: Members of a list that are ordered in one task; a longer list is dealt into parts.
 PART = 4096
+#: Members of a list outside its largest component that one task compares with the list's others.
+SALTED = 1024
 
 SCAN = "doc_id long, n_shingles long, fp binary, sketch array<long>"
 
@@ -202,14 +204,16 @@ def _rest_pairs(lists: DataFrame, larger: DataFrame, component: DataFrame) -> Da
     """a, b: pairs of a list between components, by the estimate from larger sketches, which is made
     within the join, so only pairs that pass become rows; one end is outside the list's largest component."""
     mixed = _several(lists, component).join(larger.select("node", "sketch"), "node")
-    x = mixed.where("component <> top").select("v", F.col("node").alias("x"), F.col("n").alias("n_x"), F.col("component").alias("c_x"), F.col("sketch").alias("s_x"), F.col("first").alias("f_x"), F.col("left").alias("l_x"))
-    y = mixed.select("v", F.col("node").alias("y"), F.col("n").alias("n_y"), F.col("component").alias("c_y"), F.col("sketch").alias("s_y"), F.col("first").alias("f_y"), F.col("left").alias("l_y"), (F.col("component") == F.col("top")).alias("in_top"))
+    # of a long list each one of one side meets all of the other, in one of several tasks
+    shares = F.ceil(F.col("members") / SALTED).cast("int")
+    x = mixed.where("component <> top").select("v", F.pmod(F.xxhash64("node"), shares).cast("int").alias("salt"), F.col("node").alias("x"), F.col("n").alias("n_x"), F.col("component").alias("c_x"), F.col("sketch").alias("s_x"), F.col("first").alias("f_x"), F.col("left").alias("l_x"))
+    y = mixed.select("v", F.explode(F.sequence(F.lit(0), shares - 1)).alias("salt"), F.col("node").alias("y"), F.col("n").alias("n_y"), F.col("component").alias("c_y"), F.col("sketch").alias("s_y"), F.col("first").alias("f_y"), F.col("left").alias("l_y"), (F.col("component") == F.col("top")).alias("in_top"))
     fits = (F.col("c_x") != F.col("c_y")) & (F.col("in_top") | (F.col("x") < F.col("y"))) & _sizes_fit(F.col("n_x"), F.col("n_y"))
     # lists are in one order for all classes, so a pair is made in the first that both are in
     once = F.get(F.array_intersect("f_x", "f_y"), F.lit(0)) == x.v
     # what two sets share comes at their first common value or later
     enough = F.least("l_x", "l_y") >= _needed(F.col("n_x"), F.col("n_y"), LARGE)
-    found = x.join(y, (x.v == y.v) & fits & enough & once & _alike(F.col("s_x"), F.col("s_y"), F.col("n_x"), F.col("n_y"), LARGE))
+    found = x.join(y, (x.v == y.v) & (x.salt == y.salt) & fits & enough & once & _alike(F.col("s_x"), F.col("s_y"), F.col("n_x"), F.col("n_y"), LARGE))
     return found.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
 
 
