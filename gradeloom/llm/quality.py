@@ -87,9 +87,8 @@ class Classifier:
         return float((stats - self.mean) / self.scale @ self.weights + self.words[places].sum() + self.bias)
 
 
-def fit(texts: list[str], good: np.ndarray) -> Classifier:
-    """Logistic regression by Adam over the whole sample."""
-    rows = [features(t) for t in texts]
+def fit(rows: list[tuple[np.ndarray, np.ndarray]], good: np.ndarray) -> Classifier:
+    """Logistic regression by Adam over the whole sample's features."""
     x = np.stack([s for s, _ in rows])
     mean, scale = x.mean(axis=0), x.std(axis=0) + 1e-9
     x = (x - mean) / scale
@@ -116,13 +115,25 @@ def _labelled(labels: DataFrame) -> DataFrame:
 
 
 def train(df: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text") -> Classifier | None:
+    """Of a document of several rows the first by text counts. Features are computed in the tasks; the driver gets
+    SAMPLE rows of them at most, each STATS numbers and at most PLACES places, and no text."""
     sample = _labelled(labels).orderBy(F.xxhash64("doc_id"), "doc_id").limit(SAMPLE)
     held = df.select(F.col(key).alias("doc_id"), F.col(text).alias("text")).where("text IS NOT NULL").join(F.broadcast(sample), "doc_id")
-    rows = held.orderBy("doc_id", "text").limit(2 * SAMPLE).toPandas()
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        common.alone("quality", _places.clear)
+        for rows in common.smaller(batches):
+            found = [features(t) for t in rows.column(1).to_pylist()]
+            yield pa.RecordBatch.from_arrays(
+                [rows.column(0), rows.column(2), pa.array([s for s, _ in found], pa.list_(pa.float64())), pa.array([p for _, p in found], pa.list_(pa.int64()))], names=["doc_id", "good", "stats", "places"]
+            )
+
+    one = held.groupBy("doc_id").agg(F.min("text").alias("text"), F.first("good").alias("good"))
+    rows = one.mapInArrow(run, "doc_id long, good int, stats array<double>, places array<long>").orderBy("doc_id").toPandas()
     good = rows.good.to_numpy(dtype=float)
     if not len(rows) or good.min() == good.max():
         return None
-    return fit(rows.text.tolist(), good)
+    return fit(list(zip(map(np.asarray, rows.stats), map(np.asarray, rows.places), strict=True)), good)
 
 
 def _scored(df: DataFrame, model: Classifier, key: str, text: str, host: str, path: str) -> DataFrame:
