@@ -193,3 +193,58 @@ def test_an_end_is_no_byte_of_a_text(spark):
     df = spark.createDataFrame([(1, "\x00"), (2, ""), (3, None)], "doc_id long, text string")
     got = {r.doc_id: r.n_tokens for r in lm.score(df, df).collect()}
     assert got == {1: 2, 2: 1, 3: 1} and mixing.block([b"", b"\x00"], np.zeros(2, dtype=np.int64)).word.tolist().count(0) == 8
+
+
+def test_posterior_is_that_of_plain_python(spark):
+    """Rates and scores against the formula, by loops over the documents."""
+    docs, labels = quality_docs(spark)
+    got = {(r.doc_id, r.path): r for r in rows_of(quality.assess(docs, labels))}
+    worst = {}
+    for r in labels.where("quality IS NOT NULL").collect():
+        worst[r.doc_id] = min(worst.get(r.doc_id, 1), int(r.quality == 1 and r.toxic == 0))
+    sigmoid = lambda z: 1 / (1 + np.exp(-z))
+    all_rows = rows_of(quality.assess(docs, labels))
+    p = lambda r: float(worst[r.doc_id]) if r.doc_id in worst else sigmoid(r.doc_logit) if r.doc_logit is not None else 0.0
+    host, path = {}, {}
+    for r in all_rows:
+        for level, k in ((host, r.host), (path, (r.host, r.path))):
+            n, s = level.get(k, (0, 0.0))
+            level[k] = n + 1, s + p(r)
+    n, s = sum(x for x, _ in host.values()), sum(x for _, x in host.values())
+    mean = (s + 1) / (n + 2)
+
+    def strength(groups):
+        q = sum(n * (s / n - m) ** 2 for n, s, m in groups)
+        c, nc = sum(m * (1 - m) for _, _, m in groups), sum(n * m * (1 - m) for n, _, m in groups)
+        total = sum(n for n, _, _ in groups)
+        between = (q - c) / max(1e-9, total - sum(n * n for n, _, _ in groups) / total)
+        return quality.MOST_K if between <= 0 else min(quality.MOST_K, max(quality.LEAST_K, nc / total / between - 1))
+
+    k_host = strength([(n, s, mean) for n, s in host.values()])
+    above = {h: (s + k_host * mean) / (n + k_host) for h, (n, s) in host.items()}
+    k_path = strength([(n, s, above[h]) for (h, _), (n, s) in path.items()])
+    for r in all_rows:
+        (hn, hs), (pn, ps) = host[r.host], path[r.host, r.path]
+        host_rate = (hs - p(r) + k_host * mean) / (hn - 1 + k_host)
+        path_rate = (ps - p(r) + k_path * host_rate) / (pn - 1 + k_path)
+        assert abs(r.host_rate - host_rate) < 1e-9 and abs(r.path_rate - path_rate) < 1e-9
+    assert len(got) >= 300
+
+
+def test_neighbours_of_the_tables_are_found(spark):
+    """Recall of the registered query against all pairs, on embeddings."""
+    sf = "/root/testdata/sf0.1"
+    rows = [(r.vec_id, np.array(r.embedding, dtype=float)) for r in rows_of(common.table(spark, sf, "embeddings")) if r.embedding is not None]
+    x = np.stack([v for _, v in rows])
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    ids = np.array([i for i, _ in rows])
+    got = {}
+    for r in rows_of(neighbours.query(spark, sf)):
+        got.setdefault(r.query_id, []).append((r.rank, r.vec_id))
+    hits = n = 0
+    for k in np.flatnonzero(ids % 50 == 0):
+        near = x @ x[k]
+        near[k] = -2
+        want = set(ids[np.lexsort((ids, -near))[:5]].tolist())
+        hits, n = hits + len(want & {i for _, i in got[int(ids[k])]}), n + 5
+    assert hits >= 0.9 * n
