@@ -48,11 +48,11 @@ KINDS, HOT = 8, 500_000
 #: Centres of a task's texts, and passes over all texts that move the centres of KINDS.
 PARTS, PASSES = 16, 2
 #: Texts that are scored together: tokens new to the task are scored once for all of them.
-TOGETHER, TOGETHER_BYTES = 1024, 6 << 20
+TOGETHER, TOGETHER_BYTES = 512, 3 << 20
 #: Tokens that aren't hot whose scores a worker keeps.
-KEPT = 200_000
+KEPT = 100_000
 #: Distinct tokens that a task counts before it passes them on; places of byte pairs.
-MAX_COUNTED, PAIRS = 200_000, 2048
+MAX_COUNTED, PAIRS = 150_000, 2048
 CHUNKS, FEW = 64, 32
 PART_NAMES = ["rid", "key", "learned", "token", "times", "base", "known", "n", "bytes", "hashes", "own", "logs"]
 #: A token that no text can hold, and what the model reads for it: no byte before the space.
@@ -122,6 +122,8 @@ def kinds_of(df: DataFrame, text: str) -> np.ndarray:
                 yield _pairs(rows.column(0).to_pylist())
 
     def first(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        # what an earlier model has kept in the worker goes
+        common.alone("lm training", lambda: None)
         x, mass = np.zeros((0, PAIRS), dtype=np.float32), np.zeros(0)
         for more in points(batches):
             found, n = clustered(more, np.ones(len(more), dtype=np.float32), PARTS)
@@ -237,6 +239,7 @@ def count_tokens(df: DataFrame, centres: np.ndarray, text: str = "text") -> Data
     held = df.sparkSession.sparkContext.broadcast(centres)
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        common.alone("lm training", lambda: None)
         counted_ = _Counted()
         for rows in common.portions(batches, 0, TOGETHER, TOGETHER_BYTES):
             texts = rows.column(0).to_pylist()
@@ -261,14 +264,14 @@ def train_tables(counts: DataFrame) -> tuple[np.ndarray, np.ndarray]:
     groups = 1 if tasks <= FEW else round(tasks**0.5)
 
     def part(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ones, every = np.zeros(FIRST[-1]), np.zeros(FIRST[-1])
+        ones, every = np.zeros(FIRST[-1], dtype=np.float32), np.zeros(FIRST[-1], dtype=np.float32)
         for rows in batches:
             words, kinds, n = _tokens(rows)
             counted(words, kinds, n, ones, every)
         own = TaskContext.get().partitionId() % groups
         if every.any():
             for c in range(CHUNKS):
-                both = np.stack([ones[c * size : (c + 1) * size], every[c * size : (c + 1) * size]]).astype(np.float32)
+                both = np.stack([ones[c * size : (c + 1) * size], every[c * size : (c + 1) * size]])
                 yield pa.RecordBatch.from_arrays([pa.array([c], pa.int32()), pa.array([own], pa.int32()), pa.array([both.tobytes()], pa.binary())], names=["chunk", "grp", "data"])
 
     def summed(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

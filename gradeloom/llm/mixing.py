@@ -17,7 +17,7 @@ from dataclasses import dataclass
 import numpy as np
 
 #: Slots of each context's table, as powers of two: no byte, 1, 2, 3 and 4 bytes, the whole word so far.
-SLOTS = (8, 16, 18, 20, 20, 22)
+SLOTS = (8, 16, 18, 20, 20, 21)
 CONTEXTS = len(SLOTS)
 FIRST = np.concatenate([[0], np.cumsum([1 << s for s in SLOTS])]).astype(np.int64)
 #: Words in a block and in one that is only counted, levels of a gate's confidence, steps of the adaptive map.
