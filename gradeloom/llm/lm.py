@@ -171,6 +171,10 @@ def _kinds(texts: list[str | None], centres: np.ndarray) -> list[int]:
     return out.tolist()
 
 
+def _kind(text: str | None, centres: np.ndarray) -> int:
+    return _kinds([text], centres)[0]
+
+
 def token_hashes(tokens: list[bytes]) -> np.ndarray:
     return np.fromiter(map(xxh3_64_intdigest, tokens), dtype=np.uint64, count=len(tokens))
 
