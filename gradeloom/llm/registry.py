@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import bpe, decontaminate, langid, lm, minhash, neighbours, pii, quality, secrets, token_files
+from . import bpe, decontaminate, langid, lm, merkle, minhash, neighbours, pii, quality, secrets, token_files
 
 QUERIES = {
     "op1_quality": quality.query,
@@ -15,6 +15,7 @@ QUERIES = {
     "op8_pii": pii.query,
     "op9_decontamination": decontaminate.query,
     "op10_byte_bpe": bpe.query,
+    "op11_merkle": merkle.query,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {"op11_merkle": merkle.SQL}
