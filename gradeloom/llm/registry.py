@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import bpe, decontaminate, langid, lm, merkle, minhash, neighbours, pii, quality, secrets, token_files, topk
+from . import align, bpe, decontaminate, langid, lm, merkle, minhash, neighbours, pii, quality, secrets, token_files, topk
 
 QUERIES = {
     "op1_quality": quality.query,
@@ -17,6 +17,7 @@ QUERIES = {
     "op10_byte_bpe": bpe.query,
     "op11_merkle": merkle.query,
     "op12_topk": topk.query,
+    "op13_align": align.query,
 }
 
 ORACLE_SQL: dict[str, str] = {"op11_merkle": merkle.SQL, "op12_topk": topk.SQL}
