@@ -71,7 +71,7 @@ def replayed(evidence_rows: DataFrame, saved: DataFrame, key: str) -> DataFrame:
 
 
 def fold_commands(log: DataFrame) -> DataFrame:
-    """Each command with accepted and reason, by the rules of its source page.
+    """Each command with accepted and reason, by the rules of its source page alone (``commands`` has the whole of T1).
 
     A suggestion is decided once: later decisions on it are refused. A page that has an owner changes hands
     only by a replacement that says so. log: source, seq, action (suggest_accept, suggest_reject, assign, replace),

@@ -36,7 +36,7 @@ def decision_stream(spark: SparkSession, path: str) -> DataFrame:
 
 
 def fold_stream(log: DataFrame) -> DataFrame:
-    """The latest decision of each entity, kept as aggregation state; each trigger's changes are a batch of their own.
+    """The latest decision of each entity (T1's commands: ``operators.commands``), kept as aggregation state; each trigger's changes are a batch of their own.
 
     A batch that is run again replaces itself. The table is each entity's row of the last batch that changed it.
     """
