@@ -25,9 +25,9 @@ def flag_when(condition: Column, flag: Column) -> Column:
 
 def merged(*groups: Column) -> Column:
     """All flags in order, of those with one code, severity and message the first."""
-    every = F.concat(*groups)
     same = lambda a, b: (a["code"] == b["code"]) & (a["severity"] == b["severity"]) & (a["message"] == b["message"])
-    return F.filter(every, lambda x, i: ~F.exists(F.slice(every, F.lit(1), i), lambda y: same(x, y)))
+    add = lambda held, x: F.when(F.exists(held, lambda y: same(x, y)), held).otherwise(F.concat(held, F.array(x)))
+    return F.aggregate(F.concat(*groups), F.expr(f"cast(array() as array<{FLAG}>)"), add)
 
 
 def blocked(flags: Column) -> Column:
