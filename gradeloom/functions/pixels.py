@@ -283,16 +283,6 @@ def calibrated(blocks: DataFrame, observed: DataFrame, reach: float) -> DataFram
     return both.groupBy("page", "block").applyInPandas(move, "page long, block long, id long, x double, y double, residual double, fitted boolean")
 
 
-def align_page(*_, **__):
-    """Finding markers by contours and warping pages; only with an image library."""
-    return need("cv2", "page alignment")
-
-
-def isolate_ink(*_, **__):
-    """Background flattening and component filters; only with an image library."""
-    return need("cv2", "ink isolation")
-
-
 def train_network(*_, **__):
     """Training of digit networks; only with a network library."""
     return need("torch", "training digit networks")

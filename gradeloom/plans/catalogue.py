@@ -6,11 +6,11 @@ ending in ``_all``, on every order. Those of WHOLE are there once, on every orde
 
 from __future__ import annotations
 
-from gradeloom.plans import adapters, q_commands, q_evaluation, q_files, q_grading, q_identity, q_joins, q_more, q_ownership, q_results
+from gradeloom.plans import adapters, q_commands, q_evaluation, q_files, q_grading, q_identity, q_joins, q_more, q_ownership, q_results, q_scans
 
 #: Parts whose queries on pages take every order alone.
 WHOLE = (q_files, q_results)
-PARTS = (q_grading, q_ownership, q_evaluation, q_joins, q_more, q_files, q_results, q_commands, q_identity)
+PARTS = (q_grading, q_ownership, q_evaluation, q_joins, q_more, q_files, q_results, q_commands, q_identity, q_scans)
 QUERIES: dict = {name: f for part in PARTS for name, f in part.Q.items()}
 ORACLE_SQL: dict = {name: text for part in PARTS for name, text in part.S.items()}
 

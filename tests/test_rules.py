@@ -168,6 +168,6 @@ def test_spreadsheet(spark, tmp_path):
 
 
 def test_gated_operators_refuse():
-    for f in (pixels.align_page, pixels.isolate_ink, pixels.train_network, files.render_pdf):
+    for f in (pixels.train_network, files.render_pdf):
         with pytest.raises(NotAvailable):
             f()
