@@ -6,13 +6,17 @@ signals, quality and readers' flags that follow from its key by remainders, so t
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from gradeloom.functions.evidence import codes, evidence, flag_when, merged
 from gradeloom.operators import identity as I
 from gradeloom.operators import ownership as O
+from gradeloom.operators import reassess as X
 from gradeloom.plans import adapters as A
+from gradeloom.session import shared_dir
 
 Q: dict = {}
 S: dict = {}
@@ -212,3 +216,55 @@ def _(spark, d):
 @query("order_proposals", f"WITH {_pages_sql()} SELECT substr(sha256('{I.POLICY}|order|' || a.bubble_roll || '|' || a.source_index || '|' || c.source_index || '|' || c.sheet_page), 1, 20) AS candidate_id, a.bubble_roll AS roll, a.source_index AS page1, c.source_index AS continuation, c.sheet_page, 'SCANNER_ORDER_ONLY:block' AS codes FROM ev a JOIN ev c ON c.source_index = a.source_index + c.sheet_page - 1 WHERE a.sheet_page = 1 AND a.bubble_roll IS NOT NULL AND c.sheet_page BETWEEN 2 AND 3 AND c.current_roll IS NULL")
 def _(spark, d):
     return I.order_proposals(evidence_pages(spark, d), "sheet-major", EXPECTED, 3000, I.POLICY)
+
+
+def saved(spark: SparkSession, d: str) -> dict[str, DataFrame]:
+    """What was saved of a review: students, held and unmatched pages, and the assessment of its evidence."""
+    k = F.col("source_index")
+    pages = evidence_pages(spark, d).persist()
+    digits = F.regexp_replace("roll_no", "^(PHD|MT)", "").cast("int")
+    status = F.when(digits % 7 == 0, "verified").when(digits % 11 == 0, "rejected").when(digits % 2 == 0, "auto_matched").otherwise("needs_review")
+    people = students(spark, d).where(digits % 9 != 0).select(F.col("roll_no").alias("roll"), status.alias("status"), (digits % 13 == 0).alias("decided"), F.when(digits % 3 != 0, F.when(digits % 5 == 0, F.array(F.lit("Q4 is low"))).otherwise(F.array().cast("array<string>"))).alias("answer_flags"), F.array(F.lit("old")).alias("flags"))
+    held = pages.where("current_roll IS NOT NULL").select(F.col("current_roll").alias("roll"), k.alias("source"), F.col("sheet_page").alias("slot"), (k % 17 == 0).alias("manual"))
+    loose = pages.where("current_roll IS NULL").select(k.alias("source"), F.when(k % 23 == 0, "ignored").otherwise("needs_review").alias("status"), (k % 19 == 0).alias("decided"), F.lit(None).cast("string").alias("owner"))
+    owned = I.assess(pages, students(spark, d), EXPECTED).persist()
+    return {"students": people.dropDuplicates(["roll"]), "held": held, "unmatched": loose, "owned": owned, "groups": O.completeness(owned, EXPECTED), "ledger": pages.select(k.alias("source"), F.lit(True).alias("has_image"))}
+
+
+REASSESSED = OWNED + f""", g AS (SELECT roll, CASE WHEN count(*) = 3 THEN 'auto_matched' ELSE 'missing_pages' END AS status, list(source_index ORDER BY sheet_page) AS sources FROM owned WHERE accepted GROUP BY roll),
+ s0 AS (SELECT DISTINCT roll, CAST(regexp_replace(roll, '^(PHD|MT)', '') AS INTEGER) AS n FROM kn), s AS (SELECT roll, CASE WHEN n % 7 = 0 THEN 'verified' WHEN n % 11 = 0 THEN 'rejected' WHEN n % 2 = 0 THEN 'auto_matched' ELSE 'needs_review' END AS status, n % 13 = 0 AS decided,
+  CASE WHEN n % 3 <> 0 THEN CASE WHEN n % 5 = 0 THEN ['Q4 is low'] ELSE [] END END AS answer_flags FROM s0 WHERE n % 9 <> 0),
+ held AS (SELECT current_roll AS roll, source_index AS source, sheet_page AS slot, source_index % 17 = 0 AS manual FROM ev WHERE current_roll IS NOT NULL),
+ loose AS (SELECT source_index AS source, source_index % 23 = 0 AS ignored, source_index % 19 = 0 AS decided FROM ev WHERE current_roll IS NULL),
+ kept AS (SELECT roll FROM s WHERE decided OR status IN ('verified', 'rejected') OR roll IN (SELECT roll FROM held WHERE manual)),
+ sel AS (SELECT roll, slot, source FROM held QUALIFY row_number() OVER (PARTITION BY roll, slot ORDER BY manual DESC, source DESC) = 1),
+ fixed AS (SELECT source FROM sel WHERE roll IN (SELECT roll FROM kept) UNION SELECT source FROM loose WHERE ignored OR decided),
+ app AS (SELECT * FROM g WHERE roll NOT IN (SELECT roll FROM kept) AND NOT EXISTS (SELECT 1 FROM fixed WHERE list_contains(g.sources, fixed.source))),
+ both_sides AS (SELECT coalesce(s.roll, app.roll) AS roll, s.roll IS NOT NULL AS there, s.status, s.answer_flags, app.status AS group_status, app.sources FROM s FULL JOIN app ON s.roll = app.roll),
+ after AS (SELECT roll, roll IN (SELECT roll FROM kept) AS protected, there, status AS old_status, coalesce(group_status, '') = 'auto_matched' AND len(coalesce(answer_flags, ['legacy'])) = 0 AS clean, coalesce(answer_flags, ['legacy']) AS base, sources FROM both_sides)
+"""
+
+
+@query("reassess_students", REASSESSED + "SELECT roll, protected, CASE WHEN protected THEN old_status WHEN clean THEN 'auto_matched' ELSE 'needs_review' END AS status, CASE WHEN protected THEN 1 WHEN clean THEN 0 ELSE len(base) + 1 END AS flags, CASE WHEN protected THEN NULL ELSE array_to_string(coalesce(sources, []), ',') END AS sources FROM after")
+def _(spark, d):
+    after, _, _ = X.reassess(**saved(spark, d), grouping_only=False)
+    return after.select("roll", "protected", "status", F.size("flags").alias("flags"), F.array_join(F.transform("certificate.sources", lambda x: x.cast("string")), ",").alias("sources"))
+
+
+@query("reassess_pages", REASSESSED + ", own AS (SELECT roll, unnest(sources) AS source FROM app) SELECT e.source_index AS source, CASE WHEN o.roll IS NOT NULL THEN 'assigned' WHEN l.ignored AND e.source_index IN (SELECT source FROM fixed) THEN 'ignored' ELSE 'needs_review' END AS status, o.roll AS owner, CASE WHEN o.roll IS NOT NULL THEN e.sheet_page END AS slot FROM ev e LEFT JOIN own o ON e.source_index = o.source LEFT JOIN loose l ON e.source_index = l.source WHERE l.source IS NOT NULL OR e.source_index NOT IN (SELECT source FROM fixed)")
+def _(spark, d):
+    _, _, pages = X.reassess(**saved(spark, d), grouping_only=False)
+    return pages.select("source", "status", "owner", "slot")
+
+
+@query("approve_matches", REASSESSED + "SELECT CASE WHEN protected THEN old_status WHEN clean THEN 'approved' ELSE 'needs_review' END AS status, count(*) AS n FROM after GROUP BY 1")
+def _(spark, d):
+    """The clean matches of a reassessment, approved at once, written as a version and read back."""
+    review = saved(spark, d)
+    after, held, _ = (x.persist() for x in X.reassess(**review, grouping_only=False))
+    count = after.where("status = 'auto_matched' AND NOT protected").count()
+    # protected students are no part of this approval
+    done = X.approve(after.where("NOT protected"), held, review["groups"], EXPECTED, count) if count else after.where("NOT protected")
+    home = f"{shared_dir(spark)}/gradeloom-approved-{uuid.uuid4().hex}"
+    X.commit(done.select("roll", "status").unionByName(after.where("protected").select("roll", "status")), home)
+    return X.committed(spark, home).groupBy("status").agg(F.count("*").alias("n"))
