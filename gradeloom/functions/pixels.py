@@ -181,6 +181,26 @@ def draw_bubble(size: pd.Series, radius: pd.Series, coverage: pd.Series, shade:
     return pd.Series(out)
 
 
+@F.pandas_udf(T.BinaryType())
+def draw_crop(key: pd.Series, kind: pd.Series) -> pd.Series:
+    """48 x 48 crops of a bubble: 0 empty, 1 filled, 2 filled and struck through beyond its rim."""
+    out = []
+    for k, what in zip(key, kind, strict=True):
+        random = np.random.default_rng(int(k))
+        page = random.integers(225, 256, (48, 48)).astype(np.uint8)
+        y, x = np.mgrid[:48, :48]
+        dy, dx = y - 23.5 + random.uniform(-1, 1), x - 23.5 + random.uniform(-1, 1)
+        far = np.hypot(dy, dx)
+        page[(far <= 14) & (far > 12.5)] = 90
+        if what:
+            page[far <= random.uniform(10, 13)] = random.integers(20, 80)
+        if what == 2:
+            slope = random.uniform(0.8, 1.2) * random.choice([-1, 1])
+            page[(np.abs(dy - slope * dx) <= 2.5) & (far <= 23)] = random.integers(10, 60)
+        out.append(page.tobytes())
+    return pd.Series(out)
+
+
 def band_of_line(top: Column, height: Column, lines: Column, line: Column) -> tuple[Column, Column]:
     """A line's band of an answer, 12 per cent wider on both sides."""
     step = height / lines

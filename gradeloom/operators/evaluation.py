@@ -5,6 +5,7 @@ from __future__ import annotations
 import random
 import uuid
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -248,21 +249,32 @@ def linked_writers(rows: DataFrame) -> DataFrame:
 
 
 def _chosen(sizes: dict[str, int], target: int, seed: int) -> set[str]:
-    """Whole groups whose rows come nearest to the target (less rather than more), in a seeded order."""
+    """Whole groups whose rows come nearest to the target (less rather than more), in a seeded order.
+
+    Reachable sums are the bits of a number; sums beyond twice the target (or the least group) are no
+    nearer than nothing, so memory is bounded by the target: a group's place for each sum it first reached.
+    """
     order = sorted(sizes)
     random.Random(seed).shuffle(order)
-    last: dict[int, tuple[int, str] | None] = {0: None}  # for each sum the one before it and the group that was added
-    for group in order:
-        for total in list(last):
-            last.setdefault(total + sizes[group], (total, group))
     whole = sum(sizes.values())
-    sums = [t for t in last if 0 < t < whole]
-    if not sums:
+    most = min(whole - 1, max(2 * target, min(sizes.values(), default=0)))
+    if most < 1:
+        raise ValueError("too few independent writers for the split")
+    by = np.full(most + 1, -1, dtype=np.int32)
+    reach, mask = 1, (1 << (most + 1)) - 1
+    for i, group in enumerate(order):
+        new = (reach << sizes[group]) & ~reach & mask
+        if new:
+            reach |= new
+            bits = np.unpackbits(np.frombuffer(new.to_bytes(most // 8 + 1, "little"), dtype=np.uint8), bitorder="little")
+            by[np.flatnonzero(bits[: most + 1])] = i
+    sums = np.flatnonzero(by >= 0)
+    if not len(sums):
         raise ValueError("too few independent writers for the split")
-    at, out = min(sums, key=lambda t: (abs(t - target), t)), set()
-    while last[at] is not None:
-        at, group = last[at]
-        out.add(group)
+    at, out = int(min(sums, key=lambda t: (abs(int(t) - target), t))), set()
+    while at:
+        out.add(order[by[at]])
+        at -= sizes[order[by[at]]]
     return out
 
 

@@ -134,6 +134,38 @@ def rejection_reason(flags: Column, page: Column) -> Column:
     return out
 
 
+#: The same with all wordings of a rule, in order; what follows them asks for selector, program and roll.
+ALL_REASONS = (
+    (("duplicate page-",), "duplicate_claim"), (("missing page", "missing counterpart"), "missing_counterpart"), (("no page-1 sheet has the same roll",), "no_verified_page1_anchor"),
+    (("does not match the verified page-1 program",), "program_mismatch"), (("produced conflicting candidates",), "cell_strip_or_field_conflict"),
+    (("could not be decoded confidently", "did not produce a valid roll"), "no_literal_roll"), (("low confidence", "requires manual confirmation"), "low_identity_confidence"),
+)
+TALLIED = (
+    (("duplicate",), "duplicate_claim"), (("orientation marker", "could not validate"), "inspection_or_alignment_failure"), (("program selector",), None), (("conflicting candidates", "conflicts with"), "conflicting_identity"),
+    (("could not be decoded", "did not produce", "unreadable"), "unreadable_roll"), (("low confidence", "whole-strip"), "low_resnet_confidence"), (("no page-1 sheet", "missing page"), "missing_counterpart"),
+)
+
+
+def _any_of(text: Column, needles: tuple[str, ...]) -> Column:
+    return F.array_contains(F.array(*(text.contains(n) for n in needles)), True)
+
+
+def page_rejection(flags: Column, page: Column, program: Column, roll: Column) -> Column:
+    """Why a page was not matched: the first rule that its flags (array), program and roll meet."""
+    text = F.lower(F.array_join(F.coalesce(flags, F.array().cast("array<string>")), " | "))
+    blank = text.contains("continuation program selector is blank") | (~text.contains("continuation program selector is ambiguous") & text.contains("program selector is blank"))
+    found = [F.when(_any_of(text, needles), reason) for needles, reason in ALL_REASONS]
+    selector = F.when(blank, F.when(program.eqNullSafe("BTECH"), "blank_selector_btech").otherwise("blank_selector_postgraduate"))
+    return F.coalesce(*found, selector, F.when(F.coalesce(roll, F.lit("")) == "", "no_literal_roll"), F.concat(F.lit("other_page_"), F.coalesce(F.nullif(page, F.lit(0)).cast("string"), F.lit("unknown"))))
+
+
+def unmatched_reason(flags: Column, program: Column) -> Column:
+    """A page's cause for the tally of a run."""
+    text = F.lower(F.array_join(F.coalesce(flags, F.array().cast("array<string>")), " "))
+    selector = F.when(program.eqNullSafe("BTECH"), "program_selector_btech").otherwise("program_selector_postgraduate")
+    return F.coalesce(*(F.when(_any_of(text, needles), F.lit(reason) if reason else selector) for needles, reason in TALLIED), F.lit("other"))
+
+
 def queue_matches(kind: str, status: Column, flags: Column, search: str, text: Column) -> Column:
     """A named queue and a search text in any case."""
     rows = {"all": F.lit(True), "review": status == "needs_review", "flagged": flags > 0, "ready": status.isin("verified", "approved")}[kind]

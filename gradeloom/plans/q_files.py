@@ -97,15 +97,16 @@ def _(spark, d):
     return rows.groupBy("label").agg(F.count("*").alias("n"), F.sum(F.get("pixels", F.lit(0)) + F.get("pixels", F.lit(1))).alias("ink"))
 
 
-@query("scans_listed", "SELECT count(*) AS files, 1 AS pages FROM region")
+@query("scans_listed", "SELECT count(*) AS files, sum(n_nationkey % 3 + 1) AS pages, max(n_nationkey % 3 + 1) AS longest, count(*) AS digests FROM nation")
 def _(spark, d):
-    """A file for each region, written and listed."""
+    """A file of one to three pages for each nation, written, listed, counted and digested."""
     path = home(spark, "scans")
-    rows = A.table(spark, d, "region").select("r_regionkey", F.encode(F.concat(F.lit("%PDF-1.4 1 0 obj << /Type /Page /Contents ("), "r_name", F.lit(") >> endobj")), "UTF-8").alias("content"))
-    rows.select(F.decode("content", "UTF-8").alias("value")).repartition(5).write.text(path)
+    one = F.concat(F.lit(" "), (F.col("i") + 2).cast("string"), F.lit(" 0 obj << /Type /Page /Parent 1 0 R /Contents ("), "n_name", F.lit(") >> endobj"))
+    pages = A.table(spark, d, "nation").select("n_nationkey", "n_name", F.explode(F.sequence(F.lit(0).cast("long"), (F.col("n_nationkey") % 3).cast("long"))).alias("i"))
+    files = pages.groupBy("n_nationkey").agg(F.concat(F.lit("%PDF-1.4 1 0 obj << /Type /Pages >> endobj"), F.array_join(F.collect_list(one), ""), F.lit(" trailer %%EOF")).alias("value"))
+    files.select("value").write.option("maxRecordsPerFile", 1).text(path)
     listed, n = S_.list_scans(spark, path, ("txt",)), S_.count_pages(spark, path + "/*.txt")
-    named = n.withColumn("pages", F.lit(1))
-    return listed.join(named, "path").agg(F.lit(A.table(spark, d, "region").count()).cast("long").alias("files"), F.max("pages").alias("pages"))
+    return listed.join(n, "path").agg(F.count("*").alias("files"), F.sum("pages").alias("pages"), F.max("pages").alias("longest"), F.count_distinct("digest").alias("digests"))
 
 
 STATE = "exam_id string, students array<struct<roll_no:string,status:string,pages:array<struct<page:int,source_index:long>>>>"

@@ -121,6 +121,18 @@ def _(spark, d):
     return model.transform(rows.where("vec_id % 5 = 0")).select("vec_id", "y", F.col("prediction").cast("int").alias("predicted"))
 
 
+@query("crop_forest", "SELECT CASE p_partkey % 3 WHEN 0 THEN 'empty' WHEN 1 THEN 'filled' ELSE 'cancelled' END AS label, count(*) AS crops, TRUE AS told FROM part WHERE p_size % 5 = 0 GROUP BY 1")
+def _(spark, d):
+    """A forest on shapes of drawn bubbles: of the sheets that it was not fitted on, whether nine crops of ten are told."""
+    k = F.col("p_partkey")
+    label = F.when(k % 3 == 0, "empty").when(k % 3 == 1, "filled").otherwise("cancelled")
+    crops = A.table(spark, d, "part").select(k.alias("id"), F.col("p_size").alias("sheet"), label.alias("label"), (k % 3).cast("double").alias("y"), pixels.draw_crop(k, (k % 3).cast("int")).alias("data"))
+    told = crops.select("*", pixels.measure_shapes("data", F.lit(48), F.lit(48), F.lit(14)).alias("m")).select("id", "sheet", "label", "y", *(F.col("m")[n].alias(n) for n in pixels.SHAPES)).persist()
+    forest = M.crop_forest(told.where("sheet % 5 <> 0"), list(pixels.SHAPES), "y")
+    found = forest.transform(told.where("sheet % 5 = 0"))
+    return found.groupBy("label").agg(F.count("*").alias("crops"), (F.avg((F.col("prediction") == F.col("y")).cast("int")) >= 0.9).alias("told"))
+
+
 @query("digit_plugin", "SELECT page_id, CAST(length(url) % 10 AS VARCHAR) AS text, 0.9::DOUBLE AS confidence FROM pages")
 def _(spark, d):
     M.register_reader("length", lambda: lambda crops: [(str(len(c) % 10), 0.9) for c in crops])

@@ -347,6 +347,36 @@ def _(spark, d):
     return A.table(spark, d, "orders").groupBy(R.rejection_reason(text, k % 3 + 1).alias("reason")).agg(F.count("*").alias("n"))
 
 
+#: Wordings of readers and checks, of which a page has two.
+WORDS = [
+    "Duplicate page-2 claim", "Missing page 3", "missing counterpart", "No page-1 sheet has the same roll", "Roll does not match the verified page-1 program", "Fields produced conflicting candidates", "Digits could not be decoded confidently",
+    "Cells did not produce a valid roll", "Low confidence read", "Requires manual confirmation", "Continuation program selector is blank", "Continuation program selector is ambiguous", "Program selector is blank", "Orientation marker missing", "Could not validate", "conflicts with strip", "unreadable", "whole-strip OCR differs", "none",
+]
+REJECTED = f"""WITH w AS (SELECT {WORDS!r} AS w), p AS (SELECT o_orderkey AS k, lower(w[o_orderkey % 19 + 1] || ' | ' || w[o_orderkey // 7 % 19 + 1]) AS bar, lower(w[o_orderkey % 19 + 1] || ' ' || w[o_orderkey // 7 % 19 + 1]) AS gap, CASE o_orderkey % 3 WHEN 0 THEN 'BTECH' WHEN 1 THEN 'MTECH' END AS program, CASE WHEN o_orderkey % 4 <> 0 THEN '2000001' WHEN o_orderkey % 8 = 0 THEN '' END AS roll, o_orderkey % 5 AS page FROM orders, w)"""
+
+
+@query("page_rejections", REJECTED + """ SELECT CASE WHEN contains(bar, 'duplicate page-') THEN 'duplicate_claim' WHEN contains(bar, 'missing page') OR contains(bar, 'missing counterpart') THEN 'missing_counterpart' WHEN contains(bar, 'no page-1 sheet has the same roll') THEN 'no_verified_page1_anchor'
+ WHEN contains(bar, 'does not match the verified page-1 program') THEN 'program_mismatch' WHEN contains(bar, 'produced conflicting candidates') THEN 'cell_strip_or_field_conflict' WHEN contains(bar, 'could not be decoded confidently') OR contains(bar, 'did not produce a valid roll') THEN 'no_literal_roll'
+ WHEN contains(bar, 'low confidence') OR contains(bar, 'requires manual confirmation') THEN 'low_identity_confidence' WHEN contains(bar, 'continuation program selector is blank') OR (NOT contains(bar, 'continuation program selector is ambiguous') AND contains(bar, 'program selector is blank')) THEN CASE WHEN program = 'BTECH' THEN 'blank_selector_btech' ELSE 'blank_selector_postgraduate' END
+ WHEN coalesce(roll, '') = '' THEN 'no_literal_roll' ELSE 'other_page_' || CASE WHEN page = 0 THEN 'unknown' ELSE CAST(page AS VARCHAR) END END AS reason, count(*) AS n FROM p GROUP BY 1""")
+def _(spark, d):
+    p = rejected(spark, d)
+    return p.groupBy(R.page_rejection(F.col("flags"), F.col("page"), F.col("program"), F.col("roll")).alias("reason")).agg(F.count("*").alias("n"))
+
+
+@query("unmatched_tally", REJECTED + """ SELECT CASE WHEN contains(gap, 'duplicate') THEN 'duplicate_claim' WHEN contains(gap, 'orientation marker') OR contains(gap, 'could not validate') THEN 'inspection_or_alignment_failure' WHEN contains(gap, 'program selector') THEN CASE WHEN program = 'BTECH' THEN 'program_selector_btech' ELSE 'program_selector_postgraduate' END
+ WHEN contains(gap, 'conflicting candidates') OR contains(gap, 'conflicts with') THEN 'conflicting_identity' WHEN contains(gap, 'could not be decoded') OR contains(gap, 'did not produce') OR contains(gap, 'unreadable') THEN 'unreadable_roll' WHEN contains(gap, 'low confidence') OR contains(gap, 'whole-strip') THEN 'low_resnet_confidence'
+ WHEN contains(gap, 'no page-1 sheet') OR contains(gap, 'missing page') THEN 'missing_counterpart' ELSE 'other' END AS reason, count(*) AS n FROM p GROUP BY 1""")
+def _(spark, d):
+    return rejected(spark, d).groupBy(R.unmatched_reason(F.col("flags"), F.col("program")).alias("reason")).agg(F.count("*").alias("n"))
+
+
+def rejected(spark, d):
+    k, words = F.col("o_orderkey"), F.array(*map(F.lit, WORDS))
+    flags = F.array(F.get(words, (k % 19).cast("int")), F.get(words, F.expr("cast(o_orderkey div 7 % 19 as int)")))
+    return A.table(spark, d, "orders").select(flags.alias("flags"), F.when(k % 3 == 0, "BTECH").when(k % 3 == 1, "MTECH").alias("program"), F.when(k % 4 != 0, "2000001").when(k % 8 == 0, "").alias("roll"), (k % 5).alias("page"))
+
+
 @query("evidence_cache_reuse", "SELECT p.page_id, c.first IS NOT NULL AS hit, c.first AS evidence FROM (SELECT page_id, sha256(html) AS digest FROM pages) p LEFT JOIN (SELECT sha256(html) AS digest, min(page_id) AS first FROM pages WHERE page_id % 3 = 0 GROUP BY 1) c USING (digest)")
 def _(spark, d):
     p = A.table(spark, d, "pages").select("page_id", F.sha2("html", 256).alias("digest"))

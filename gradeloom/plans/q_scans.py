@@ -12,6 +12,7 @@ from pyspark.sql import types as T
 
 from gradeloom.functions import images as M
 from gradeloom.operators import evaluation as E
+from gradeloom.operators import preflight as L
 from gradeloom.operators import release as K
 from gradeloom.operators import scans as P
 from gradeloom.plans import adapters as A
@@ -177,3 +178,62 @@ def _(spark, d):
     told = [P.round_trip(rows, coverage=c, shade=s).withColumn("kind", F.lit(kind)) for kind, (c, s) in kinds.items()]
     both = told[0].unionByName(told[1])
     return both.select("sheet", "kind", "questions", "recovered", "flagged", (F.col("least_filled") - F.col("most_empty") > 0.4).alias("apart"))
+
+
+#: What is wrong with a sheet, by its key's remainder; 0 is sound.
+DEFECTS = ("", "bubbles print empty", "quiet zone", "marker solid", "orientation", "bubble spacing", "safe margin", "page index", "answer box blank", "page bounds")
+
+
+def sheet_marks(key: int) -> pd.DataFrame:
+    """A sheet's marks: corners, orientation, bars, six questions of four bubbles and an answer box; those of a defect that needs no ink moved."""
+    bad, page = key % 10, key % 3 + 1
+    rows = [("fiducial", c, *at, 8.0, 8.0, 0) for c, at in TEMPLATE.fiducials.items()]
+    rows.append(("orientation", "TR" if bad == 4 else "TL", 40.0, 14.0, 5.0, 5.0, 0))
+    rows += [("bar", f"bar{i}", 60.0 + 14.0 * i, 14.0, 10.0, 5.0, i) for i in range(1, 4)]
+    rows += [("bubble", f"Q{q}-{'ABCD'[o]}", 40.0 + 8.0 * o, 50.0 + 9.0 * q, 0.0, 0.0, 0) for q in range(6) for o in range(4)]
+    rows.append(("box", "Q7", 20.0, 130.0, 170.0, 40.0, 4))
+    if bad == 5:
+        rows.append(("bubble", "Q9-A", 42.0, 51.0, 0.0, 0.0, 0))
+    if bad == 9:
+        rows.append(("box", "Q8", 215.0, 200.0, 30.0, 20.0, 2))
+    out = pd.DataFrame(rows, columns=["kind", "name", "x_mm", "y_mm", "w_mm", "h_mm", "extra"])
+    return out.assign(sheet=key, page=page)[["sheet", "page", *out.columns]]
+
+
+def spoiled(key: int, gray: np.ndarray, k: float) -> None:
+    """Ink where a defect has it, or a marker that is faint."""
+    spots = {1: (40.0, 50.0, 1.2, 0), 2: (19.0, 19.0, 0.4, 0), 6: (2.0, 150.0, 0.5, 90), 7: (102.0 if key % 3 + 1 != 3 else 74.0, 14.0, 3.0, 0), 8: (100.0, 136.0, 1.0, 80)}
+    bad = key % 10
+    if bad in spots:
+        x, y, r, shade = spots[bad]
+        P._disc(gray, x * k, y * k, max(1.0, r * k), shade)
+        if bad == 7:
+            gray[round(12 * k) : round(16 * k), round((x - 4.5) * k) : round((x + 4.5) * k)] = 0
+    if bad == 3:
+        part = gray[round(281 * k) : round(289 * k), round(8 * k) : round(16 * k)]
+        part[::2, ::2] = 255
+
+
+@query("preflight_checks", "SELECT s_suppkey AS sheet, CASE s_suppkey % 10 " + " ".join(f"WHEN {i} THEN '{n}'" for i, n in enumerate(DEFECTS)) + " END AS checks FROM supplier")
+def _(spark, d):
+    """The checks that each sheet fails: a sound one in ten none, the others their own defect's."""
+
+    def marks(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for part in parts:
+            yield pd.concat([sheet_marks(int(k)) for k in part["id"]]) if len(part) else part
+
+    def spoil(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for part in parts:
+            out = []
+            for row in part.itertuples():
+                gray = np.frombuffer(row.data, dtype=np.uint8).reshape(row.height, row.width).copy()
+                spoiled(int(row.sheet), gray, 100.0 / 25.4)
+                out.append(gray.tobytes())
+            yield part.assign(data=out)
+
+    ids = A.table(spark, d, "supplier").select(F.col("s_suppkey").cast("long").alias("id")).repartition("id")
+    told = ids.mapInPandas(marks, L.MARKS).persist()
+    pages = L.printed(told, 100.0)
+    issues = L.preflight(told, pages.mapInPandas(spoil, pages.schema), 100.0)
+    failed = issues.where("severity = 'error'").groupBy("sheet").agg(F.array_join(F.array_sort(F.collect_set("check")), ",").alias("checks"))
+    return ids.select(F.col("id").alias("sheet")).join(failed, "sheet", "left").select("sheet", F.coalesce("checks", F.lit("")).alias("checks"))

@@ -15,6 +15,7 @@ import re
 import struct
 import uuid
 import zipfile
+import zlib
 from collections.abc import Iterator
 from xml.etree import ElementTree
 
@@ -205,15 +206,34 @@ def list_scans(spark: SparkSession, path: str, suffixes: tuple[str, ...] = ("pdf
     return files.select("path", "length", F.sha2("content", 256).alias("digest")).orderBy("path")
 
 
-def pages_of(name: str, data: bytes) -> int:
-    """A PDF's pages by its page objects, 1 for an image.
+def pdf_objects(data: bytes) -> dict[int, bytes]:
+    """A PDF's objects by number, as far as they are no streams' contents; the last definition counts.
 
-    Encrypted PDFs, images of several frames and PDFs whose page objects lie in compressed streams are errors.
+    Objects in compressed object streams are read out of them.
     """
-    if name.lower().endswith(".pdf"):
+    out: dict[int, bytes] = {}
+    for m in re.finditer(rb"(\d+)\s+\d+\s+obj\b(.*?)\bendobj", data, re.DOTALL):
+        head, stream, rest = m.group(2).partition(b"stream")
+        out[int(m.group(1))] = head
+        if not stream or not re.search(rb"/Type\s*/ObjStm\b", head):
+            continue
+        n, first = (int(re.search(rb"/" + key + rb"\s+(\d+)", head).group(1)) for key in (b"N", b"First"))
+        raw = rest.removeprefix(b"\r\n") if rest.startswith(b"\r\n") else rest.removeprefix(b"\n")
+        content = zlib.decompressobj().decompress(raw) if b"/FlateDecode" in head else raw
+        table = list(map(int, content[:first].split()[: 2 * n]))
+        places = [first + at for at in table[1::2]]
+        for number, begin, end in zip(table[::2], places, [*places[1:], len(content)], strict=True):
+            out[number] = content[begin:end]
+    return out
+
+
+def pages_of(name: str, data: bytes) -> int:
+    """A PDF's pages by its page objects, 1 for an image. Encrypted PDFs and images of several frames are errors."""
+    if name.lower().endswith(".pdf") or data.startswith(b"%PDF-"):
         if b"/Encrypt" in data:
             raise ValueError(f"{name}: encrypted")
-        found = len(re.findall(rb"/Type\s*/Page(?![A-Za-z])", data))
+        # a file without numbered objects is taken as it is
+        found = sum(len(re.findall(rb"/Type\s*/Page(?![A-Za-z])", x)) for x in (pdf_objects(data).values() or [data]))
         if not found:
             raise ValueError(f"{name}: no readable page objects")
         return found

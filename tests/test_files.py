@@ -64,3 +64,24 @@ def test_broken_state_is_an_error(spark, tmp_path):
     path = written(tmp_path, '{"exam_id": "a", "students": [', "s.json")
     with pytest.raises(Exception):
         files.read_state(spark, path, "exam_id string").collect()
+
+
+def test_pages_in_object_streams_and_of_later_versions():
+    import zlib
+
+    inner = [b"<< /Type /Page /Parent 1 0 R >>", b"<< /Type /Pages /Count 2 >>", b"<< /Type/Page /X (endless) >>"]
+    places, at = [], 0
+    for number, x in enumerate(inner, 5):
+        places.append(b"%d %d" % (number, at))
+        at += len(x) + 1
+    table = b" ".join(places) + b" "
+    packed = zlib.compress(table + b" ".join(inner))
+    stream = lambda more, body: b"9 0 obj << /Type /ObjStm /N 3 /First %d %s /Length %d >> stream\r\n%s\nendstream endobj\n" % (len(table), more, len(body), body)
+    head = b"%PDF-1.5\n1 0 obj << /Type /Catalog >> endobj\n"
+    assert files.pages_of("a.pdf", head + stream(b"/Filter /FlateDecode", packed)) == 2
+    assert files.pages_of("scan", head + stream(b"", table + b" ".join(inner))) == 2
+    # object 5 is replaced by a later one that is no page, 7 by another page
+    later = b"5 0 obj << /Type /Font >> endobj 7 0 obj << /Type /Page /New true >> endobj"
+    assert files.pages_of("a.pdf", head + stream(b"/Filter /FlateDecode", packed) + later) == 1
+    # page objects within other streams are contents
+    assert files.pages_of("a.pdf", head + b"3 0 obj << /Type /Page >> endobj 4 0 obj << /Length 15 >> stream\n/Type /Page zz\nendstream endobj") == 1
