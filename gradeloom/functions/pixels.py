@@ -233,30 +233,55 @@ def affine(source: np.ndarray, to: np.ndarray) -> np.ndarray:
     return np.linalg.lstsq(np.column_stack([source, np.ones(len(source))]), to, rcond=None)[0].T
 
 
+def similarity(source: np.ndarray, to: np.ndarray) -> np.ndarray:
+    """The 2 x 3 matrix of least squares that only moves, turns and scales alike in all directions."""
+    x, y = source.T
+    one, none = np.ones(len(source)), np.zeros(len(source))
+    rows = np.concatenate([np.column_stack([x, -y, one, none]), np.column_stack([y, x, none, one])])
+    a, b, u, v = np.linalg.lstsq(rows, np.concatenate([to[:, 0], to[:, 1]]), rcond=None)[0]
+    return np.array([[a, -b, u], [b, a, v]])
+
+
 def _residuals(matrix: np.ndarray, source: np.ndarray, to: np.ndarray) -> np.ndarray:
     return np.hypot(*(source @ matrix[:, :2].T + matrix[:, 2] - to).T)
 
 
+def _through_three(source: np.ndarray, to: np.ndarray, picks: np.ndarray) -> np.ndarray:
+    """The affine matrices through three pairs each; of three points in a line there is none."""
+    corner = np.concatenate([source[picks], np.ones((*picks.shape, 1))], axis=2)
+    fine = np.abs(np.linalg.det(corner)) > 1e-9 if len(picks) else np.zeros(0, dtype=bool)
+    return np.linalg.solve(corner[fine], to[picks[fine]]).transpose(0, 2, 1)
+
+
+def _through_two(source: np.ndarray, to: np.ndarray, picks: np.ndarray) -> np.ndarray:
+    """The similarities through two pairs each, as products of complex numbers."""
+    z, w = (p[..., 0] + 1j * p[..., 1] for p in (source[picks], to[picks]))
+    fine = np.abs(z[:, 1] - z[:, 0]) > 1e-9 if len(picks) else np.zeros(0, dtype=bool)
+    z, w = z[fine], w[fine]
+    a = (w[:, 1] - w[:, 0]) / (z[:, 1] - z[:, 0])
+    b = w[:, 0] - a * z[:, 0]
+    return np.stack([np.stack([a.real, -a.imag, b.real], axis=1), np.stack([a.imag, a.real, b.imag], axis=1)], axis=1)
+
+
 def robust_transform(source: np.ndarray, to: np.ndarray, threshold: float, least: int = 3, trials: int = 200, seed: int = 0) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """I4: matrix, inliers and residuals: a sane affine fit of random triples, refined on its inliers, or the median shift.
 
-    Of both the one of more matches counts, then of the lesser mean and greatest residual.
+    A turn with one scale for all directions is tried too. Of all the one of more matches counts, then of
+    the lesser mean and greatest residual.
     """
     shift = np.column_stack([np.eye(2), np.median(to - source, axis=0)])
     every = np.arange(len(source))
     found = [(shift, every, _residuals(shift, source, to))]
     random = np.random.default_rng(seed)
-    best = np.empty(0, dtype=int)
-    for _ in range(trials if len(source) >= 3 else 0):
-        some = random.choice(len(source), 3, replace=False)
-        if np.linalg.matrix_rank(np.column_stack([source[some], np.ones(3)])) < 3:
-            continue
-        inside = np.flatnonzero(_residuals(affine(source[some], to[some]), source, to) <= threshold)
-        best = inside if len(inside) > len(best) else best
-    if len(best) >= max(3, least):
-        matrix = affine(source[best], to[best])
-        if reasonable(matrix):
-            found.append((matrix, best, _residuals(matrix, source[best], to[best])))
+    picks = np.argsort(random.random((trials, len(source))), axis=1)[:, :3] if len(source) >= 3 else np.zeros((0, 3), dtype=int)
+    for fit, matrices in ((affine, _through_three(source, to, picks)), (similarity, _through_two(source, to, picks[:, :2]))):
+        apart = np.linalg.norm(np.einsum("tij,nj->tni", matrices[:, :, :2], source) + matrices[:, None, :, 2] - to, axis=2)
+        inside = apart <= threshold
+        best = np.flatnonzero(inside[inside.sum(axis=1).argmax()]) if len(inside) else every[:0]
+        if len(best) >= max(3, least):
+            matrix = fit(source[best], to[best])
+            if reasonable(matrix):
+                found.append((matrix, best, _residuals(matrix, source[best], to[best])))
     return min(found, key=lambda f: (-len(f[1]), f[2].mean(), f[2].max()))
 
 
@@ -284,6 +309,66 @@ def fit_block(expected: np.ndarray, observed: np.ndarray, reach: float, least: i
     return out
 
 
+def _told(fitted: tuple[np.ndarray, np.ndarray, np.ndarray]) -> tuple[np.ndarray, int, float, float]:
+    matrix, inside, left = fitted
+    return matrix, len(inside), float(left.mean()), float(left.max())
+
+
+def fit_nearest(expected: np.ndarray, observed: np.ndarray, reach: float, least: int = 3) -> tuple[np.ndarray, int, float, float] | None:
+    """A transform from each observed point's nearest expected one in reach, one to one: for blocks that hardly moved."""
+    pairs = one_to_one(observed, expected, reach) if len(expected) and len(observed) else []
+    if len(pairs) < least:
+        return None
+    j, i = map(list, zip(*pairs))
+    return _told(robust_transform(expected[i], observed[j], max(2.0, reach * 0.22), least))
+
+
+def lines(points: np.ndarray, gap: float) -> list[np.ndarray]:
+    """Indices of the points by rows: a row ends where the next point is lower by more than the gap; left to right in each."""
+    order = np.argsort(points[:, 1], kind="stable")
+    cut = np.flatnonzero(np.diff(points[order, 1]) > gap) + 1
+    return [row[np.argsort(points[row, 0], kind="stable")] for row in np.split(order, cut)] if len(points) else []
+
+
+def fit_ordered(expected: np.ndarray, observed: np.ndarray, gap: float, least: int = 3, threshold: float = 3.0) -> tuple[np.ndarray, int, float, float] | None:
+    """A transform of a grid by its order: first row to first row, first column to first, however far it moved.
+
+    None if both do not have the same rows of the same lengths.
+    """
+    a, b = lines(expected, gap), lines(observed, gap)
+    if len(expected) < least or [len(x) for x in a] != [len(x) for x in b]:
+        return None
+    return _told(robust_transform(expected[np.concatenate(a)], observed[np.concatenate(b)], threshold, least))
+
+
+def register_block(expected: np.ndarray, observed: np.ndarray, reach: float, gap: float, least: int = 3) -> tuple[str, np.ndarray, int, float, float] | None:
+    """How a block was registered (ordered, votes or nearest) and its transform; None if no way fits.
+
+    A whole grid goes by its order. Of one that lacks points, or has strays, the offset that most points vote
+    for counts, and if too few agree on one, their nearest points.
+    """
+    ordered = fit_ordered(expected, observed, gap, least)
+    if ordered is not None and ordered[1] == len(expected) and ordered[3] <= max(2.0, reach * 0.35):
+        return "ordered", *ordered
+    for name, fitted in (("votes", fit_block(expected, observed, reach, least)), ("nearest", fit_nearest(expected, observed, reach, least))):
+        if fitted is not None and fitted[1] >= max(least, round(0.45 * len(expected))):
+            return name, *fitted
+    return None
+
+
+def rings(gray: np.ndarray, radius: float) -> np.ndarray:
+    """Centres of printed outlines: dark components about as wide and high as a bubble, with paper inside."""
+    from gradeloom.functions import images
+
+    label, found = images.components(gray < DARK)
+    if not len(label):
+        return np.zeros((0, 2))
+    m = images.measured(label, found)
+    w, h = m["x1"] - m["x0"], m["y1"] - m["y0"]
+    fine = (np.minimum(w, h) >= 1.4 * radius) & (np.maximum(w, h) <= 2.8 * radius) & (w / np.maximum(h, 1) >= 0.45) & (w / np.maximum(h, 1) <= 2.2) & (m["area"] <= 0.75 * w * h)
+    return np.column_stack([(m["x0"] + m["x1"] - 1) / 2, (m["y0"] + m["y1"] - 1) / 2])[fine]
+
+
 def calibrated(blocks: DataFrame, observed: DataFrame, reach: float) -> DataFrame:
     """Page, block, id, x, y, residual: expected centres moved by their block's transform, with the distance to the
     nearest observed centre (null if none). Where no transform can be fitted they stay where the template says.

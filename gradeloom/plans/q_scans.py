@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from gradeloom.functions import images as M
+from gradeloom.functions import pixels
 from gradeloom.operators import evaluation as E
 from gradeloom.operators import preflight as L
 from gradeloom.operators import release as K
@@ -237,3 +238,44 @@ def _(spark, d):
     issues = L.preflight(told, pages.mapInPandas(spoil, pages.schema), 100.0)
     failed = issues.where("severity = 'error'").groupBy("sheet").agg(F.array_join(F.array_sort(F.collect_set("check")), ",").alias("checks"))
     return ids.select(F.col("id").alias("sheet")).join(failed, "sheet", "left").select("sheet", F.coalesce("checks", F.lit("")).alias("checks"))
+
+
+def printed_block(key: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """A block of five by four outlines as it lies on a scan, where the template has it, and where it is.
+
+    Every third is whole and moved by more than half a row, the others lack some outlines or have strays beside them.
+    """
+    random = np.random.default_rng(key)
+    expected = np.array([(60.0 + 26 * i, 70.0 + 30 * j) for j in range(5) for i in range(4)])
+    turn, grow = random.uniform(-0.03, 0.03), random.uniform(0.97, 1.03)
+    move = random.uniform(16, 22, 2) * random.choice([-1, 1], 2) if key % 3 == 0 else random.uniform(-10, 10, 2)
+    matrix = np.array([[grow * np.cos(turn), -grow * np.sin(turn)], [grow * np.sin(turn), grow * np.cos(turn)]])
+    centre = expected.mean(axis=0)
+    truth = (expected - centre) @ matrix.T + centre + move
+    gray = np.full((280, 240), 255, dtype=np.uint8)
+    gone = set() if key % 3 == 0 else set(random.choice(20, key % 3 + 2, replace=False).tolist())
+    for i, (x, y) in enumerate(truth):
+        if i not in gone:
+            P._disc(gray, x, y, 9.0, 40, hollow=2.0)
+    if key % 3 == 2:
+        for _ in range(3):
+            P._disc(gray, random.uniform(15, 225), random.uniform(240, 265), 9.0, 40, hollow=2.0)
+    return gray, expected, truth
+
+
+@query("block_registration", "SELECT s_suppkey AS id, CASE WHEN s_suppkey % 3 = 0 THEN 'ordered' ELSE 'votes' END AS way, TRUE AS near FROM supplier")
+def _(spark, d):
+    """Each block's outlines are found on its scan and its template is brought onto them, to a pixel and a half."""
+
+    def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for part in parts:
+            out = []
+            for key in part["id"]:
+                gray, expected, truth = printed_block(int(key))
+                found = pixels.register_block(expected, pixels.rings(gray, 9.0), 12.0, 12.0)
+                far = np.inf if found is None else np.hypot(*(expected @ found[1][:, :2].T + found[1][:, 2] - truth).T).max()
+                out.append((key, found and found[0], bool(far <= 1.5)))
+            yield pd.DataFrame(out, columns=["id", "way", "near"])
+
+    ids = A.table(spark, d, "supplier").select(F.col("s_suppkey").cast("long").alias("id")).repartition("id")
+    return ids.mapInPandas(run, "id long, way string, near boolean")
