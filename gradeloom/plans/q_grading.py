@@ -206,10 +206,13 @@ def _(spark, d):
     return G.strict_total(g, ["sheet"]).select("sheet", F.col("score").alias("strict")).join(G.lenient_total(g, ["sheet"]).select("sheet", F.col("score").alias("lenient")), "sheet")
 
 
-@query("numerical_key_alternatives", A.sql("answer_key", "SELECT q_no, len(v) AS n, v[1] AS first FROM (SELECT q_no, list_sort(list_distinct(list_transform(list_filter(regexp_split_to_array(answer, '[|,]'), lambda x: regexp_matches(x, '^\\d+$')), lambda x: CAST(x AS INTEGER)))) AS v FROM answer_key)"))
+@query("numerical_key_alternatives", "SELECT p_partkey AS q_no, len(v) AS n, v[1] AS first FROM (SELECT p_partkey, list_sort(list_distinct(list_transform(list_filter(list_transform(regexp_split_to_array(answer, '[|,]'), lambda x: replace(x, ' ', '')), lambda x: regexp_full_match(x, '[0-9]+')), lambda x: CAST(x AS INTEGER)))) AS v FROM (SELECT p_partkey, p_size || ' | ' || p_partkey % 50 || ',' || CASE WHEN p_partkey % 3 = 0 THEN 'x' ELSE '007' END AS answer FROM part))")
 def _(spark, d):
-    v = G.key_values(F.col("answer"))
-    return A.answer_key(spark).select("q_no", F.size(v).cast("long").alias("n"), F.get(v, F.lit(0)).alias("first"))
+    """A key of alternatives for each part."""
+    k = F.col("p_partkey")
+    answer = F.concat(F.col("p_size").cast("string"), F.lit(" | "), (k % 50).cast("string"), F.lit(","), F.when(k % 3 == 0, "x").otherwise("007"))
+    v = G.key_values(answer)
+    return A.table(spark, d, "part").select(k.alias("q_no"), F.size(v).cast("long").alias("n"), F.get(v, F.lit(0)).alias("first"))
 
 
 @query("roll_grid_decode", A.sql("responses", ", g AS (SELECT sheet, string_agg(CASE WHEN outcome = 'answered' OR (outcome = 'blank' AND value % 2 = 0) THEN CAST(value % 10 AS VARCHAR) ELSE '?' END, '' ORDER BY q_no) AS read, bool_or(outcome = 'blank') AS flagged FROM responses GROUP BY sheet) SELECT sheet, read, flagged, CASE WHEN position('?' IN read) = 0 THEN read END AS roll FROM g"))

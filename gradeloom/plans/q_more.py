@@ -140,9 +140,12 @@ def _(spark, d):
     return r.select("page_id", "r.text", "r.confidence")
 
 
-@query("grid_udtf", "SELECT CAST(p AS INTEGER) AS place, CAST(g AS INTEGER) AS digit, 10 + p * 6.5::DOUBLE AS cx_mm, 20 + g * 5.5::DOUBLE AS cy_mm FROM range(7) a(p), range(10) b(g)")
+@query("grid_udtf", "SELECT n_nationkey, CAST(p AS INTEGER) AS place, CAST(g AS INTEGER) AS digit, 10 + n_regionkey + p * 6.5::DOUBLE AS cx_mm, 20 + g * 5.5::DOUBLE AS cy_mm FROM nation, range(5 + n_nationkey % 3) a(p), range(10) b(g)")
 def _(spark, d):
-    return M.DigitGrid(F.lit(7), F.lit(10.0), F.lit(20.0), F.lit(5.5), F.lit(6.5))
+    """The centres of each nation's digit grid, by a table function beside its row."""
+    n = A.table(spark, d, "nation").select("n_nationkey", "n_regionkey")
+    grid = M.DigitGrid((5 + F.col("n_nationkey").outer() % 3).cast("int"), (10.0 + F.col("n_regionkey").outer()), F.lit(20.0), F.lit(5.5), F.lit(6.5))
+    return n.lateralJoin(grid).drop("n_regionkey")
 
 
 @query("public_export")

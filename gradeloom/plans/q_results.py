@@ -260,37 +260,6 @@ def _(spark, d):
     return L.catalogue(mcq, p.where("p_partkey % 2 = 1").select("q_no", F.col("p_size").cast("double").alias("max_marks"), F.lit(3).alias("positions")), 1.5)
 
 
-def exams(spark, d):
-    for r in A.table(spark, d, "region").orderBy("r_regionkey").collect():
-        n = 10 + 17 * r.r_regionkey
-        yield L.Exam(r.r_name, n, 4, 1.0, [L.Written(n + 5 + i, 5.0, 4 + i) for i in range(3)], [L.Numerical(n + 1 + i, 2.0, 2 + i) for i in range(4)])
-
-
-@query("sheet_flow")
-def _(spark, d):
-    """The template of an exam for each region."""
-    out = None
-    for e in exams(spark, d):
-        t = L.template(spark, e)
-        out = t if out is None else out.unionByName(t)
-    return out
-
-
-@query("sheet_preflight", "SELECT CAST(NULL AS INTEGER) AS key, CAST(NULL AS VARCHAR) AS rule WHERE FALSE")
-def _(spark, d):
-    """Templates that the flow makes break no rule of the printable area."""
-    out = None
-    for e in exams(spark, d):
-        t = L.preflight(L.template(spark, e))
-        out = t if out is None else out.unionByName(t)
-    return out
-
-
-@query("health_checks")
-def _(spark, d):
-    return L.health(spark, (f"{d}/region.parquet",))
-
-
 @query("line_choice")
 def _(spark, d):
     """M6: the best of two readings of each turn, joined by conversation."""
