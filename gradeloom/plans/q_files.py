@@ -4,11 +4,13 @@ from __future__ import annotations
 
 import uuid
 
+import pandas as pd
 from pyspark.sql import functions as F
 
 from gradeloom.plans import adapters as A
 from gradeloom.session import shared_dir
 from gradeloom.sources import files as S_
+from gradeloom.sources import sheets
 
 Q, S = {}, {}
 
@@ -60,6 +62,27 @@ def _(spark, d):
     return S_.read_table(spark, as_csv(rows, "table") + "/*.csv").select(F.col("cells")["Name"].alias("name"), F.col("cells")["Region"].alias("region"))
 
 
+@query("workbook_file", "SELECT p_partkey, p_name FROM part")
+def _(spark, d):
+    """A workbook of the parts of each size, written in tasks and read back by ranges of its rows."""
+    path = home(spark, "workbooks")
+
+    def put(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
+        data = sheets.workbook([["Key", "Name "], *([str(k), n] for k, n in zip(rows.p_partkey, rows.p_name, strict=True))])
+        store, place = sheets.store_of(path)
+        store.create_dir(place, recursive=True)
+        own = f"{place}/.{key[0]}-{uuid.uuid4().hex}"
+        with store.open_output_stream(own) as out:
+            out.write(data)
+        store.move(own, f"{place}/{key[0]}.xlsx")
+        return pd.DataFrame({"path": [f"{path}/{key[0]}.xlsx"]})
+
+    parts = A.table(spark, d, "part").select("p_partkey", "p_name", F.coalesce("p_size", F.lit(0)).alias("size"))
+    written = sorted(r.path for r in parts.groupBy("size").applyInPandas(put, "path string").collect())
+    cells = sheets.read_workbooks(spark, written, rows=100).select(F.col("cells")["Key"].cast("long").alias("p_partkey"), F.col("cells")["Name"].alias("p_name"))
+    return cells
+
+
 @query("template_file", "SELECT 'exam' || (r_regionkey + 1) AS exam_id, CAST(s_suppkey AS INTEGER) AS q_no, CAST(s_suppkey % 2 + 1 AS INTEGER) AS page, 10.0::DOUBLE + s_suppkey % 7 AS x_mm, len(['A', 'B', 'C', 'D']) AS options FROM region, supplier WHERE s_nationkey % 5 = r_regionkey")
 def _(spark, d):
     s = A.table(spark, d, "supplier").withColumn("exam", F.concat(F.lit("exam"), (F.col("s_nationkey") % 5 + 1).cast("string")))
