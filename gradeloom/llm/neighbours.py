@@ -14,9 +14,9 @@ third of all rows share is no hot group. Every entry is indexed and scored for e
 queries are a stated set, taken in blocks of BLOCK, each a pass over the codes with tables
 of bounded size. A task returns DEPTH entries a query.
 
-Vectors that are null, zero, of another length than most, or that hold null or non-finite
-components take no part, nor do rows without an id; of rows of one id the vector first in
-order counts. Ties go to the smaller id.
+Vectors that are null, zero, or that hold null or non-finite components take no part, nor do
+rows without an id; of rows of one id the vector first in order counts. A shorter vector's
+missing components count as 0. Ties go to the smaller id.
 """
 
 from __future__ import annotations
@@ -95,12 +95,12 @@ def _unit(x: np.ndarray) -> np.ndarray:
 
 
 def usable(df: DataFrame, key: str = "vec_id", vector: str = "embedding") -> DataFrame:
-    """id, v: the rows that take part, components as doubles."""
+    """id, v: the rows that take part, components as doubles, filled up with zeros to the longest."""
     rows = df.select(F.col(key).cast("long").alias("id"), F.col(vector).cast("array<double>").alias("v")).where("id IS NOT NULL AND v IS NOT NULL AND size(v) > 0")
     finite = F.forall("v", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf")))
     rows = rows.where(finite & F.exists("v", lambda x: x != 0))
-    most = rows.groupBy(F.size("v").alias("d")).count().orderBy(F.desc("count"), "d").limit(1).collect()
-    return rows.where(F.size("v") == (most[0].d if most else 0))
+    most = rows.agg(F.max(F.size("v"))).first()[0] or 0
+    return rows.select("id", F.when(F.size("v") == most, F.col("v")).otherwise(F.concat("v", F.array_repeat(F.lit(0.0), F.lit(most) - F.size("v")))).alias("v"))
 
 
 def _matrix(column: pa.Array) -> np.ndarray:

@@ -65,7 +65,7 @@ def test_quality_without_labels(spark):
 
 
 def brute(rows, queries):
-    fine = [(i, np.array(v, float)) for i, v in rows if i is not None and v is not None and len(v) == 16 and None not in v and np.isfinite(v).all() and np.any(np.array(v) != 0)]
+    fine = [(i, np.array([*v, *[0.0] * (16 - len(v))], float)) for i, v in rows if i is not None and v is not None and None not in v and np.isfinite(v).all() and np.any(np.array(v) != 0)]
     out = {}
     for q, x in fine:
         if q % queries == 0:
@@ -80,7 +80,7 @@ def test_neighbours(spark):
     rows = [(i, (base[i % 12] + 0.4 * r.normal(size=16)).astype(np.float32).tolist()) for i in range(600)]
     same = r.normal(size=16).astype(np.float32).tolist()
     rows += [(1000 + i, same) for i in range(300)]
-    rows += [(2000, None), (2050, [0.0] * 16), (2100, [float("nan")] * 16), (2150, [None] * 16), (2200, [1.0] * 3), (None, same)]
+    rows += [(2000, None), (2050, [0.0] * 16), (2100, [float("nan")] * 16), (2150, [None] * 16), (2200, [1.0] * 3), (2250, []), (2201, same[:5]), (None, same)]
     df = spark.createDataFrame(rows, "vec_id long, embedding array<float>").withColumn("key", F.lit(1)).withColumn("v", F.lit("x")).repartition(5)
     got = rows_of(neighbours.search(df, F.col("id") % 50 == 0))
     want = brute(rows, 50)
