@@ -55,8 +55,8 @@ ALONE = [
     ({"sheet_page": 3}, "INVALID_SOURCE_OR_SLOT:block,NO_ANCHOR_FOR_ROLL:block", False),
     ({"cell_min": 0.79}, "LOW_CELL_CONFIDENCE:block", False),
     ({"cell_min": 1.01}, "LOW_CELL_CONFIDENCE:block", False),
-    ({"cell_probs": cells("2077777")[:6]}, "LOW_CELL_CONFIDENCE:block", False),
-    ({"cell_probs": cells("2077777", own=0.7)}, "LOW_CELL_CONFIDENCE:block", False),
+    ({"cell_probs": lambda roll: cells(roll)[:6]}, "LOW_CELL_CONFIDENCE:block", False),
+    ({"cell_probs": lambda roll: cells(roll, own=0.7)}, "LOW_CELL_CONFIDENCE:block", False),
     ({"cell_probs": None}, "", True),
     ({"program": "PHD"}, "SOURCES_CONTRADICT:block", False),
     ({"signals": {"MTECH": (0.9, 0.5)}}, "SOURCES_CONTRADICT:block", False),
@@ -73,14 +73,19 @@ ALONE = [
 
 @pytest.fixture(scope="module")
 def alone(spark):
-    """Each case as an exam of its own: a page 1 of roll 2077777."""
-    return {i: {r.source_index: r for r in told(I.assess(frame(spark, [page(1, 1, "2077777") | change]), roster(spark), 2)).collect()} for i, (change, *_) in enumerate(ALONE)}
+    """Each case as a page 1 of a roll of its own, no two of which are neighbours."""
+    pages = []
+    for i, (change, *_) in enumerate(ALONE, 1):
+        roll = f"2{i * 10101:06d}"
+        pages.append(page(i, 1, roll) | {k: v(roll) if callable(v) else v for k, v in change.items()})
+    known = roster(spark).unionByName(spark.createDataFrame([(p["cell_roll"], None) for p in pages], "roll_no string, program string"))
+    return {r.source_index: r for r in told(I.assess(frame(spark, pages), known, 2)).collect()}
 
 
 @pytest.mark.parametrize("case", range(len(ALONE)))
 def test_each_rule(alone, case):
     _, want, accepted = ALONE[case]
-    row = alone[case][1]
+    row = alone[case + 1]
     assert (row.codes, row.accepted) == (want, accepted)
 
 
