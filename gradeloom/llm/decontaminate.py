@@ -14,7 +14,7 @@ hold a shingle of an item of their size are fingerprinted; that loses nothing.
 
 The benchmark is dealt into files of BLOCK items at most, with their shingles, in the shared
 folder. One pass over the texts does for any number of items: a task reads all files' shingles
-(16 bytes each) into a sieve, which tells the blocks that a text may match, and makes those
+(28 to 44 bytes each) into a sieve, which tells the blocks that a text may match, and makes those
 blocks' indexes when first needed; KEPT of them stay. Texts are not shuffled and nothing is
 kept of a text but its matches. Word overlap is what decides, so RADIUS is far above what
 windows of similarity 0.8 need (they differ in a word or two of fifteen or more).
