@@ -112,11 +112,12 @@ def drawn_digit(keys: pd.Series) -> pd.Series:
     return pd.Series([digit_cell(int(k)).tobytes() for k in keys])
 
 
-@query("digit_features", "SELECT CAST(s_suppkey % 10 AS BIGINT) AS label, count(*) AS cells, TRUE AS most_right, 0 AS blank FROM supplier GROUP BY 1")
+@query("digit_features", "SELECT CAST((s_suppkey * 12 + j) % 10 AS BIGINT) AS label, count(*) AS cells, TRUE AS most_right, 0 AS blank FROM supplier, range(12) t(j) GROUP BY 1")
 def _(spark, d):
-    """Each cell's digit as most of its three nearest cells have it: by digit, whether nine of ten are right."""
-    k = F.col("s_suppkey")
-    cells = A.table(spark, d, "supplier").repartition("s_suppkey").select(k.alias("id"), (k % 10).alias("label"), drawn_digit(k).alias("data"))
+    """Twelve cells for each supplier; each one's digit as most of its three nearest cells have it: by digit, whether nine of ten are right."""
+    each = A.table(spark, d, "supplier").repartition("s_suppkey").select("s_suppkey", F.explode(F.sequence(F.lit(0), F.lit(11))).alias("j"))
+    k = F.col("s_suppkey") * 12 + F.col("j")
+    cells = each.select(k.alias("id"), (k % 10).alias("label"), drawn_digit(k).alias("data"))
     told = cells.select("id", "label", P.measure_digit("data", F.lit(56), F.lit(48)).alias("m")).persist()
     vectors = told.select("id", "label", F.transform("m.feature", lambda x: F.floor(x * 255).cast("int")).alias("v"))
     voted = told.select("id", "label", "m.ink").join(E.knn_vote_all(vectors).select("id", F.col("label").alias("voted")), "id", "left")
