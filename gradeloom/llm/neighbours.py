@@ -3,16 +3,17 @@
 A vector is approximated by a sum of CODEBOOKS full-dimensional codewords, one of each
 codebook. Codebooks are trained one after the other on the residuals of a sample of SAMPLE
 unit vectors at most (those of the least hashed id). Each vector is encoded by a beam search
-that keeps the BEAM best partial sums, and is stored as its codes and the norm of the sum.
+that keeps the BEAM best partial sums, and is stored beside its codes and how far the sum is off.
 A query has a table of its products with all codewords; its cosine with a stored vector is
-the sum of CODEBOOKS entries over the norm. The DEPTH best of all vectors are reranked by
-exact cosine on the original vectors.
+the sum of CODEBOOKS entries, off by that distance at most. Whatever could be among the best by
+this bound is reranked by exact cosine on the original vectors, so none is missed on
+whatever rows; vectors that the codebooks fit badly only cost more exact products.
 
 Equal vectors are one entry that holds their TOP + 1 least ids (copies beyond these can't be
 among the nearest), thinned out in each batch before they are shuffled, so a vector that a
 third of all rows share is no hot group. Every entry is indexed and scored for every query:
 queries are a stated set, taken in blocks of BLOCK, each a pass over the codes with tables
-of bounded size. A task returns DEPTH entries a query.
+of bounded size. A task returns DEPTH entries a query at most.
 
 Vectors that are null, zero, or that hold null or non-finite components take no part, nor do
 rows without an id; of rows of one id the vector first in order counts. A shorter vector's
@@ -37,6 +38,8 @@ CODEBOOKS, WORDS, BEAM = 24, 256, 4
 SAMPLE, ROUNDS = 16_384, 8
 TOP, DEPTH, BLOCK = 5, 64, 1024
 CHUNK = 1024
+#: How far sums of single precision, and exact products, may be off by rounding.
+ROUNDING, SLACK = 1e-4, 1e-9
 
 
 @dataclass
@@ -63,6 +66,10 @@ class Quantiser:
         row = np.arange(n)
         return codes[row, first], np.linalg.norm(x - residual[row, first], axis=1).astype(np.float32)
 
+    def off(self, x: np.ndarray, codes: np.ndarray) -> np.ndarray:
+        """How far the sums of codewords are from their vectors."""
+        return np.linalg.norm(x - sum(book[codes[:, m]].astype(float) for m, book in enumerate(self.books)), axis=1)
+
     def tables(self, queries: np.ndarray) -> np.ndarray:
         """For each codebook and word its products with the queries."""
         return np.einsum("mwd,qd->mwq", self.books, queries.astype(np.float32), optimize=True)
@@ -89,8 +96,13 @@ def train(x: np.ndarray, seed: int = 0) -> Quantiser:
     return Quantiser(np.stack(books))
 
 
+def _even(x: np.ndarray) -> np.ndarray:
+    """Vectors scaled by powers of two, so that squares neither overflow nor vanish; cosines stay as they are."""
+    return np.ldexp(x, -np.frexp(np.abs(x).max(axis=1, keepdims=True))[1])
+
+
 def _unit(x: np.ndarray) -> np.ndarray:
-    x = x.astype(np.float64)
+    x = _even(x.astype(np.float64))
     return x / np.linalg.norm(x, axis=1, keepdims=True)
 
 
@@ -129,48 +141,75 @@ def entries(rows: DataFrame, top: int = TOP) -> DataFrame:
 
 
 def _indexed(found: DataFrame, model: Quantiser) -> DataFrame:
-    """key, codes, norm of every entry."""
+    """key, id (the least), codes, off, v of every entry."""
     held = found.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in batches:
             if not part.num_rows:
                 continue
-            codes, norms = held.value.encode(_unit(_matrix(part.column(1))))
-            yield pa.RecordBatch.from_arrays([part.column(0), pa.array([c.tobytes() for c in codes], pa.binary()), pa.array(norms, pa.float32())], names=["key", "codes", "norm"])
-
-    return found.select("key", "v").mapInArrow(run, "key binary, codes binary, norm float")
-
-
-def _scanned(index: DataFrame, model: Quantiser, ids: list[int], queries: np.ndarray) -> DataFrame:
-    """query_id, key, near: a task's DEPTH best entries for each of the queries."""
-    held = index.sparkSession.sparkContext.broadcast((model.tables(_unit(queries)), ids))
+            unit = _unit(_matrix(part.column(2)))
+            codes, _ = held.value.encode(unit)
+            off = held.value.off(unit, codes)
+            yield pa.RecordBatch.from_arrays([*part.columns[:2], pa.array([c.tobytes() for c in codes], pa.binary()), pa.array(off, pa.float32()), part.column(2)], names=["key", "id", "codes", "off", "v"])
+
+    return found.select("key", F.array_min("ids"), "v").mapInArrow(run, "key binary, id long, codes binary, off float, v array<double>")
+
+
+class _Best:
+    """The best entries of each query as far as they are seen: a score under the least one of its top + 1 is out."""
+
+    def __init__(self, queries: int, top: int):
+        self.best = np.full((top + 1, queries), -np.inf)
+        self.query, self.score, self.id, self.key = np.zeros(0, int), np.zeros(0), np.zeros(0, int), np.zeros(0, object)
+
+    @property
+    def least(self) -> np.ndarray:
+        """Below it by more than rounding, an entry is not among the best."""
+        return self.best.min(axis=0) - SLACK
+
+    def add(self, score: np.ndarray, ids: np.ndarray, keys: np.ndarray) -> None:
+        """Exact scores, entries by queries; -inf where a bound has ruled an entry out."""
+        most = len(self.best)
+        self.best = np.partition(np.concatenate([self.best, score]), -most, axis=0)[-most:]
+        row, query = np.nonzero(score >= np.maximum(self.least, -2.0))
+        self.query, self.score = np.concatenate([self.query, query]), np.concatenate([self.score, score[row, query]])
+        self.id, self.key = np.concatenate([self.id, ids[row]]), np.concatenate([self.key, keys[row]])
+        # equal scores are settled by the smaller id, also where a task has more of them than it returns
+        order = np.lexsort([self.id, -np.round(self.score, 9), self.query])
+        order = order[self.score[order] >= self.least[self.query[order]]]
+        query = self.query[order]
+        place = np.arange(len(order)) - np.searchsorted(query, query)
+        order = order[place < DEPTH]
+        self.query, self.score, self.id, self.key = self.query[order], self.score[order], self.id[order], self.key[order]
+
+
+def _scanned(index: DataFrame, model: Quantiser, ids: list[int], queries: np.ndarray, top: int) -> DataFrame:
+    """query_id, key, near: of a task's entries those that can be among the top, for each of the queries."""
+    unit = _unit(queries)
+    held = index.sparkSession.sparkContext.broadcast((model.tables(unit), unit, np.array(ids, dtype=np.int64)))
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tables, names = held.value
-        best, keys = np.full((0, len(names)), -np.inf, dtype=np.float32), np.empty((0, len(names)), dtype=object)
+        tables, unit, names = held.value
+        best = _Best(len(names), top)
         for part in batches:
             for at in range(0, part.num_rows, CHUNK):
                 some = part.slice(at, CHUNK)
-                codes = np.frombuffer(b"".join(some.column(1).to_pylist()), dtype=np.uint8).reshape(some.num_rows, -1)
+                codes = np.frombuffer(b"".join(some.column(2).to_pylist()), dtype=np.uint8).reshape(some.num_rows, -1)
                 near = tables[0][codes[:, 0]]
                 for m in range(1, len(tables)):
                     near += tables[m][codes[:, m]]
-                near /= np.maximum(np.asarray(some.column(2)), 1e-12)[:, None]
-                own = np.array(some.column(0).to_pylist(), dtype=object)
-                width = min(DEPTH, len(own))
-                pick = np.argpartition(-near, width - 1, axis=0)[:width]
-                best = np.concatenate([best, np.take_along_axis(near, pick, axis=0)])
-                keys = np.concatenate([keys, own[pick]])
-                if len(best) > DEPTH:
-                    pick = np.argpartition(-best, DEPTH - 1, axis=0)[:DEPTH]
-                    best, keys = np.take_along_axis(best, pick, axis=0), np.take_along_axis(keys, pick, axis=0)
-        if len(best):
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(np.tile(np.array(names, dtype=np.int64), len(best))), pa.array(keys.ravel().tolist(), pa.binary()), pa.array(best.ravel(), pa.float32())], names=["query_id", "key", "near"]
-            )
-
-    return index.mapInArrow(run, "query_id long, key binary, near float")
+                open_ = near + np.asarray(some.column(3))[:, None] + ROUNDING >= best.least
+                rows = np.flatnonzero(open_.any(axis=1))
+                if not len(rows):
+                    continue
+                few = some.take(pa.array(rows))
+                score = np.where(open_[rows], _unit(_matrix(few.column(4))) @ unit.T, -np.inf)
+                best.add(score, np.asarray(few.column(1)), np.array(few.column(0).to_pylist(), dtype=object))
+        if len(best.query):
+            yield pa.RecordBatch.from_arrays([pa.array(names[best.query]), pa.array(best.key.tolist(), pa.binary()), pa.array(best.score)], names=["query_id", "key", "near"])
+
+    return index.mapInArrow(run, "query_id long, key binary, near double")
 
 
 def _reranked(pairs: DataFrame, top: int) -> DataFrame:
@@ -180,7 +219,7 @@ def _reranked(pairs: DataFrame, top: int) -> DataFrame:
         for part in batches:
             if not part.num_rows:
                 continue
-            q, v = _matrix(part.column(1)), _matrix(part.column(2))
+            q, v = _even(_matrix(part.column(1))), _even(_matrix(part.column(2)))
             score = np.einsum("nd,nd->n", q, v) / (np.linalg.norm(q, axis=1) * np.linalg.norm(v, axis=1))
             yield pa.RecordBatch.from_arrays([part.column(0), part.column(3), pa.array(score)], names=["query_id", "ids", "score"])
 
@@ -210,12 +249,11 @@ def search(df: DataFrame, wanted, key: str = "vec_id", vector: str = "embedding"
     for b in range(blocks):
         block = queries.where(F.pmod(F.xxhash64("id"), F.lit(blocks)) == b).orderBy("id").toPandas()
         if len(block):
-            part = _scanned(index, model, block.id.tolist(), np.stack(block.v.to_numpy()))
+            part = _scanned(index, model, block.id.tolist(), np.stack(block.v.to_numpy()), top)
             near = part if near is None else near.unionByName(part)
     if near is None:
         return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
-    order = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("near"), "key"))
-    kept = near.withColumn("place", order).where(F.col("place") <= DEPTH).select("query_id", "key")
+    kept = near.select("query_id", "key")
     pairs = kept.join(found, "key").join(queries.select(F.col("id").alias("query_id"), F.col("v").alias("q")), "query_id")
     return _reranked(pairs, top)
 

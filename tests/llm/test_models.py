@@ -100,6 +100,25 @@ def test_neighbours(spark):
     assert hits / total >= 0.9
 
 
+def test_no_neighbour_is_missed_on_rows_that_codewords_fit_badly(spark):
+    """Tight groups about few centres, vectors of all directions, and scaled copies: what is nearest is all in the last digits."""
+    r = np.random.default_rng(5)
+    centres = r.normal(size=(6, 96))
+    rows = [(i, (centres[i % 6] + 1e-4 * r.normal(size=96)).tolist()) for i in range(3000)]
+    rows += [(3000 + i, r.standard_t(2, size=96).tolist()) for i in range(3000)]
+    rows += [(6000 + i, (centres[0] * 2.0 ** (i % 40)).tolist()) for i in range(120)] + [(7000, (centres[1] * 1e200).tolist()), (7001, (centres[1] * 1e-200).tolist())]
+    ids, x = np.array([i for i, _ in rows]), np.array([v for _, v in rows])
+    x /= np.abs(x).max(axis=1, keepdims=True)
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    got = {}
+    for row in rows_of(neighbours.search(spark.createDataFrame(rows, "vec_id long, embedding array<double>").repartition(5), F.col("id") % 50 == 0)):
+        got.setdefault(row.query_id, {})[row.vec_id] = row.score
+    for k in np.flatnonzero(ids % 50 == 0):
+        near = x @ x[k]
+        near[k] = -2
+        assert np.allclose(sorted(got[int(ids[k])].values()), np.sort(near)[-5:], rtol=0, atol=1e-12)
+
+
 def test_few_or_no_vectors(spark):
     kind = "vec_id long, embedding array<float>"
     assert rows_of(neighbours.search(spark.createDataFrame([], kind), F.col("id") % 50 == 0)) == []
