@@ -1,10 +1,12 @@
 """Rolls that come round, and joins that no size of a file tells."""
 
+import pytest
 from pyspark.sql import functions as F
 
 from gradeloom.operators import ownership as O
 from gradeloom.operators import release as K
 from gradeloom.operators import results as R
+from gradeloom.sources import files
 
 
 def test_crowded_points_are_never_sent_to_the_driver(spark):
@@ -29,3 +31,11 @@ def test_what_was_sent_is_told_by_a_key_where_rolls_come_round(spark):
     queue = spark.createDataFrame([(1, "2000001"), (2, "2000001"), (3, "2000002")], "student long, roll_no string").withColumns({"email": F.lit("a@b.c"), "digest": F.lit("d"), "file_digest": F.lit("d")})
     log = spark.createDataFrame([(1, "SENT"), (3, "FAILED")], "student long, status string")
     assert [r.student for r in R.to_send(queue, log, 20, None, key="student").collect()] == [2, 3]
+
+
+def test_a_roster_whose_rolls_come_round_is_read_whole_if_it_may(spark, tmp_path):
+    (tmp_path / "roster.csv").write_text("roll,name,email,program\n2000001,A,a@x.org,BTECH\n2000001,B,b@x.org,BTECH\n")
+    got = files.read_roster(spark, str(tmp_path / "roster.csv"), unique=False)
+    assert sorted((r.roll_no, r.name) for r in got.collect()) == [("2000001", "A"), ("2000001", "B")]
+    with pytest.raises(ValueError, match="duplicate"):
+        files.read_roster(spark, str(tmp_path / "roster.csv"))
