@@ -39,3 +39,19 @@ def test_a_roster_whose_rolls_come_round_is_read_whole_if_it_may(spark, tmp_path
     assert sorted((r.roll_no, r.name) for r in got.collect()) == [("2000001", "A"), ("2000001", "B")]
     with pytest.raises(ValueError, match="duplicate"):
         files.read_roster(spark, str(tmp_path / "roster.csv"))
+
+
+def folder(spark):
+    listed = spark.createDataFrame([("1", "a@b.c"), ("1", "A@b.c"), ("2", "")], "roll_no string, email string")
+    filed = spark.createDataFrame([("1", 5, 3), ("1", 2000, 1), ("3", 5, 1)], "roll_no string, length long, pages int")
+    return filed, listed, spark.createDataFrame([("1",), ("3",)], "roll_no string")
+
+
+def test_rows_of_one_roll_all_meet_in_a_folder(spark):
+    got = sorted(tuple(r) for r in R.folder_errors(*folder(spark), 1000, 2).collect())
+    assert got == [*[("1", "too_large")] * 2, *[("1", "too_many_pages")] * 2, ("2", "no_address"), ("2", "no_file"), ("2", "no_marks"), ("3", "not_on_roster")]
+
+
+def test_a_release_still_tells_several_files_and_shared_addresses(spark):
+    got = {tuple(r) for r in R.folder_release(*folder(spark), 1000, 2).collect()}
+    assert {("1", "several_files"), ("1", "shared_address")} <= got
