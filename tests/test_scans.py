@@ -180,3 +180,11 @@ def test_round_trips_of_twenty_questions(spark, coverage, shade, recovered, flag
     if coverage == 0.8:
         assert got.least_filled - got.most_empty > 0.7
     assert P.round_trip(sheet.where(F.lit(False))).collect() == []
+
+
+def test_a_mark_between_two_markers_is_no_corner():
+    # of this page the lower right marker is hidden, and the orientation mark is nearly as large as the markers
+    gray, truth = Q.photographed(4136)
+    found = P.aligned(gray, Q.TEMPLATE, Q.DPI)
+    assert (found.index, found.turn) == (4136 % 3 + 1, 0)
+    assert np.hypot(*(found.corners - truth)[[0, 1, 3]].T).max() <= 1.5
