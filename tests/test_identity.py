@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 
 from gradeloom.functions.evidence import codes
 from gradeloom.operators import identity as I
+from gradeloom.operators import ownership as O
 
 PAGE = (
     "source_index long, sheet_page int, cell_roll string, cell_program string, cell_min double, cell_probs array<array<double>>, bubble_roll string, bubble_program string, bubble_confidence string, "
@@ -144,3 +145,26 @@ def test_proposals(spark):
     assert [(r.path, r.eligible) for r in alone] == [("B", True), ("C", False)]
     assert I.order_proposals(frame(spark, pages), "page-major", 2, 7, "p").collect() == []
     assert [(r.page1, r.continuation) for r in I.order_proposals(frame(spark, pages), "sheet-major", 2, 10, "p").orderBy("page1").collect()] == [(1, 2), (6, 7), (9, 10)]
+
+
+def outermost_join(df):
+    """The line of the plan's last join."""
+    return next(x for x in df._jdf.queryExecution().executedPlan().toString().split("\n") if "Join" in x)
+
+
+def test_pairs_of_pages_are_dealt_no_further(spark):
+    # what hangs on a roll is joined before its pages meet each other
+    assert "Inner" in outermost_join(I.proposals(frame(spark, [page(1, 1, "2077777")]), roster(spark)))
+    pages = frame(spark, [page(1, 1, "2077777")]).withColumn("selector_state", F.lit("clear"))
+    assert "Inner" in outermost_join(O.candidates(pages))
+
+
+def test_what_each_source_says_of_neighbours_makes_the_same_flags(spark):
+    near = [("2000011", 7, "0", "1"), ("2000020", 6, "1", "2"), ("2000110", 5, "0", "1"), ("2077777", 1, "2", "x")]
+    probs = [None, [], [*cells("2000010")[:5], [0.0] * 10, [0.5] * 10], cells("2000010"), cells("2000010", own=0.5), cells("2000010")[:6], [*cells("2000010")[:6], [0.0] * 10], [*cells("2000010")[:5], [0.1] * 10, [0.5] * 10], [[0.5] * 10, *cells("2000010")[1:6]]]
+    rows = spark.createDataFrame([(used, a, b, near) for a in probs for b in probs for used in (True, False)], f"used boolean, a array<array<double>>, b array<array<double>>, near {I.NEIGHBOURS}")
+    a, b = (F.coalesce(c, F.array().cast("array<array<double>>")) for c in ("a", "b"))
+    seen = F.array_distinct(F.transform(I.guard(F.col("near"), [(F.col("used"), a), (F.lit(True), b)]), lambda f: f["code"]))
+    new = F.transform(I.guard_of(F.when(F.col("used"), I.guarded(F.col("near"), a)), I.guarded(F.col("near"), b)), lambda f: f["code"])
+    got = rows.select(seen.alias("old"), new.alias("new")).collect()
+    assert all(r.old == r.new for r in got) and len({tuple(r.old) for r in got}) == 5
