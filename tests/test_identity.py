@@ -1,11 +1,14 @@
 """Ownership and proposals: each rule alone on hand-made pages."""
 
+import random
+
 import pytest
 from pyspark.sql import functions as F
 
 from gradeloom.functions.evidence import codes
 from gradeloom.operators import identity as I
 from gradeloom.operators import ownership as O
+from gradeloom.plans import q_identity as Q
 
 PAGE = (
     "source_index long, sheet_page int, cell_roll string, cell_program string, cell_min double, cell_probs array<array<double>>, bubble_roll string, bubble_program string, bubble_confidence string, "
@@ -168,3 +171,19 @@ def test_what_each_source_says_of_neighbours_makes_the_same_flags(spark):
     new = F.transform(I.guard_of(F.when(F.col("used"), I.guarded(F.col("near"), a)), I.guarded(F.col("near"), b)), lambda f: f["code"])
     got = rows.select(seen.alias("old"), new.alias("new")).collect()
     assert all(r.old == r.new for r in got) and len({tuple(r.old) for r in got}) == 5
+
+
+def test_packed_neighbours_say_the_same(spark):
+    rng = random.Random(11)
+    near = [(str(i), rng.randint(1, 7), rng.choice("0123456789x"), rng.choice("0123456789x")) for i in range(40)]
+    probs = [[[rng.choice([0.0, 0.1, 0.84, 0.9, None]) for _ in range(10)] for _ in range(n)] for n in (0, 3, 5, 7)] + [None]
+    rows = spark.createDataFrame([(used, a, near[i:n]) for used in (True, False) for a in probs for i in range(0, 40, 4) for n in (i, i + 1, 40)], f"used boolean, a array<array<double>>, near {I.NEIGHBOURS}")
+    source = [(F.col("used"), F.coalesce("a", F.array().cast("array<array<double>>")))]
+    told = rows.select(*(codes(I.guard(n, source)).alias(c) for c, n in (("plain", F.col("near")), ("packed", I._unpacked(I._packed(F.col("near")))))))
+    assert all(r.plain == r.packed for r in told.collect()) and told.where("plain <> ''").count() > 50
+
+
+def test_no_page_goes_on_with_a_list_of_neighbours(spark, sf):
+    owned = I.assess(Q.evidence_pages(spark, sf), Q.students(spark, sf), Q.EXPECTED)
+    lines = owned._jdf.queryExecution().optimizedPlan().toString().split("\n")
+    assert any("cell_probs#" in x for x in lines) and not any("cell_probs#" in x and "neighbours#" in x for x in lines)
