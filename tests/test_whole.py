@@ -51,6 +51,27 @@ def test_every_roll_is_decoded(spark, sf):
     assert {r.id: (r.roll_no, round(r.score, 5), round(r.margin, 5)) for r in told.where(F.col("id").isNotNull()).collect()} == want
 
 
+def test_reads_and_rolls_that_repeat_are_one(spark):
+    def probs(roll):
+        return [[0.82 if k == int(c) else 0.02 for k in range(10)] for c in roll]
+
+    rows = ["2000001"] * 3 + ["2000002", "2000011", "2000011"]
+    reads = [(i, probs("2000001" if i % 2 else "2000002")) for i in range(50)] + [(99, None)]
+    told = O.decode_against_roster(spark.createDataFrame(reads, "id int, probs array<array<double>>"), spark.createDataFrame([(r,) for r in rows], "roll_no string"))
+    got = {r.id: (r.roll_no, round(r.score, 9), round(r.margin, 9)) for r in told.collect()}
+
+    def mean(read, roll):
+        # as in SQL, a roll's log score counts for each of its rows
+        return math.exp(rows.count(roll) * sum(math.log(0.82 if a == b else 0.02) for a, b in zip(read, roll, strict=True)) / 7)
+
+    want = {}
+    for i in range(50):
+        read = "2000001" if i % 2 else "2000002"
+        (a, roll), (b, _) = sorted(((mean(read, r), r) for r in set(rows)), reverse=True)[:2]
+        want[i] = roll, round(a, 9), round(a - b, 9)
+    assert got == want
+
+
 def test_every_order_is_a_page(spark, sf):
     orders = A.table(spark, sf, "orders")
     pages = A.on_every_page(A.pages)(spark, sf)
