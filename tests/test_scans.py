@@ -5,6 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from gradeloom.functions import images as M
+from gradeloom.functions import pixels
 from gradeloom.operators import scans as P
 from gradeloom.plans import q_scans as Q
 
@@ -188,3 +189,24 @@ def test_a_mark_between_two_markers_is_no_corner():
     found = P.aligned(gray, Q.TEMPLATE, Q.DPI)
     assert (found.index, found.turn) == (4136 % 3 + 1, 0)
     assert np.hypot(*(found.corners - truth)[[0, 1, 3]].T).max() <= 1.5
+
+
+def test_discs_at_once_are_as_one_by_one():
+    random = np.random.default_rng(4)
+    for _ in range(6):
+        gray = np.full((200, 160), 255, dtype=np.uint8)
+        at = [(int(random.integers(0, 160)), int(random.integers(0, 200))) for _ in range(60)] + [(-40, 20), (5, 5)]
+        for x, y in at[::2]:
+            P._disc(gray, x, y, random.uniform(3, 12), int(random.integers(0, 230)), hollow=float(random.choice([0.0, 2.0])))
+        if random.integers(2):
+            gray = np.clip(gray.astype(int) - random.integers(0, 60, gray.shape), 0, 255).astype(np.uint8)
+        strong, r = pixels.stretched(gray), int(random.integers(2, 11))
+        assert (pixels._levels(gray)[gray] == strong).all()
+        want = [(*pixels.fill_and_ink(gray, x, y, r), max(pixels.against_paper(gray, x, y, r), pixels.against_paper(strong, x, y, r))) for x, y in at]
+        assert pixels.measured_discs(gray, at, r) == want
+    assert (pixels._levels(np.full((5, 5), 7, dtype=np.uint8)) == np.arange(256)).all()
+
+
+def test_pages_to_be_drawn_are_dealt_to_tasks(spark):
+    rows = spark.range(12000).select(F.lit(1).cast("long").alias("sheet"), F.floor(F.col("id") / 240).cast("int").alias("page"), F.col("id").alias("q_no"), F.lit("A").alias("option"), F.lit(20.0).alias("x_mm"), F.lit(20.0).alias("y_mm"), F.lit(True).alias("chosen"))
+    assert P.simulated(rows, 20.0, 0.8, 25).rdd.getNumPartitions() == 3
