@@ -63,3 +63,15 @@ def test_warnings_and_pages_without_marks(spark):
 def test_no_sheets(spark):
     empty = spark.createDataFrame([], L.MARKS)
     assert L.preflight(empty, L.printed(empty, DPI), DPI).where(F.lit(True)).collect() == []
+
+
+def test_pages_are_dealt_by_number_and_none_is_joined(spark):
+    told = spark.createDataFrame(pd.concat([Q.sheet_marks(k) for k in range(150)]), L.MARKS)
+    assert L.printed(told, 20.0).rdd.getNumPartitions() == 3
+    assert "Join" not in L.orientation_issues(told)._jdf.queryExecution().optimizedPlan().toString()
+    got = {(r.sheet, r.name, r.value) for r in L.orientation_issues(told).collect()}
+    assert got == {(k, "TL", 1.0) for k in range(4, 150, 10)}
+    # without its mark a page has no nearest corner; two marks are an error too
+    some = told.where("sheet < 3 AND kind IN ('orientation', 'fiducial')")
+    bare = some.where("kind = 'fiducial' OR sheet > 0").unionByName(some.where("sheet = 1 AND kind = 'orientation'"))
+    assert {(r.sheet, r.severity, r.name, r.value) for r in L.orientation_issues(bare).collect()} == {(0, "error", None, 0.0), (1, "error", "TL", 2.0)}
