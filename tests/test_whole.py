@@ -32,6 +32,19 @@ def test_every_vector_votes_and_is_voted_on(spark, sf):
     assert got == voted(every) and len(got) == len(every)
 
 
+def test_votes_of_known_vectors_make_no_row_of_a_pair(spark):
+    random.seed(8)
+    few = [(i, random.randint(0, 3), [random.choice([0.1, 0.25, 0.7, 1.3]) for _ in range(4)]) for i in range(120)]
+    frame = spark.createDataFrame(few, "id long, label int, v array<double>")
+    told = E.knn_vote(frame.where("id < 50").select("id", F.col("v").alias("q")), frame.where("id >= 50").select(F.col("id").alias("known_id"), "label", F.col("v").alias("x")))
+    assert "Join" not in told._jdf.queryExecution().optimizedPlan().toString()
+    want = {}
+    for i, _, v in few[:50]:
+        labels = [x[2] for x in sorted((sum((a - b) ** 2 for a, b in zip(v, w, strict=True)), j, label) for j, label, w in few[50:])[:3]]
+        want[i] = min(Counter(labels).items(), key=lambda e: (-e[1], labels.index(e[0])))
+    assert {r.id: (r.label, r.votes) for r in told.collect()} == want
+
+
 def test_every_roll_is_decoded(spark, sf):
     got = catalogue.QUERIES["roster_decode_all"](spark, sf)
     assert got.count() == A.roster(spark, sf).count()
