@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 from gradeloom.operators import ownership as O
 from gradeloom.operators import release as K
 from gradeloom.operators import results as R
+from gradeloom.plans import catalogue as Q
 from gradeloom.sources import files
 
 
@@ -55,3 +56,8 @@ def test_rows_of_one_roll_all_meet_in_a_folder(spark):
 def test_a_release_still_tells_several_files_and_shared_addresses(spark):
     got = {tuple(r) for r in R.folder_release(*folder(spark), 1000, 2).collect()}
     assert {("1", "several_files"), ("1", "shared_address")} <= got
+
+
+def test_a_query_tells_all_that_stands_against_a_release(spark, sf):
+    rules = {r.rule for r in Q.QUERIES["folder_release_whole"](spark, sf).select("rule").distinct().collect()}
+    assert {"several_files", "shared_address", "no_file", "not_on_roster", "no_marks", "no_address", "too_large", "too_many_pages"} == rules
