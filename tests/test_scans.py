@@ -210,3 +210,14 @@ def test_discs_at_once_are_as_one_by_one():
 def test_pages_to_be_drawn_are_dealt_to_tasks(spark):
     rows = spark.range(12000).select(F.lit(1).cast("long").alias("sheet"), F.floor(F.col("id") / 240).cast("int").alias("page"), F.col("id").alias("q_no"), F.lit("A").alias("option"), F.lit(20.0).alias("x_mm"), F.lit(20.0).alias("y_mm"), F.lit(True).alias("chosen"))
     assert P.simulated(rows, 20.0, 0.8, 25).rdd.getNumPartitions() == 3
+
+
+def test_photos_are_neither_kept_nor_met_again(spark, sf):
+    plan = Q.Q["page_alignment"](spark, sf)._jdf.queryExecution().executedPlan().toString()
+    assert "InMemoryTableScan" not in plan and "Join" not in plan
+    scan, at = Q.photographed(5)
+    rows = spark.createDataFrame([(5, *scan.shape, scan.tobytes(), "x")], "id long, height int, width int, data binary, note string")
+    got = P.align(rows, Q.TEMPLATE, Q.DPI, image=False, beside=("note",)).first()
+    assert (got.id, got.note, got.page_index, got.image, got.height) == (5, "x", 3, None, None)
+    assert np.hypot(*(np.array(got.corners) - at).T).max() < 1.5
+    assert P.align(rows, Q.TEMPLATE, Q.DPI).first().image is not None
