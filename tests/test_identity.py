@@ -187,3 +187,21 @@ def test_no_page_goes_on_with_a_list_of_neighbours(spark, sf):
     owned = I.assess(Q.evidence_pages(spark, sf), Q.students(spark, sf), Q.EXPECTED)
     lines = owned._jdf.queryExecution().optimizedPlan().toString().split("\n")
     assert any("cell_probs#" in x for x in lines) and not any("cell_probs#" in x and "neighbours#" in x for x in lines)
+
+
+def test_proposals_in_order_need_no_shuffle_of_pairs(spark, sf):
+    pages, known = Q.evidence_pages(spark, sf), Q.students(spark, sf)
+    got = I.proposal_list(pages, known)
+    rows = got.collect()
+    assert [(r.blocked, not r.eligible, r.roll, r.sheet_page, r.continuation) for r in rows] == sorted((r.blocked, not r.eligible, r.roll, r.sheet_page, r.continuation) for r in rows)
+    plain_ = I.proposals(pages, known).withColumn("codes", codes(F.col("flags"))).select(got.columns)
+    assert sorted(map(tuple, rows)) == sorted(map(tuple, plain_.collect()))
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    # the pairs are the last that is made: nothing is dealt or sorted after it
+    assert plan.index("Generate explode(ones") < min(plan.index(x) for x in ("Sort [", "Exchange "))
+
+
+def test_flags_are_counted_without_pairs(spark, sf):
+    pages, known = Q.evidence_pages(spark, sf), Q.students(spark, sf)
+    want = I.proposals(pages, known).select("path", F.explode("flags").alias("f")).groupBy("path", "f.code", "f.severity").count()
+    assert sorted(map(tuple, I.proposal_flags(pages, known).collect())) == sorted(map(tuple, want.collect()))
