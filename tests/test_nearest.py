@@ -37,3 +37,20 @@ def test_memory_grows_with_points_not_with_pairs():
     peak = tracemalloc.get_traced_memory()[1]
     tracemalloc.stop()
     assert len(found) > 5900 and peak < 150e6  # a matrix of all distances has 288 MB
+
+
+def test_points_of_one_place_are_looked_at_as_one(monkeypatch):
+    k = np.arange(6000)
+    points = np.column_stack([k % 10, k % 7]).astype(float)
+    seen, real = [0], np.hypot
+    monkeypatch.setattr(np, "hypot", lambda a, b: seen.__setitem__(0, seen[0] + np.size(a)) or real(a, b))
+    found = M.greedy_pairs(points[::2], points[1::2], 40.0)
+    # all pairs are nine million
+    assert len(found) == 3000 and seen[0] < 100_000
+
+
+def test_bands_with_many_pairs_are_halved(monkeypatch):
+    r = np.random.default_rng(8)
+    e, o = r.random((120, 2)) * 50, r.random((110, 2)) * 50
+    monkeypatch.setattr(M, "AT_ONCE", 16)
+    assert M.greedy_pairs(e, o, 40.0) == all_pairs(e, o, 40.0)
